@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that have QUERIES and perhaps ORACLE.
-MODULES = ("chat", "warc")
+MODULES = ("chat", "quality_model", "warc")
 
 
 def _all(name: str) -> dict:
