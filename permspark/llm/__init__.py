@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that have QUERIES and perhaps ORACLE.
-MODULES = ("chat", "quality_model", "warc")
+MODULES = ("chat", "packing", "quality_model", "secrets", "warc")
 
 
 def _all(name: str) -> dict:
