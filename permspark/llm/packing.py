@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,26 +40,59 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Ids of texts as little-endian uint32 bytes, by a tokenizer that never spans white space.
+    """Ids of texts as little-endian uint32 bytes, by a tokenizer that never spans white space,
+    lowers case and parts letters from full stops and commas.
 
-    Encodings of words are kept up to ``max_words`` words of at most 48 bytes.
+    Encodings are kept for up to 2 * max_words words, in two generations: words that are
+    used again outlive the older one.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000) -> None:
+    def __init__(self, path: str, max_words: int = 300_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.max_words = Tokenizer.from_file(path), {}, max_words
+        self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
+        self.words: tuple[dict, dict] = {}, {}
+        self.cores: tuple[dict, dict] = {}, {}
+
+    def _room(self, kept: tuple[dict, dict]) -> tuple[dict, dict]:
+        return ({}, kept[0]) if len(kept[0]) >= self.max_words else kept
+
+    def _new(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that are not kept; letters before a stop or comma are looked up alone."""
+        self.cores = self._room(self.cores)
+        (new, old), parts, out = self.cores, {}, {}
+        for w in words:
+            core = w.rstrip(b".,")
+            parts[w] = (core.lower(), w[len(core) :]) if core.decode().isalpha() else (w, b"")
+        need = {x for pair in parts.values() for x in pair if x and x not in new}
+        ask = []
+        for x in need:
+            if (ids := old.get(x)) is None:
+                ask.append(x)
+            else:
+                new[x] = ids
+        far = {}
+        for x, e in zip(ask, self.tokenizer.encode_batch([x.decode() for x in ask], add_special_tokens=False), strict=True):
+            (new if len(x) <= 48 else far)[x] = array("I", e.ids).tobytes()
+        for w, (core, tail) in parts.items():
+            out[w] = (far.get(core) or new.get(core, b"")) + (new.get(tail) or far.get(tail, b"") if tail else b"")
+        return out
 
     def encode(self, words: list[bytes]) -> bytes:
-        got = list(map(self.known.get, words))
+        self.words = self._room(self.words)
+        new, old = self.words
+        got = list(map(new.get, words))
         if None in got:
-            new = list({w for w, g in zip(words, got, strict=True) if g is None})
-            encoded = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            fresh = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, encoded, strict=True)}
-            if len(self.known) < self.max_words:
-                self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= 48)
-            got = [fresh[w] if g is None else g for w, g in zip(words, got, strict=True)]
+            missing = {w for w, g in zip(words, got, strict=True) if g is None}
+            found = {w: ids for w in missing if (ids := old.get(w)) is not None}
+            if len(found) < len(missing):
+                found |= self._new(missing - found.keys())
+            new.update(found)
+            got = list(map(new.get, words))
+            for w in found:
+                if len(w) > 48:  # such words hardly come again
+                    del new[w]
         return b"".join(got)
 
     def stream(self, text: bytes) -> Iterator[bytes]:
