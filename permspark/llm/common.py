@@ -128,7 +128,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _hash_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words in data; a word never spans an edge."""
     n = len(data)
     if n == 0:
@@ -164,7 +164,7 @@ def word_hashes(data: np.ndarray, lower: bool = False) -> np.ndarray:
                 end += SLICE
                 gap = np.flatnonzero(SPACE[data[at:end]])
             end = at + int(gap[-1]) + 1 if len(gap) and end < len(data) else len(data)
-        out.append(_hash_words(data[at:end], np.empty(0, dtype=np.int64))[2])
+        out.append(hash_words(data[at:end], np.empty(0, dtype=np.int64))[2])
         at = end
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
@@ -193,7 +193,7 @@ def hashed_words(column: pa.Array, lower: bool = False):
         else:
             part = data[offsets[i] : offsets[j]]
             edges = offsets[i : j + 1] - offsets[i]
-            starts, _, h = _hash_words(LOWER[part] if lower else part, edges)
+            starts, _, h = hash_words(LOWER[part] if lower else part, edges)
             for a, b in zip(*(lambda x: (x[:-1], x[1:]))(np.searchsorted(starts, edges)), strict=True):
                 yield h[a:b]
         i = j

@@ -1,7 +1,7 @@
 """Packing token streams into sequences: first-fit decreasing over a tournament tree.
 
-Texts are tokenised word by word with a bounded cache (no token spans white space), a
-slice at a time, and cut at every ``capacity`` ids. Pieces, without their text, are dealt
+Texts are tokenised a slice at a time, each distinct word once and with a bounded cache
+(no token spans white space), and cut at every ``capacity`` ids. Pieces, without their text, are dealt
 at random into groups of about ``group_rows``; in each group first-fit decreasing puts
 them into bins, the leftmost bin with room being found in a tournament tree of free
 capacities in O(log n). Groups are independent, so packing scales out; each loses at
@@ -26,11 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permspark.llm.common import SPACE, cut, table, texts_of
+from permspark.llm.common import SPACE, cut, hash_words, table, texts_of
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-SLICE = 1 << 18
+#: Bytes of text whose equal words are looked up once.
+SLICE = 8 << 20
 
 
 def default_tokenizer() -> str:
@@ -58,6 +59,25 @@ class WordEncoder:
     def _room(self, kept: tuple[dict, dict]) -> tuple[dict, dict]:
         return ({}, kept[0]) if len(kept[0]) >= self.max_words else kept
 
+    def _ask(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words from the tokenizer: words of letters are joined by spaces, 200 in one call."""
+        texts = [w.decode() for w in words]
+        letters = [i for i, t in enumerate(texts) if t.isalpha()]
+        out: list = [None] * len(words)
+        for k in range(0, len(letters), 200):
+            part = letters[k : k + 200]
+            e = self.tokenizer.encode(" ".join([texts[i] for i in part]), add_special_tokens=False)
+            word = np.array(e.word_ids)
+            if len(word) and word[-1] == len(part) - 1:  # else lower case has parted a word
+                at = (np.searchsorted(word, np.arange(len(part) + 1)) * 4).tolist()
+                raw = array("I", e.ids).tobytes()
+                for i, a, b in zip(part, at, at[1:], strict=False):
+                    out[i] = raw[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        return out
+
     def _new(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words that are not kept; letters before a stop or comma are looked up alone."""
         self.cores = self._room(self.cores)
@@ -73,37 +93,77 @@ class WordEncoder:
             else:
                 new[x] = ids
         far = {}
-        for x, e in zip(ask, self.tokenizer.encode_batch([x.decode() for x in ask], add_special_tokens=False), strict=True):
-            (new if len(x) <= 48 else far)[x] = array("I", e.ids).tobytes()
+        for x, ids in zip(ask, self._ask(ask), strict=True):
+            (new if len(x) <= 48 else far)[x] = ids
         for w, (core, tail) in parts.items():
             out[w] = (far.get(core) or new.get(core, b"")) + (new.get(tail) or far.get(tail, b"") if tail else b"")
         return out
 
-    def encode(self, words: list[bytes]) -> bytes:
+    def _distinct(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
         self.words = self._room(self.words)
         new, old = self.words
-        got = list(map(new.get, words))
-        if None in got:
-            missing = {w for w, g in zip(words, got, strict=True) if g is None}
-            found = {w: ids for w in missing if (ids := old.get(w)) is not None}
-            if len(found) < len(missing):
-                found |= self._new(missing - found.keys())
-            new.update(found)
-            got = list(map(new.get, words))
-            for w in found:
-                if len(w) > 48:  # such words hardly come again
-                    del new[w]
-        return b"".join(got)
-
-    def stream(self, text: bytes) -> Iterator[bytes]:
-        """Ids of a text, a slice of whole words at a time."""
-        at = 0
-        while at < len(text):
-            end = at + SLICE
-            while end < len(text) and not SPACE[text[end]]:
-                end += 1
-            yield self.encode(text[at:end].split())
-            at = end
+        got = [new.get(w) or old.get(w) for w in words]
+        missing = {w for w, g in zip(words, got, strict=True) if g is None}
+        if missing:
+            found = self._new(missing)
+            got = [found[w] if g is None else g for w, g in zip(words, got, strict=True)]
+        new.update((w, g) for w, g in zip(words, got, strict=True) if len(w) <= 48)  # longer ones hardly come again
+        return got
+
+    def encode(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of adjoining texts, and where each text's ids end.
+
+        Equal words of the slice are looked up once; they are told apart by 64-bit hash and length.
+        """
+        starts, ends, hashes = _words_at(data, edges)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        got = self._distinct([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
+        pool = np.frombuffer(b"".join(got), dtype="<u4")
+        begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        counts = sizes[which]
+        stops = np.concatenate([[0], np.cumsum(counts)])
+        ids = pool[np.arange(stops[-1]) + np.repeat(begins[which] - stops[:-1], counts)]
+        return ids, stops[np.searchsorted(starts, edges[1:])]
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, bool]]:
+        """(number of the text, some of its ids, whether they are the last), in order."""
+        i, n = 0, len(offsets) - 1
+        while i < n:
+            j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, side="right")) - 1))
+            if offsets[j] - offsets[i] <= SLICE:
+                ids, stops = self.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for k, (lo, hi) in enumerate(zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)):
+                    yield i + k, ids[lo:hi], True
+            else:  # one text, a slice at a time, cut at white space
+                at, end = int(offsets[i]), int(offsets[i + 1])
+                while at < end:
+                    stop = min(end, at + SLICE)
+                    while stop < end and not SPACE[data[stop]]:
+                        stop += 1
+                    yield i, self.encode(data[at:stop], np.array([0, stop - at]))[0], stop == end
+                    at = stop
+                j = i + 1
+            i = j
+
+
+def _words_at(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of words; hashed in parts between words, to save memory."""
+    out, at, part = [], 0, 1 << 19
+    while at < len(data):
+        stop = min(len(data), at + part)
+        while stop < len(data) and not SPACE[data[stop]]:
+            stop += 1
+        inside = edges[(edges >= at) & (edges <= stop)] - at
+        s, e, h = hash_words(data[at:stop], inside)
+        out.append((s + at, e + at, h))
+        at = stop
+    if not out:
+        none = np.empty(0, dtype=np.int64)
+        return none, none, np.empty(0, dtype=np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -116,21 +176,24 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def pieces_of(ids: Iterator[bytes], end_id: int, capacity: int) -> tuple[list[tuple[int, int, int]], int]:
-    """(start, length, crc32) of each piece, and the number of ids with the end id."""
-    out, buffer, start, full = [], bytearray(), 0, capacity * 4
-    for part in ids:
-        buffer += part
-        at = 0
-        while len(buffer) - at >= full:
-            out.append((start, capacity, zlib.crc32(memoryview(buffer)[at : at + full])))
-            start, at = start + capacity, at + full
-        if at:
-            buffer = buffer[at:]
-    buffer += int(end_id).to_bytes(4, "little")
-    n = len(buffer) // 4
-    out.append((start, n, zlib.crc32(buffer)))
-    return out, start + n
+class Cutter:
+    """Cuts the ids of one text into pieces as they come."""
+
+    def __init__(self, capacity: int) -> None:
+        self.capacity, self.rest, self.start, self.pieces = capacity, b"", 0, []
+
+    def add(self, ids: np.ndarray) -> None:
+        buffer, at, full = self.rest + ids.tobytes(), 0, self.capacity * 4
+        while len(buffer) - at > full:
+            self.pieces.append((self.start, self.capacity, zlib.crc32(memoryview(buffer)[at : at + full])))
+            self.start, at = self.start + self.capacity, at + full
+        self.rest = buffer[at:]
+
+    def end(self, end_id: int) -> tuple[list[tuple[int, int, int]], int]:
+        """(start, length, crc32) of each piece, and the number of ids, the end id included."""
+        self.add(np.array([end_id], dtype="<u4"))
+        n = len(self.rest) // 4
+        return [*self.pieces, (self.start, n, zlib.crc32(self.rest))], self.start + n
 
 
 def tokenise(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, seed: int = 0) -> DataFrame:
@@ -142,10 +205,13 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, cap
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         for b in batches:
             data, offsets = texts_of(b.column("text"))
-            rows = []
-            for doc, lo, hi in zip(b.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
-                found, n = pieces_of(enc.stream(data[lo:hi].tobytes()), end_id, capacity)
-                rows += [(doc, *piece, n) for piece in found]
+            rows, ids_of, cutter = [], b.column("doc_id").to_pylist(), Cutter(capacity)
+            for i, ids, last in enc.texts(data, offsets):
+                cutter.add(ids)
+                if last:
+                    found, n = cutter.end(end_id)
+                    rows += [(ids_of[i], *piece, n) for piece in found]
+                    cutter = Cutter(capacity)
             if rows:
                 cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(rng.integers(0, 1 << 62, len(rows)))], names=[x.split()[0] for x in PIECES.split(", ")])
