@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that have QUERIES and perhaps ORACLE.
-MODULES = ("bpe_dropout", "chat", "fingerprints", "neardup", "packing", "quality_model", "quality_rules", "secrets", "warc")
+MODULES = ("bpe_dropout", "chat", "fingerprints", "neardup", "packing", "quality_model", "quality_rules", "secrets", "substrings", "warc")
 
 
 def _all(name: str) -> dict:
