@@ -151,7 +151,9 @@ RESULTS = {"n_words": "n_words", "word_chars": "word_chars", "n_symbols": "n_sym
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
-    return judge(docs).where(F.col(P + "kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # a row number bars the filter from being pushed down, which would inline (and repeat) all it rests on
+    judged = judge(docs).withColumn(P + "row", F.monotonically_increasing_id())
+    return judged.where(F.col(P + "kept") & (F.col(P + "row") >= 0)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
