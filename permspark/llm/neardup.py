@@ -1,22 +1,25 @@
 """Near-duplicates: MinHash bands propose, odd sketches filter, full shingle sets confirm.
 
 1. One pass over the texts gives each document the size and a 128-bit digest of its set
-   of five-word shingles (64-bit hashes), 128 MinHash samples folded into 32 band keys,
-   and an odd sketch: a 1024-bit parity bitmap into which every sample flips one bit. The
-   XOR population count of two sketches estimates how many samples differ, most precisely
-   at high similarity.
+   of five-word shingles (64-bit hashes), 128 MinHash samples in 32 band keys, and an odd
+   sketch: a 2048-bit parity bitmap into which each of the set's 512 least hashes (its
+   bottom-k MinHash samples; of smaller sets all hashes) flips one bit. The XOR population
+   count of two sketches estimates how many samples differ, most precisely at high
+   similarity, and never exceeds it.
 2. Documents with equal sets form a class at once; only class representatives go on.
 3. In each band bucket every member is paired with the bucket's least member (a star, so
    rows grow with the members, not their square). Pairs whose sketches allow a similarity
    near the limit are confirmed on full sets; each representative first tries its best.
 4. Links give components. A bucket all of whose members are in one component is done. In
-   the others, members of different components are joined pairwise with the sketch test
-   inside the join condition; what passes is confirmed, too, so no link that shares a
-   bucket is lost and a large group of copies never yields its square. Buckets with many
-   members are split into salted blocks for that join.
+   the others, for a few rounds, each member is tried with members drawn from up to eight
+   other components; again rows grow with the members only, and large groups of copies
+   grow together. At last the members of different components that are left in a bucket are joined
+   pairwise with the sketch test inside the join condition; what passes is confirmed,
+   too, so no link that shares a bucket is lost and a large group of copies never yields
+   its square. Buckets with many members are split into salted blocks for that join.
 
-A pair at the limit shares no bucket with probability (1 - 0.75**4)**32, about 5e-6, and
-fails the sketch test by five standard deviations.
+A pair at the limit shares no bucket with probability (1 - 0.75**4)**32, about 5e-6. The
+sketch test loses no pair of sets of up to 512 shingles, others at five standard deviations.
 
 Defined cases: texts without words have an empty set and link with nothing; null text is
 empty; a text of fewer than five words is one shingle; rows that share a doc_id count as
@@ -27,29 +30,29 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import math
 import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from permspark.llm.common import cut, hashed_words, mix, shingles, table, uncut
 
-SAMPLES, ROWS = 128, 4
-SKETCH_BITS = 1024
+BANDS, ROWS = 32, 4
+SAMPLES = BANDS * ROWS
+SKETCH_SAMPLES, SKETCH_BITS = 512, 2048
 FEATURES = "doc_id long, n_shingles long, digest binary, sketch array<long>, bands array<long>"
 #: Buckets with more members than this are split into blocks for the pairwise join.
-BLOCK = 2000
+BLOCK = 500
 #: The filter of ids that a second pass over the texts looks for has so many bits.
 FILTER_BITS = 1 << 26
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _XOR = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)[:, None]
 _MUL = (_rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
-_SALT = mix(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(0xABCDEF))
+_SALT = np.uint64(0x7F4A7C159E3779B9)
 
 
 def minhash(s: np.ndarray) -> np.ndarray:
@@ -60,25 +63,32 @@ def minhash(s: np.ndarray) -> np.ndarray:
     return low
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmap of the samples, as 64-bit words."""
-    at = mix(samples ^ _SALT) >> np.uint64(54)
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """Parity bitmap of the least hashes of a sorted set, as 64-bit words."""
+    at = mix(s[:SKETCH_SAMPLES] ^ _SALT) & np.uint64(SKETCH_BITS - 1)
     bits = np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
     """A key for each band of ROWS samples; keys of different bands differ."""
-    x = samples.reshape(-1, ROWS)
+    x = samples.reshape(BANDS, ROWS)
     h = mix(np.arange(len(x), dtype=np.uint64) + np.uint64(1))
     for j in range(ROWS):
         h = mix(h ^ x[:, j])
     return h.view(np.int64)
 
 
-def max_flips(similarity: float) -> int:
-    """The largest XOR count whose estimate reaches a similarity: J = 1 + n / 4k * ln(1 - 2m / n)."""
-    return int(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - similarity) / SKETCH_BITS)))
+def max_flips(na: Column, nb: Column, percent: int) -> Column:
+    """The most samples that may differ if sets of these sizes overlap by percent or more.
+
+    Of the least overlap, the share k / (larger size) is among both sets' samples; sampled
+    sets get five standard deviations of that.
+    """
+    k = SKETCH_SAMPLES
+    overlap = (na + nb) * (percent / (100 + percent))
+    share = F.least(F.lit(1.0), k / F.greatest(na, nb))
+    return F.least(na, F.lit(k)) + F.least(nb, F.lit(k)) - 2 * share * overlap + 5 * F.sqrt(k * (1 - share))
 
 
 def flips(a: Column, b: Column) -> Column:
@@ -96,7 +106,7 @@ def features(docs: DataFrame) -> DataFrame:
                 s = shingles(w)
                 if len(s):
                     m = minhash(s)
-                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), odd_sketch(m), band_keys(m)))
+                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), odd_sketch(s), band_keys(m)))
                 else:
                     rows.append((0, None, None, None))
                 if len(rows) == 2000:
@@ -221,44 +231,73 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return ids.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, slack: float = 0.18) -> DataFrame:
+def _close(percent: int) -> Column:
+    """Whether sketches and set sizes of a joined pair allow the similarity, in different components."""
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return (F.col("ca") != F.col("cb")) & fits & (flips(F.col("sa"), F.col("sb")) <= max_flips(F.col("na"), F.col("nb"), percent))
+
+
+def _side(df: DataFrame, x: str, *more: str) -> DataFrame:
+    return df.select("key", *more, F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 4, leaders: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     spark = docs.sparkSession
-    most = max_flips(percent / 100 - slack)
     f = cut(features(docs))
-    classes = cut(f.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
-    sketches = classes.select("rep", "sketch")
+    classes = cut(f.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    sketches = classes.select("rep", "n", "sketch")
     banded = classes.select("rep", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("members")).where("leader < last")
-    members = cut(banded.join(buckets, "key").select("key", "rep", "leader", "members"))
-
-    s1, s2 = (sketches.select(F.col("rep").alias(x), F.col("sketch").alias(f"s_{x}")) for x in "ab")
-    stars = members.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    stars = stars.join(s1, "a").join(s2, "b").withColumn("flips", flips(F.col("s_a"), F.col("s_b"))).where(F.col("flips") <= most)
-    best = stars.groupBy("a").agg(F.min(F.struct("flips", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    tried = cut(best)
-    links = confirm(docs, tried, percent)
-    labels = cut(components(links))
-
-    # what is left: members of one bucket in different components
-    known = labels.select(F.col("id").alias("rep"), "component")
-    placed = members.join(known, "rep", "left").select("key", "rep", "members", F.coalesce("component", "rep").alias("component"))
-    placed = cut(placed)
-    mixed = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
-    active = placed.join(mixed, "key", "left_semi").join(sketches, "rep").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    left = active.select("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
-    right = active.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"))
-    rest = left.join(right, ["key", "block"]).where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (flips(F.col("sa"), F.col("sb")) <= most))
-    rest = rest.select("a", "b").distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    active = cut(banded.join(buckets, "key").select("key", "rep", "leader", "members"))
+
+    s1, s2 = (sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("rep").alias(f"c{x}")) for x in "ab")
+    stars = active.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    stars = stars.join(s1, "a").join(s2, "b").where(_close(percent)).withColumn("flips", flips(F.col("sa"), F.col("sb")))
+    pairs = cut(stars.groupBy("a").agg(F.min(F.struct("flips", "b")).alias("x")).select("a", F.col("x.b").alias("b")))
+    tried, labels = pairs, None
+
+    for turn in range(rounds + 1):
+        links = confirm(docs, pairs, percent)
+        if labels is None or not links.isEmpty():
+            old, joined = labels, links if labels is None else labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)
+            labels = cut(components(joined))
+            uncut(spark, *([old] if old is not None else []))
+        uncut(spark, links)
+        placed = active.select("key", "rep", "members").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "members", F.coalesce("component", "rep").alias("component"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
+        before, active = active, cut(placed.join(mixed, "key", "left_semi"))
+        uncut(spark, before)
+        here = active.join(sketches, "rep")
+        if turn == rounds:
+            break
+        # up to `leaders` members of other components, one drawn from each
+        drawn = active.groupBy("key", "component").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("rep"))
+        drawn = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("component", F.lit(turn)), "component"))).where(F.col("rank") <= leaders)
+        drawn = drawn.select("key", "rep", "component").join(sketches, "rep")
+        near = _side(here, "a").join(_side(drawn, "b"), "key").where(_close(percent)).withColumn("flips", flips(F.col("sa"), F.col("sb")))
+        near = near.select("a", "b", "flips").join(tried, ["a", "b"], "left_anti")
+        pairs = cut(near.groupBy("a").agg(F.min(F.struct("flips", "b")).alias("x")).select("a", F.col("x.b").alias("b")))
+        tried = tried.union(pairs)
+        if pairs.isEmpty():
+            break
+
+    # what is left: pairs of members of different components in one bucket
+    # (one of each pair is outside the bucket's largest component, so only those are compared with all)
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    sizes = active.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("x")).select("key", F.col("x.component").alias("largest"))
+    outside = here.join(largest, "key").where("component <> largest")
+    left = _side(outside.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")), "a", "block", "largest")
+    right = _side(here.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))), "b", "block")
+    rest = left.join(right, ["key", "block"]).where(_close(percent) & ((F.col("cb") == F.col("largest")) | (F.col("a") < F.col("b"))))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = cut(rest.join(done, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = confirm(docs, rest, percent)
         if not more.isEmpty():
-            old, labels = labels, cut(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
-            uncut(spark, old)
-        uncut(spark, more)
-    uncut(spark, members, placed, tried, links, rest)
+            labels = cut(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
 
     rep = f.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
     out = rep.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
