@@ -46,6 +46,8 @@ SKETCH_SAMPLES, SKETCH_BITS = 512, 2048
 FEATURES = "doc_id long, n_shingles long, digest binary, sketch array<long>, bands array<long>"
 #: Buckets with more members than this are split into blocks for the pairwise join.
 BLOCK = 500
+#: As many links are joined in one task; more are joined by distributed rounds.
+SMALL_LINKS = 500_000
 #: The filter of ids that a second pass over the texts looks for has so many bits.
 FILTER_BITS = 1 << 26
 
@@ -202,10 +204,37 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFrame:
     return links
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component): the least id reachable, for every id in links (a, b).
+def components(links: DataFrame, small: int = SMALL_LINKS, max_rounds: int = 60) -> DataFrame:
+    """(id, component): the least id reachable, for every id in links (a, b), a stored table.
 
-    Alternates large and small stars until the edges are stars around least ids; each round
+    Up to ``small`` links are joined by union-find in one executor task, whose memory that
+    number bounds; more links take the distributed way, with the same result.
+    """
+    return _components_at_once(links) if links.count() <= small else _components_by_stars(links, max_rounds)
+
+
+def _components_at_once(links: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for batch in batches:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = root(a), root(b)
+                up[max(a, b)] = min(a, b)
+        if up:
+            ids = list(up)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["id", "component"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(run, "id long, component long")
+
+
+def _components_by_stars(links: DataFrame, max_rounds: int) -> DataFrame:
+    """Alternates large and small stars until the edges are stars around least ids; each round
     is written to the shared folder. Minima are taken map-side first.
     """
     spark = links.sparkSession
@@ -241,7 +270,7 @@ def _side(df: DataFrame, x: str, *more: str) -> DataFrame:
     return df.select("key", *more, F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 4, leaders: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 2, leaders: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     spark = docs.sparkSession
     f = cut(features(docs))
@@ -260,9 +289,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 4, leaders
     for turn in range(rounds + 1):
         links = confirm(docs, pairs, percent)
         if labels is None or not links.isEmpty():
-            old, joined = labels, links if labels is None else labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)
+            joined = links if labels is None else cut(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
             labels = cut(components(joined))
-            uncut(spark, *([old] if old is not None else []))
         uncut(spark, links)
         placed = active.select("key", "rep", "members").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "members", F.coalesce("component", "rep").alias("component"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
@@ -297,7 +325,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 4, leaders
     if not rest.isEmpty():
         more = confirm(docs, rest, percent)
         if not more.isEmpty():
-            labels = cut(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
+            labels = cut(components(cut(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))))
 
     rep = f.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
     out = rep.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))

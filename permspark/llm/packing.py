@@ -31,7 +31,7 @@ from permspark.llm.common import SPACE, cut, hash_words, table, texts_of
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Bytes of text whose equal words are looked up once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 def default_tokenizer() -> str:
@@ -48,16 +48,12 @@ class WordEncoder:
     used again outlive the older one.
     """
 
-    def __init__(self, path: str, max_words: int = 300_000) -> None:
+    def __init__(self, path: str, max_words: int = 200_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
-        self.words: tuple[dict, dict] = {}, {}
-        self.cores: tuple[dict, dict] = {}, {}
-
-    def _room(self, kept: tuple[dict, dict]) -> tuple[dict, dict]:
-        return ({}, kept[0]) if len(kept[0]) >= self.max_words else kept
+        self.kept: tuple[dict, dict] = {}, {}
 
     def _ask(self, words: list[bytes]) -> list[bytes]:
         """Ids of words from the tokenizer: words of letters are joined by spaces, 200 in one call."""
@@ -78,38 +74,26 @@ class WordEncoder:
             out[i] = array("I", e.ids).tobytes()
         return out
 
-    def _new(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that are not kept; letters before a stop or comma are looked up alone."""
-        self.cores = self._room(self.cores)
-        (new, old), parts, out = self.cores, {}, {}
+    def _distinct(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words; letters before a stop or comma are looked up apart from it."""
+        if len(self.kept[0]) >= self.max_words:
+            self.kept = {}, self.kept[0]
+        new, old = self.kept
+        cores, tails = [], []
         for w in words:
             core = w.rstrip(b".,")
-            parts[w] = (core.lower(), w[len(core) :]) if core.decode().isalpha() else (w, b"")
-        need = {x for pair in parts.values() for x in pair if x and x not in new}
-        ask = []
-        for x in need:
-            if (ids := old.get(x)) is None:
-                ask.append(x)
+            if core.isalpha() or core.decode().isalpha():
+                cores.append(core.lower())
+                tails.append(w[len(core) :])
             else:
-                new[x] = ids
-        far = {}
-        for x, ids in zip(ask, self._ask(ask), strict=True):
-            (new if len(x) <= 48 else far)[x] = ids
-        for w, (core, tail) in parts.items():
-            out[w] = (far.get(core) or new.get(core, b"")) + (new.get(tail) or far.get(tail, b"") if tail else b"")
-        return out
-
-    def _distinct(self, words: list[bytes]) -> list[bytes]:
-        """Ids of distinct words."""
-        self.words = self._room(self.words)
-        new, old = self.words
-        got = [new.get(w) or old.get(w) for w in words]
-        missing = {w for w, g in zip(words, got, strict=True) if g is None}
-        if missing:
-            found = self._new(missing)
-            got = [found[w] if g is None else g for w, g in zip(words, got, strict=True)]
-        new.update((w, g) for w, g in zip(words, got, strict=True) if len(w) <= 48)  # longer ones hardly come again
-        return got
+                cores.append(w)
+                tails.append(b"")
+        found = {c: new.get(c) or old.get(c) for c in {*cores, *tails} - {b""}}
+        ask = [c for c, ids in found.items() if ids is None]
+        found.update(zip(ask, self._ask(ask), strict=True))
+        new.update((c, ids) for c, ids in found.items() if len(c) <= 48)  # longer ones hardly come again
+        found[b""] = b""
+        return [found[c] + found[t] if t else found[c] for c, t in zip(cores, tails, strict=True)]
 
     def encode(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of adjoining texts, and where each text's ids end.
