@@ -88,9 +88,11 @@ class Engine:
             groups.setdefault((rt, permission, st, sr or "..."), []).append((i, rid, sid))
         out: dict[int, str] = {}
         for (rt, permission, st, sr), rows in groups.items():
+            out |= {i: "ERROR: a wildcard can't be checked" for i, _, s in rows if s == STAR}
+            rows = [r for r in rows if r[2] != STAR]
+            if not rows:
+                continue
             try:
-                if any(s == STAR for _, _, s in rows):
-                    raise ValueError("a wildcard can't be checked")
                 df = self.spark.createDataFrame(rows, "ordinal int, resource_id string, subject_id string")
                 out |= {r.ordinal: r.permissionship for r in self.check(df, rt, permission, st, sr).select("ordinal", "permissionship").collect()}
             except ValueError as e:

@@ -45,6 +45,7 @@ def merge(df: DataFrame, wild: bool) -> DataFrame:
     if not wild:
         out = df.groupBy("resource", "subject").agg(F.max("state").alias("state"), _gather("state", "missing").alias("missing"))
         return _tidy(out.withColumn("w", F.lit(0)))
+    df = cut(df)  # read twice below; nested, that would double the work at each level
     listed = df.where(F.col("subject") != STAR).groupBy("resource", "subject").agg(
         F.max("state").alias("s"), F.count(F.when(F.col("w") == 2, 1)).alias("k2"), F.count(F.when(F.col("w") == 1, 1)).alias("k1"), _gather("state", "missing").alias("m")
     )
@@ -67,6 +68,8 @@ def _tidy(df: DataFrame) -> DataFrame:
 def combine(a: DataFrame, b: DataFrame, op: str, wild: bool) -> DataFrame:
     """``&`` or ``-`` of two sets."""
     value = F.least if op == "&" else lambda x, y: F.least(x, 2 - y)
+    if wild:  # each side is read twice below
+        a, b = cut(a), cut(b)
     b = b.select(F.col("resource").alias("r2"), F.col("subject").alias("s2"), F.col("state").alias("st2"), F.col("missing").alias("m2"), F.col("w").alias("w2"))
     same = (F.col("resource") == F.col("r2")) & (F.col("subject") == F.col("s2"))
     if not wild:
@@ -96,6 +99,7 @@ class Compiler:
     def __init__(self, schema: Schema, edges: DataFrame, subject: tuple[str, str], subjects: DataFrame | None = None, max_depth: int = 50) -> None:
         self.schema, self.edges, self.subject, self.subjects, self.max_depth = schema, edges, subject, subjects, max_depth
         self.done: dict = {}
+        self.seeded: dict = {}
 
     # --- pieces ---
 
@@ -143,11 +147,17 @@ class Compiler:
             return env[node]
         if not reaches(self.schema, node, self.subject):
             return self.empty()
+        key = (node, id(seed))
+        if not linear and not env and key in self.seeded:
+            return self.seeded[key][0]
         if inside := component(self.schema, node):
             if node not in self.done:
                 self.done |= self.fixpoint(inside)
             return self.done[node]
-        return self.body(node, env, linear, seed)
+        out = self.body(node, env, linear, seed)
+        if not linear and not env:
+            self.seeded[key] = (out, seed)  # the seed is kept, so that its id stays its own
+        return out
 
     def body(self, node: Node, env: dict, linear: frozenset, seed: DataFrame | None) -> DataFrame:
         """Members of a node; with linear, only by way of those nodes."""
