@@ -96,8 +96,8 @@ def next_lower(keys: DataFrame, key: str, low: int, high: int) -> DataFrame:
     Keys are grouped by their leading bits, level on level, until one group of at most
     2**FAN is left; a group never holds more than 2**FAN keys.
     """
-    if (high >> FAN) == (low >> FAN):
-        return keys.select(key, F.lag(key).over(Window.partitionBy(F.shiftright(key, FAN)).orderBy(key)).alias("lower"))
+    if high - low < 1 << FAN:
+        return keys.select(key, F.lag(key).over(Window.partitionBy(F.lit(0)).orderBy(key)).alias("lower"))
     grouped = keys.withColumn("_up", F.shiftright(key, FAN))
     within = grouped.withColumn("_lag", F.lag(key).over(Window.partitionBy("_up").orderBy(key)))
     tops = grouped.groupBy("_up").agg(F.max(key).alias("_top"))
