@@ -100,6 +100,7 @@ class Compiler:
         self.schema, self.edges, self.subject, self.subjects, self.max_depth = schema, edges, subject, subjects, max_depth
         self.done: dict = {}
         self.seeded: dict = {}
+        self.kept: dict = {}
 
     # --- pieces ---
 
@@ -110,7 +111,9 @@ class Compiler:
         return self.subject[1] == "..." and any(wildcard_in(self.schema, n, subject_type=self.subject[0]) for n in nodes)
 
     def scan(self, type_: str, relation: str, seed: DataFrame | None) -> DataFrame:
-        e = self.edges.where((F.col("resource_type") == type_) & (F.col("relation") == relation))
+        e = self.kept.get((type_, relation))
+        if e is None:
+            e = self.edges.where((F.col("resource_type") == type_) & (F.col("relation") == relation))
         return e if seed is None else e.join(seed.select(F.col("id").alias("resource_id")), "resource_id", "left_semi")
 
     def direct(self, e: DataFrame) -> DataFrame:
@@ -277,27 +280,35 @@ class Compiler:
         nodes = sorted(n for n in inside if reaches(self.schema, n, self.subject))
         wild = self.wild(nodes)
         env: dict = {n: self.empty() for n in inside}
+        # every ply reads these edges again: filtered and pruned once, not derived each time
+        for t, n in nodes:
+            d = self.schema.definitions[t]
+            used = [n] if n in d.relations else [e.relation for e in parts_of(d.permissions[n].expr) if isinstance(e, Arrow)]
+            for r in used:
+                if (t, r) not in self.kept:
+                    self.kept[t, r] = cut(self.scan(t, r, None))
         if wild or not self._union_only(inside):
             return self._naive(nodes, env)
-        whole = {n: cut(self.body(n, env, frozenset(), None)) for n in nodes}
-        delta, depth = dict(whole), 0
+        plies = {n: [cut(self.body(n, env, frozenset(), None))] for n in nodes}
+        delta, depth = {n: p[0] for n, p in plies.items()}, 0
         while delta:
             depth += 1
             if depth > self.max_depth:
                 raise DepthError(f"{nodes} has not settled after {self.max_depth} plies")
-            step = env | delta
-            fresh = {}
+            step, fresh = env | delta, {}
             for n in nodes:
                 new = self.body(n, step, frozenset(delta), None)
-                old = whole[n].select(F.col("resource").alias("r2"), F.col("subject").alias("s2"), F.col("state").alias("st2"))
-                new = new.join(old, (F.col("resource") == F.col("r2")) & (F.col("subject") == F.col("s2")), "left").where("st2 IS NULL OR state > st2")
-                new = cut(new.select("resource", "subject", "state", "missing", "w"))
+                old = _all(plies[n]).select(F.col("resource").alias("r2"), F.col("subject").alias("s2"), F.col("state").alias("st2"))
+                same = (F.col("resource") == F.col("r2")) & (F.col("subject") == F.col("s2")) & (F.col("state") <= F.col("st2"))
+                new = cut(new.join(old, same, "left_anti"))
                 if not new.isEmpty():
                     fresh[n] = new
             for n, new in fresh.items():
-                whole[n] = cut(merge(whole[n].unionByName(new), False))
+                plies[n].append(new)
+                if len(plies[n]) > 12:  # keeps plans short
+                    plies[n] = [cut(merge(_all(plies[n]), False))]
             delta = fresh
-        return env | whole
+        return env | {n: merge(_all(p), False) for n, p in plies.items()}
 
     def _naive(self, nodes: list[Node], env: dict) -> dict[Node, DataFrame]:
         """All of each node again from the last ply, until counts and hashes stay."""
