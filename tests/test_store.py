@@ -126,3 +126,15 @@ def test_watch(spark, tmp_path):
     rows, top = got[0]
     assert top == 3 and [(r.operation, r.resource_type) for r in rows] == [("TOUCH", "doc")]
     assert EDGE
+
+
+def test_cut_and_release(spark):
+    import os
+
+    from permspark.plans.materialize import _written, cut, release
+
+    assert cut(spark.range(3).toDF("x")).count() == 3
+    path = _written[-1].removeprefix("file://")
+    assert os.path.isdir(path)
+    release(spark)
+    assert not os.path.exists(path) and not _written
