@@ -333,3 +333,41 @@ def test_pipeline_stages(spark, docs):
         if name == "secrets":
             assert "24be64" not in "".join(r.text for r in d.collect())
     assert sum(r.length for r in d.collect()) == sum({r.doc_id: r.doc_tokens for r in d.collect()}.values())
+
+
+def test_pipeline_against_brute_force(spark, docs, tmp_path):
+    """run() over few documents of an unknown language: then the base rules alone decide quality."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    passage, rng = prose(60, 70), random.Random(6)
+    near = prose(61, 150).split()
+    texts = [" ".join(near), " ".join([*near[:60], "changed", *near[61:]]), prose(62, 40) + " " + passage, passage + " token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff " + prose(63, 90), "a b c d e f " * 9, "too short", None]
+    rng.shuffle(texts)
+    docs(texts).withColumn("lang", F.lit("xx")).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    kept = {}
+    for i, t in enumerate(t or "" for t in texts):
+        w = t.split()
+        c = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        marked = {j for k in range(len(w) - 4) if c[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
+        if len(w) >= 10 and 100 * len(marked) <= 20 * len(w):
+            kept[i] = t
+    sets = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in kept.items()}
+    kept = {i: t for i, t in kept.items() if not any(j < i and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for j in sets)}
+    seen, cleaned = {}, {}
+    for i in sorted(kept):
+        w, late = kept[i].split(), set()
+        for k in range(len(w) - 49):
+            if seen.setdefault(tuple(w[k : k + 50]), i) < i:
+                late.update(range(k, k + 50))
+        cleaned[i] = " ".join(x for k, x in enumerate(w) if k not in late) if late else kept[i]
+    tk, want = Tokenizer.from_file(packing.default_tokenizer()), set()
+    assert len(cleaned) == 3 and any(len(cleaned[i]) < len(kept[i]) for i in kept)
+    for i, t in cleaned.items():
+        t = t.replace("token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "[REDACTED]")
+        ids = [*tk.encode(t, add_special_tokens=False).ids, 2]
+        want.add((i, 0, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), len(ids)))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows} == want and len(rows) == len(want)
+    assert sorted(r.offset for r in rows)[0] == 0 and len({r.sequence_id for r in rows}) == 1
