@@ -139,7 +139,7 @@ def test_random_graphs_agree_with_the_naive_evaluator(spark, seed):
     e = Engine(RANDOM, from_texts(spark, lines))
     pairs = spark.createDataFrame(list(itertools.product(docs, [*users, "stranger"])), "resource_id string, subject_id string")
     tables = {u: n.table(("user", u, "...")) for u in [*users, "stranger"]}
-    for p in ("aaa", "bbb", "eee"):
+    for p in ("aaa", "bbb", "ccc", "ddd", "eee"):
         got = {(r.resource_id, r.subject_id): r.permissionship for r in e.check(pairs, "doc", p, "user").collect()}
         want = {(d, u): next(k for k, v in STATES.items() if v == tables[u].get(("doc", d, p), 0)) for d in docs for u in tables}
         assert got == want, p
