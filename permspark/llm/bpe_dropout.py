@@ -1,19 +1,20 @@
 """SentencePiece BPE with seeded merge-dropout, and its lossless decoder.
 
 Segmentation works an agenda of candidate merges, best piece first, leftmost among
-equals. With dropout each candidate that is taken from the agenda is skipped if a keyed
-hash of (seed, stream, unit, place) falls below the rate; nothing else is random, so a
-seed always gives the same ids, on any machine, and other seeds other segmentations. At
-rate 0 the ids are those of the library.
+equals. With dropout each candidate that is taken from the agenda is skipped at the rate,
+by draws of a counter-based generator keyed by (seed, doc_id, text) and read in the order
+of the text: every occurrence of a word has draws of its own. Nothing else is random, so
+a seed always gives the same ids, on any machine, and other seeds other segmentations.
+At rate 0 the ids are those of the library.
 
 A text is cut into units that no piece can span (at white space, and between characters
-that never meet within a piece), so units are segmented once and kept in a bounded
-cache. Words of up to ``short`` characters, the frequent ones, draw from ``streams``
-streams by document, longer ones from one; seeds vary all of them.
+that never meet within a piece). The draws of a short unit are the bits of a mask, and its
+ids a function of unit and mask: only that function is kept in a bounded cache, by the
+draws it rests on (none skipped, or which ones), never what an occurrence drew.
 
 Spaces become U+2581 with one put in front; a literal U+2581 is written as byte pieces,
 so decoding is lossless for any text. Defined cases: null and empty texts have no ids;
-unknown characters become byte pieces; a null doc_id takes stream 0; repeated rows get
+unknown characters become byte pieces; a null doc_id draws as doc_id 0; repeated rows get
 the same ids; other columns are ignored.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ from permspark.llm.common import table, texts_of
 META = "▁"
 _M = (1 << 64) - 1
 SLICE = 1 << 18
+SHORT = 22  # a unit of n symbols takes at most 3 (n - 1) draws: so many fit a mask of 64 bits
+PLANES = 32  # binary digits of the rate
 
 
 def default_model() -> str:
@@ -42,10 +46,35 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Draws:
+    """The draws of one text, in order: masks whose bits are set at the rate, or keys."""
+
+    def __init__(self, limit: int, key: int) -> None:
+        limit = min(limit, (1 << PLANES) - 1)
+        low = (limit & -limit).bit_length() - 1  # planes of lower digits decide nothing
+        self.digits = [limit >> k & 1 for k in range(low, PLANES)] if limit else []
+        self.raw = np.random.Philox(key=key).random_raw if limit else None
+
+    def masks(self, n: int) -> list[int]:
+        """n masks; a bit is set if the number of its planes' bits is below the rate, digit by digit."""
+        if self.raw is None or not n:
+            return [0] * n
+        out = np.zeros(n, dtype=np.uint64)
+        for digit in self.digits:
+            drawn = self.raw(n)
+            out = np.bitwise_or(out, drawn, out=out) if digit else np.bitwise_and(out, drawn, out=out)
+        return out.tolist()
+
+    def key(self) -> int:
+        return 0 if self.raw is None else self.raw()
+
+
 class DropoutBPE:
     """Encodes and decodes with the pieces of a SentencePiece BPE model with byte fallback."""
 
-    def __init__(self, path: str, rate: float = 0.1, seed: int = 0, streams: int = 4, short: int = 6, max_units: int = 300_000) -> None:
+    streams = 1 << 64  # one for each doc_id
+
+    def __init__(self, path: str, rate: float = 0.1, seed: int = 0, max_units: int = 300_000) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -62,57 +91,59 @@ class DropoutBPE:
         if any(a != META and b == META for a, b in self.meets):
             raise ValueError("a piece spans a space")
         self.literal = b"".join(self._bytes(META))
+        self.coded = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.out = [b""] * n
         for i in plain:
             self.out[i] = pieces[i].replace(META, " ").encode()
         for b, i in self.byte.items():
             self.out[i] = bytes([b])
-        self.limit, self.seed = int(rate * 2**64), seed & _M
-        self.streams, self.short, self.max_units = streams if self.limit else 1, short, max_units
-        self.words: list[dict] = [{} for _ in range(self.streams + 1)]  # short ones by stream, then the rest
-        self.units: list[tuple[dict, dict]] = [({}, {}) for _ in range(self.streams)]
+        self.limit, self.seed = round(rate * 2**PLANES), seed & _M
+        self.max_units = max_units
+        self.words: dict[str, tuple[int, bytes, list[str]]] = {}  # if no draw is skipped: mask of the draws, ids; units
+        self.paths: tuple[dict, dict] = ({}, {})  # mask of the draws, ids: by unit, or unit and skipped draws
 
     def _bytes(self, char: str) -> list[bytes]:
         return [self.byte[b].to_bytes(4, "little") for b in char.encode()]
 
     def _skip(self, key: int, i: int, m: int, e: int) -> bool:
-        """Whether dropout takes the merge of the symbols [i, m) and [m, e) of a unit."""
+        """Whether dropout takes the merge of the symbols [i, m) and [m, e) of a long unit."""
         x = (key ^ (i * 0x9E3779B97F4A7C15 + m * 0xC2B2AE3D27D4EB4F + e * 0x165667B19E3779F9)) & _M
         x = (x ^ (x >> 31)) * 0xBF58476D1CE4E5B9 & _M
-        return x ^ (x >> 30) < self.limit
-
-    def segment(self, unit: str, stream: int = 0) -> bytes:
-        """Ids of one unit, as little-endian uint32 bytes."""
-        n = len(unit)
-        key = xxhash.xxh64_intdigest(unit, seed=self.seed ^ (stream * 0x9E3779B97F4A7C15 & _M)) if self.limit else 0
-        starts = self._long_agenda(unit, key) if n > 40 else self._short_agenda(unit, key)
-        out = []
-        for a, b in zip(starts, [*starts[1:], n], strict=True):
-            found = self.ids.get(unit[a:b])
-            out += self._bytes(unit[a:b]) if found is None else [found.to_bytes(4, "little")]
-        return b"".join(out)
-
-    def _short_agenda(self, unit: str, key: int) -> list[int]:
-        """Starts of the pieces; the agenda is a list, searched for its best, as units are short."""
-        get, none, limit, n = self.rank.get, self.none, self.limit, len(unit)
-        starts = list(range(n))
-        agenda = [get(unit[i : i + 2], none) for i in range(n - 1)]
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _M
+        return x >> 64 - PLANES < self.limit
+
+    def _ids(self, pieces: list[str]) -> bytes:
+        """Ids of pieces, as little-endian uint32 bytes."""
+        get = self.coded.get
+        return b"".join([get(p) or b"".join(self._bytes(p)) for p in pieces])
+
+    def _short_agenda(self, unit: str, skipped: int) -> tuple[list[str], int]:
+        """The pieces and the number of draws; bit k of skipped is draw k.
+
+        The agenda is a list, searched for its best, as units are short.
+        """
+        get, none, drawn = self.rank.get, self.none, 0
+        pieces = list(unit)
+        agenda = [get(a + b, none) for a, b in pairwise(pieces)]
         while agenda and (best := min(agenda)) < none:
             j = agenda.index(best)
-            m = starts[j + 1]
-            e = starts[j + 2] if j + 2 < len(starts) else n
-            if limit and self._skip(key, starts[j], m, e):
-                agenda[j] = none
-                continue
-            del starts[j + 1], agenda[j]
+            drawn += 1
+            if skipped:
+                skip = skipped & 1
+                skipped >>= 1
+                if skip:
+                    agenda[j] = none
+                    continue
+            merged = pieces[j] = pieces[j] + pieces[j + 1]
+            del pieces[j + 1], agenda[j]
             if j:
-                agenda[j - 1] = get(unit[starts[j - 1] : e], none)
+                agenda[j - 1] = get(pieces[j - 1] + merged, none)
             if j < len(agenda):
-                agenda[j] = get(unit[starts[j] : starts[j + 2] if j + 2 < len(starts) else n], none)
-        return starts
+                agenda[j] = get(merged + pieces[j + 1], none)
+        return pieces, drawn
 
-    def _long_agenda(self, unit: str, key: int) -> list[int]:
-        """The same with a heap, for units of any length."""
+    def _long_agenda(self, unit: str, key: int) -> list[str]:
+        """The same with a heap and a keyed hash, for units of any length."""
         n, rank = len(unit), self.rank
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(rank[unit[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if unit[i : i + 2] in rank]
@@ -129,58 +160,88 @@ class DropoutBPE:
                 before[e] = i
                 if (r := rank.get(unit[i : end[e]])) is not None:
                     heapq.heappush(agenda, (r, i, e, end[e]))
-        return [i for i in range(n) if end[i] > 0]
-
-    def _unit(self, unit: str, stream: int) -> bytes:
-        """Ids of a unit, kept in two generations: what is used again outlives the older one."""
-        new, old = self.units[stream]
-        ids = new.get(unit)
-        if ids is None:
-            ids = old.get(unit) or self.segment(unit, stream)
-            if len(unit) <= 32:
-                if len(new) >= self.max_units:
-                    self.units[stream] = ({}, new)
-                    new = self.units[stream][0]
-                new[unit] = ids
-        return ids
-
-    def _word(self, word: str, stream: int) -> bytes:
-        """Ids of a word in META form, unit by unit; units end where two characters never meet."""
+        return [unit[i : end[i]] for i in range(n) if end[i] > 0]
+
+    def _short(self, unit: str, mask: int) -> tuple[int, bytes]:
+        """Mask of the draws that a short unit takes, and its ids.
+
+        Kept by the draws that are skipped, which are found one by one. Two generations:
+        what is used again outlives the older one.
+        """
+        new, old = self.paths
+        at, skipped = unit, 0
+        while (got := new.get(at) or old.get(at)) and (rest := (mask & got[0]) ^ skipped):
+            skipped |= rest & -rest
+            at = (unit, skipped)
+        if got is None:
+            pieces, drawn = self._short_agenda(unit, mask)
+            got = ((1 << drawn) - 1, self._ids(pieces))
+            at = (unit, mask & got[0]) if mask & got[0] else unit
+        elif at in new:
+            return got
+        if len(new) >= self.max_units:
+            self.paths = ({}, new)
+            new = self.paths[0]
+        new[at] = got
+        return got
+
+    def _cut(self, word: str) -> list[str]:
+        """Units of a word in META form; they end where two characters never meet."""
         core = word.rstrip(".,")
-        if len(word.lstrip(META)) > self.short:
-            stream = 0
         if core[1:].isalpha():
             if core == word:
-                return self._unit(word, stream)
+                return [word]
             if core[-1] + word[len(core)] not in self.meets:
-                return self._unit(core, stream) + self._unit(word[len(core) :], stream)
+                return [core, word[len(core) :]]
         out, at, meets, n = [], 0, self.meets, len(word)
         for i in range(1, n + 1):
             if i == n or word[i - 1 : i + 1] not in meets:
-                out.append(self._unit(word[at:i], stream))
+                out.append(word[at:i])
                 at = i
-        return b"".join(out)
-
-    def _spaced(self, text: str, stream: int) -> bytes:
+        return out
+
+    def _small(self, units: list[str], mask: int) -> tuple[int, bytes]:
+        """Mask of the draws that the units of a short word take, and their ids."""
+        if len(units) == 1:
+            return self._short(units[0], mask)
+        width, out = 0, []
+        for u in units:
+            used, ids = self._short(u, mask >> width)
+            width += used.bit_length()
+            out.append(ids)
+        return (1 << width) - 1, b"".join(out)
+
+    def _large(self, word: str, draws: Draws) -> bytes:
+        """Ids of a word of any length in META form; its units draw on their own."""
+        units = self._cut(word)
+        masks = draws.masks(len(units))
+        return b"".join(self._short(u, m)[1] if len(u) <= SHORT else self._ids(self._long_agenda(u, draws.key())) for u, m in zip(units, masks, strict=True))
+
+    def _spaced(self, text: str, draws: Draws) -> bytes:
         """Ids of text without META, whose start stands for a space."""
         if "  " in text or text[:1] == " " or text[-1:] == " ":  # runs of spaces are pieces, too
-            return self._bare(" " + text, stream)
+            return self._bare(" " + text, draws)
         words = text.split(" ")
-        short, long = self.words[stream].get, self.words[-1].get
-        got = [short(w) or long(w) for w in words]
-        if None in got:
-            for i, g in enumerate(got):
-                if g is None:
-                    w = words[i]
-                    k = stream if len(w) <= self.short else -1
-                    if len(self.words[k]) < self.max_units:
-                        self.words[k][w] = got[i] = self._word(META + w, stream)
-                    else:
-                        got[i] = self._word(META + w, stream)
-        return b"".join(got)
-
-    def stream_ids(self, text: str, stream: int = 0) -> Iterator[bytes]:
+        kept, out = self.words, []
+        get, add = kept.get, out.append
+        for w, m in zip(words, draws.masks(len(words)), strict=True):
+            got = get(w)
+            if got is not None:
+                add(self._small(got[2], m)[1] if m & got[0] else got[1])
+            elif len(w) >= SHORT:
+                add(self._large(META + w, draws))
+            else:
+                units = self._cut(META + w)
+                used, ids = self._small(units, m)
+                if not m & used and len(kept) < self.max_units:
+                    kept[w] = (used, ids, units)
+                add(ids)
+        return b"".join(out)
+
+    def stream_ids(self, text: str, doc: int = 0) -> Iterator[bytes]:
         """Ids of a text, slice by slice; slices end before single spaces."""
+        key = xxhash.xxh64_intdigest(text.encode(), seed=self.seed) if self.limit else 0
+        draws = Draws(self.limit, (doc & _M) << 64 | key)
         at = 0
         while at < len(text):
             end = at + SLICE
@@ -193,24 +254,25 @@ class DropoutBPE:
                     if k:
                         yield self.literal
                     if k == 0 and (c or at == 0):
-                        yield self._spaced(c, stream)
+                        yield self._spaced(c, draws)
                     elif c:
-                        yield self._bare(c, stream)
+                        yield self._bare(c, draws)
             else:
-                yield self._spaced(part, stream)
+                yield self._spaced(part, draws)
             at = end + 1 if end < len(text) else end
 
-    def _bare(self, text: str, stream: int) -> bytes:
+    def _bare(self, text: str, draws: Draws) -> bytes:
         """Ids of text that follows a literal META: no space stands in front."""
-        whole, out, at = text.replace(" ", META), [], 0
+        whole, words, at = text.replace(" ", META), [], 0
         for i in range(1, len(whole) + 1):
             if i == len(whole) or (whole[i] == META and whole[i - 1] != META):
-                out.append(self._word(whole[at:i], stream))
+                words.append(whole[at:i])
                 at = i
-        return b"".join(out)
+        masks = draws.masks(len(words))
+        return b"".join(self._small(self._cut(w), m)[1] if len(w) <= SHORT else self._large(w, draws) for w, m in zip(words, masks, strict=True))
 
-    def encode(self, text: str, stream: int = 0) -> np.ndarray:
-        return np.frombuffer(b"".join(self.stream_ids(text, stream)), dtype="<u4")
+    def encode(self, text: str, doc: int = 0) -> np.ndarray:
+        return np.frombuffer(b"".join(self.stream_ids(text, doc)), dtype="<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; exact for what encode() gave."""
@@ -230,7 +292,7 @@ def model(*args) -> DropoutBPE:
 ENCODED = "doc_id long, n_ids long, ids binary, ids_sha256 string, decoded_sha256 string, lossless boolean"
 
 
-def encode(docs: DataFrame, path: str | None = None, rate: float = 0.1, seed: int = 0, streams: int = 4, keep_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, rate: float = 0.1, seed: int = 0, keep_ids: bool = True) -> DataFrame:
     """Ids (little-endian uint32) of every text, with a digest of what they decode to.
 
     Row by row: no shuffle. Of a text, its ids are held besides it.
@@ -238,14 +300,14 @@ def encode(docs: DataFrame, path: str | None = None, rate: float = 0.1, seed: in
     path = path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(path, rate, seed, streams)
+        bpe = model(path, rate, seed)
         for b in batches:
             data, offsets = texts_of(b.column("text"))
             rows, size = [], 0
             docs_ = b.column("doc_id").to_pylist()
             for doc, lo, hi in zip(docs_, offsets[:-1], offsets[1:], strict=True):
                 raw = data[lo:hi].tobytes()
-                ids = b"".join(bpe.stream_ids(raw.decode(), (doc or 0) % bpe.streams))
+                ids = b"".join(bpe.stream_ids(raw.decode(), doc or 0))
                 back = b"".join(map(bpe.out.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))[1:]
                 rows.append((doc, len(ids) // 4, ids if keep_ids else None, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), back == raw))
                 size += len(ids) if keep_ids else 200
@@ -268,7 +330,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(path, 0.0, 0, 1)
+        bpe = model(path, 0.0, 0)
         for b in batches:
             texts = [None if x is None else bpe.decode(np.frombuffer(x, dtype="<u4")) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])

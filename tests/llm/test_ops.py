@@ -109,6 +109,42 @@ def test_bpe_dropout(docs):
     assert [r.text for r in bpe_dropout.decode(df).orderBy("doc_id").collect()] == texts
 
 
+def test_bpe_dropout_draws_for_each_occurrence(docs):
+    path = bpe_dropout.default_model()
+    plain, m = bpe_dropout.DropoutBPE(path, 0.0), bpe_dropout.DropoutBPE(path, 0.1, 5)
+    for word in ("thanedble", "the", "notwithstanding.", "x" * 30):
+        whole = plain.encode(word).tobytes()
+        text = " ".join([word] * 3000)
+        ids, at, seen = m.encode(text, 3), 0, collections.Counter()
+        for _ in range(3000):
+            n = at
+            while len(m.decode(ids[at:n])) < len(word):
+                n += 1
+            seen[ids[at:n].tobytes()] += 1
+            at = n
+        assert at == len(ids) and len(seen) >= 3
+        if word == "thanedble":
+            rng, same = random.Random(1), 0
+            for _ in range(3000):  # the same by plain random draws
+                p, out = list(bpe_dropout.META + word), set()
+                while live := [(m.rank[a + b], j) for j, (a, b) in enumerate(zip(p, p[1:])) if a + b in m.rank and (j, a, b) not in out]:
+                    j = min(live)[1]
+                    if rng.random() < 0.1:
+                        out.add((j, p[j], p[j + 1]))
+                        continue
+                    p[j : j + 2] = [p[j] + p[j + 1]]
+                    out = {(k - (k > j), a, b) for k, a, b in out if k not in (j - 1, j, j + 1)}
+                same += b"".join(m.ids[x].to_bytes(4, "little") for x in p) == whole
+            assert abs(seen[whole] - same) / 3000 < 0.05
+        assert len({m.encode(word, i).tobytes() for i in range(200)}) >= 3
+        assert len({r.ids for r in bpe_dropout.encode(docs([(i, word) for i in range(200)]), seed=5).collect()}) >= 3
+    text = prose(3, 500) + " notwithstanding, " + "y" * 60
+    assert bpe_dropout.DropoutBPE(path, 0.1, 5, max_units=1).encode(text, 9).tolist() == m.encode(text, 9).tolist()
+    assert len(bpe_dropout.DropoutBPE(path, 1.0).encode("abc def")) == 8
+    twice = [r.ids for r in bpe_dropout.encode(docs([(7, text), (7, text), (8, text)])).collect()]
+    assert twice[0] == twice[1] != twice[2]
+
+
 # --- 4 ---
 
 
