@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permspark.operators.engine import Engine
-from permspark.operators.reads import KEY, Filter, SubjectSelector, changes, complete, fold, read, snapshot
-from permspark.operators.writes import HISTORY, apply_updates, delete_matching, statistics, violations
+from permspark.operators.reads import KEY, Filter, SubjectSelector, changes, complete, fold, page, read, snapshot
+from permspark.operators.writes import HISTORY, WriteError, apply_updates, check_preconditions, delete_matching, statistics, violations
 from permspark.plans.dsl import parse
+from permspark.plans.materialize import cut
 from permspark.plans.schema import computable, dependents, diff, entrypoints, load, reflect
 from permspark.sources.text import format_column, parse_lines
 
@@ -264,9 +265,24 @@ _add(
     lambda s, d: _engine(s, d, "owner", "watcher").lookup_resources(s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("subject_id")), "order", "seen", "customer").select("resource_id", "subject_id", "permissionship"),
     f"SELECT DISTINCT a AS resource_id, b AS subject_id, 'HAS' AS permissionship FROM ({_rel('owner')} UNION {_rel('watcher')})",
 )
+
+
+def _paged(spark: SparkSession, d: str) -> DataFrame:
+    """The first 100 rows of a lookup past the id 2, in pages of 30 that follow each other's cursors."""
+    customers = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("subject_id"))
+    found = _engine(spark, d, "owner", "watcher").lookup_resources(customers, "order", "seen", "customer").where(F.col("resource_id") > "2")
+    key = {"resource_type": "order", "relation": "seen", "subject_type": "customer", "subject_relation": "..."}
+    found = cut(found.select("resource_id", "subject_id", *(F.lit(v).alias(k) for k, v in key.items())))
+    rows, cursor = page(found, Filter(type="order"), 30)
+    while cursor and len(rows) < 100:
+        more, cursor = page(found, Filter(type="order"), min(30, 100 - len(rows)), cursor)
+        rows += more
+    return spark.createDataFrame([(r.resource_id, r.subject_id) for r in rows], "resource_id string, subject_id string")
+
+
 _add(
     "lookup_resources_paged",
-    lambda s, d: _engine(s, d, "owner", "watcher").members("order", "seen", "customer").where(F.col("resource") > "2").orderBy("resource", "subject").limit(100).select(F.col("resource").alias("resource_id"), F.col("subject").alias("subject_id")),
+    _paged,
     f"SELECT DISTINCT a AS resource_id, b AS subject_id FROM ({_rel('owner')} UNION {_rel('watcher')}) WHERE a > '2' ORDER BY 1, 2 LIMIT 100",
 )
 _add(
@@ -370,9 +386,29 @@ _add(
     lambda s, d: violations(load(SCHEMA), spark_edges(s, d, "owner", "doc_public").withColumn("subject_type", F.when(F.col("resource_id").cast("long") % 10 == 0, "nation").otherwise(F.col("subject_type")))).select("resource_type", "resource_id", "reason"),
     f"SELECT rt AS resource_type, rid AS resource_id, 'not allowed' AS reason FROM ({_sql('owner', 'doc_public')}) WHERE CAST(rid AS BIGINT) % 10 = 0",
 )
+
+
+def _holds(edges: DataFrame, kind: str, f: Filter) -> bool:
+    try:
+        check_preconditions(edges, [(kind, f)])
+    except WriteError:
+        return False
+    return True
+
+
+def _preconditions(spark: SparkSession, d: str) -> DataFrame:
+    """Per relation, whether preconditions hold on its edges and fail on edges that nobody has, and the reverse."""
+    edges, rows = spark_edges(spark, d, "owner", "watcher"), []
+    for r in ("owner", "watcher"):
+        there, absent = Filter(type="order", relation=r), Filter(type="order", ids=("none",), relation=r)
+        cases = [("must_match", there, True), ("must_match", absent, False), ("must_not_match", there, False), ("must_not_match", absent, True)]
+        rows.append((r, all(_holds(edges, kind, f) == want for kind, f, want in cases)))
+    return spark.createDataFrame(rows, "relation string, must_match boolean")
+
+
 _add(
     "preconditions",
-    lambda s, d: spark_edges(s, d, "owner", "watcher").groupBy("relation").agg((F.count(F.lit(1)) > 0).alias("must_match")),
+    _preconditions,
     "SELECT 'owner' AS relation, true AS must_match UNION ALL SELECT 'watcher', true",
 )
 

@@ -3,6 +3,7 @@
 import duckdb
 
 import __spark_entry__ as entry
+from permspark import queries
 
 DIR = "/root/testdata/sf0.001"
 
@@ -19,3 +20,23 @@ def both(spark, name):
 def test_usersets_of_all_groups(spark):
     got, want = both(spark, "userset_all_groups")
     assert got == want and len({a for a, _ in got}) > 25
+
+
+def test_preconditions_reach_the_operator(spark, monkeypatch):
+    got, want = both(spark, "preconditions")
+    assert got == want
+    monkeypatch.setattr(queries, "check_preconditions", lambda df, p: None)
+    assert both(spark, "preconditions")[0] != want
+
+
+def test_pages_follow_cursors(spark, monkeypatch):
+    cursors, real = [], queries.page
+
+    def spy(df, f, limit, cursor=None):
+        cursors.append(cursor)
+        return real(df, f, limit, cursor)
+
+    monkeypatch.setattr(queries, "page", spy)
+    got, want = both(spark, "lookup_resources_paged")
+    assert got == want and len(got) == 100
+    assert cursors[0] is None and all(cursors[1:]) and len(cursors) == 4
