@@ -182,15 +182,16 @@ class _Digest:
         self.conv, self.n, self.loss_chars, self.chars = conv, 0, 0, 0
         self.turns, self.loss, self.reader = hashlib.sha256(), hashlib.sha256(), Reader()
 
-    def add(self, piece: str) -> None:
+    def add(self, piece: str, loss: bool, start: int | None, end: int | None) -> None:
         self.chars += len(piece)
         for role, body in self.reader.feed(piece):
             text = unescape(body)
             self.n += 1
             self.turns.update(f"{role}\n{text}\n".encode())
-            if role == "assistant":
-                self.loss_chars += len(text)
-                self.loss.update(text.encode())
+        if loss:
+            text = unescape(piece[start:end])
+            self.loss_chars += len(text)
+            self.loss.update(text.encode())
 
     def row(self) -> tuple:
         self.reader.close()
@@ -201,7 +202,7 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
-    """Per conversation, digests of what a reader of its formatted text finds.
+    """Per conversation, digests of what a reader of its formatted text finds, and of what its loss mask covers.
 
     Streams over pieces sorted by conversation and turn; holds one piece at a time. A
     conversation's SHA-256 is sequential, so one task hashes it, but it only hashes:
@@ -217,7 +218,8 @@ def read_back(pieces: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            for conv, piece in zip(batch.column("conv_id").to_pylist(), batch.column("piece"), strict=True):
+            masks = zip(*(batch.column(c).to_pylist() for c in ("in_loss", "loss_start", "loss_end")), strict=True)
+            for conv, piece, mask in zip(batch.column("conv_id").to_pylist(), batch.column("piece"), masks, strict=True):
                 if now is None or now.conv != conv:
                     if now is not None:
                         done.append(now.row())
@@ -225,17 +227,17 @@ def read_back(pieces: DataFrame) -> DataFrame:
                             yield out()
                             done.clear()
                     now = _Digest(conv)
-                now.add(piece.as_py())
+                now.add(piece.as_py(), *mask)
         if now is not None:
             done.append(now.row())
         if done:
             yield out()
 
     return (
-        pieces.select("conv_id", "turn", "piece")
+        pieces.select("conv_id", "turn", "piece", "in_loss", "loss_start", "loss_end")
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "piece")
-        .select("conv_id", "piece")
+        .select("conv_id", "piece", "in_loss", "loss_start", "loss_end")
         .mapInArrow(digest, DIGEST)
     )
 

@@ -50,6 +50,15 @@ def test_chat_round_trip(spark):
     assert chat.read_back(pieces.limit(0)).count() == 0
 
 
+def test_chat_loss_follows_the_mask(spark):
+    rows = [(1, 1, "user", "<|a|> ü"), (1, 2, "assistant", "bc"), (1, 3, "tool", "d"), (1, 4, "user", None)]
+    pieces = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), loss_roles=("user", "tool"))
+    got = chat.read_back(pieces).first()
+    assert got.loss_sha256 == hashlib.sha256("<|a|> üd".encode()).hexdigest() and got.loss_chars == 8
+    got = chat.read_back(pieces.withColumn("loss_end", F.col("loss_end") - 1)).first()
+    assert got.loss_sha256 != hashlib.sha256("<|a|> üd".encode()).hexdigest()
+
+
 def test_chat_parts():
     text, found = chat.flatten([{"kind": "text", "text": "see "}, {"kind": "image", "ref": "a.png", "width": 57, "height": 28}, None, {"kind": "audio", "ref": "b.wav", "seconds": 2.0}, {"kind": "document", "ref": "c.pdf", "pages": 2}])
     assert text == "see <|image_1|><|audio_2|><|document_3|>"
