@@ -32,9 +32,10 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])e[wy][A-Za-z0-9_-]{6,}\.e[wy][A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s:,.-]+?)-----END \1PRIVATE KEY-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-MIXED_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-F]{2}){32,}(?![0-9A-Fa-f])|(?<![0-9A-Fa-f])(?:[0-9a-f]{2}){32,}(?![0-9A-Fa-f])")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s:,.\\-]+?)-----END \1PRIVATE KEY-----")
+BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nrt])|(?<=\\[nrt]))[A-Za-z0-9+/_-]{40,}={0,2}")
+LINE = re.compile(r"(?:\s|\\[nrt])+([A-Za-z0-9+/_-]+={0,2})")  # the next of wrapped base64, also after escaped line ends
+MIXED_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 
@@ -117,6 +118,43 @@ def openssh(data: bytes) -> bool:
     return public is not None and (rest := field(public[1])) is not None and len(rest[0]) >= 8 and rest[1] == len(data)
 
 
+def extent(data: bytes) -> tuple[int, bool]:
+    """Bytes of the DER value or OpenSSH key that starts here, by its outer lengths; False: that many at least."""
+    if data.startswith(b"openssh-key-v1\0"):
+        at = 15
+        for k in range(6):  # cipher, key derivation, options, number of keys, public and private part
+            if at + 4 > len(data):
+                return at + 4, False
+            at += 4 + (int.from_bytes(data[at : at + 4], "big") if k != 3 else 0)
+        return at, True
+    size = data[1] & 0x7F
+    if data[1] < 0x80 or size > 4:
+        return 2 + size, True
+    return 2 + size + int.from_bytes(data[2 : 2 + size], "big"), True
+
+
+def wrapped_key(text: str, start: int, end: int) -> int | None:
+    """End of the private key whose base64 begins with the line [start, end) and goes on in the next ones."""
+    parts, have = [text[start:end]], end - start
+    head = unbase64(parts[0][: have // 4 * 4])
+    if not head or not (head[0] == 0x30 or head.startswith(b"openssh-key-v1\0")):
+        return None
+    need, told = extent(head)
+    while not told or have < -(-need * 4 // 3):
+        line = LINE.match(text, end)
+        if line is None or parts[-1].endswith("="):
+            return None
+        parts.append(line[1])
+        have, end = have + len(line[1]), line.end()
+        if not told and have // 4 * 3 >= need:
+            data = unbase64("".join(parts)[: have // 4 * 4])
+            if not data:
+                return None
+            need, told = extent(data)
+    data = unbase64("".join(parts))
+    return end if len(parts) > 1 and data and private_key(data) else None
+
+
 def signed_token(text: str) -> bool:
     header, claims = (unbase64(x) for x in text.split(".")[:2])
     try:
@@ -128,7 +166,8 @@ def signed_token(text: str) -> bool:
 
 def _body(armoured: str) -> bytes | None:
     """The bytes in an armoured key, without header lines like ``Proc-Type: ...``."""
-    lines = [x.strip() for x in armoured.splitlines()]
+    plain = armoured.replace("\\r", "\n").replace("\\n", "\n").replace("\\/", "/")  # as in JSON
+    lines = [x.strip() for x in plain.splitlines()]
     return unbase64("".join("".join(x.split()) for x in lines if ":" not in x))
 
 
@@ -153,7 +192,14 @@ def confirmed_spans(text: str, longest: int | None = None) -> list[tuple[int, in
     if longest is None or longest >= 40:
         armoured = [(a, b) for a, b, k in out if k == "pem"]
         inside = lambda m: any(a <= m.start() < b for a, b in armoured)
-        out += [(m.start(), m.end(), "key") for m in BASE64.finditer(text) if m[0][0] in "Mb" and not inside(m) and (data := unbase64(m[0])) and private_key(data)]
+        last = 0
+        for m in BASE64.finditer(text):
+            if m[0][0] in "Mb" and m.start() >= last and not inside(m):
+                if (data := unbase64(m[0])) and private_key(data):
+                    out.append((m.start(), m.end(), "key"))
+                elif end := wrapped_key(text, m.start(), m.end()):
+                    out.append((m.start(), end, "key"))
+                    last = end
         out += [(m.start(), m.end(), "key") for m in MIXED_HEX.finditer(text) if m[0][:2] in ("30", "6f", "6F") and private_key(bytes.fromhex(m[0]))]
     return out
 
@@ -165,11 +211,11 @@ def spans_of(data: np.ndarray) -> tuple[str, list[tuple[int, int, str]]]:
     gaps = np.flatnonzero(SPACE[data])
     longest = int(np.diff(gaps, prepend=-1, append=len(data)).max()) - 1
     low = raw.lower()
-    plain = any(w in low for w in WORDS)
-    if not plain and longest < 16:
+    plain, armour = any(w in low for w in WORDS), b"-----BEGIN " in raw
+    if not plain and not armour and longest < 16:
         return text, []
     found = base_spans(text, longest) if plain or longest >= 32 or "AKIA" in text else []
-    if longest >= 20:
+    if longest >= 20 or armour:
         found += confirmed_spans(text, longest)
     return text, sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 

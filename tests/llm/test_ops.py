@@ -213,6 +213,28 @@ def test_secrets(docs):
     assert red[-1].text == 'é [REDACTED]" end' and red[0].text is None and red[0].rep == "x"
 
 
+def test_secrets_however_they_are_written():
+    num = lambda n: _der(2, b"\x01" * n)
+    rsa = _der(0x30, _der(2, b"\0") + num(64) + num(3) + num(64) + num(32) + num(32) + num(32) + num(32) + num(32))
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + b"\0\0\0\1" + field(b"p" * 51) + field(b"s" * 136)
+    found = lambda t: [(t[a:b], k) for a, b, k in secrets.spans_of(np.frombuffer(t.encode(), dtype=np.uint8))[1]]
+    for key in (rsa, ssh):
+        flat = base64.b64encode(key).decode()
+        for width in (64, 76):
+            for end in ("\n", "\r\n", "\n  ", "\\n"):
+                text = end.join(flat[i : i + width] for i in range(0, len(flat), width))
+                assert found(f"the key {text}{end}Hello there") == [(text, "key")]
+                assert found(f"the key{end}{text[:-20]}{end}Hello there") == []
+    flat = base64.b64encode(rsa).decode()
+    text = f"-----BEGIN RSA PRIVATE KEY-----\\n{flat[:64]}\\n{flat[64:]}\\n-----END RSA PRIVATE KEY-----\\n"
+    assert found(f'{{"k": "{text}"}}') == [(text[:-2], "pem")]
+    narrow = "\n".join(flat[i : i + 12] for i in range(0, len(flat), 12))
+    assert [k for _, k in found(f"-----BEGIN RSA PRIVATE KEY-----\n{narrow}\n-----END RSA PRIVATE KEY-----")] == ["pem"]
+    mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(rsa.hex()))
+    assert (mixed, "key") in found(f"key {mixed}.")
+
+
 # --- 6 ---
 
 
