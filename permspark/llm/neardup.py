@@ -275,6 +275,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 2, leaders
     spark = docs.sparkSession
     f = cut(features(docs))
     classes = cut(f.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    # rows that share a doc_id are one node: their classes are linked, rows without shingles go with them
+    many = cut(f.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"))
+    node = shared = None
+    if not many.isEmpty():
+        theirs = f.where("n_shingles > 0").join(many, "doc_id", "left_semi").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()
+        node = cut(theirs.groupBy("doc_id").agg(F.min("rep").alias("least")))
+        shared = theirs.join(node, "doc_id").select(F.col("rep").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
     sketches = classes.select("rep", "n", "sketch")
     banded = classes.select("rep", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("members")).where("leader < last")
@@ -288,6 +295,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 2, leaders
 
     for turn in range(rounds + 1):
         links = confirm(docs, pairs, percent)
+        if turn == 0 and shared is not None:
+            links = cut(links.select("a", "b").union(shared))
         if labels is None or not links.isEmpty():
             joined = links if labels is None else cut(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
             labels = cut(components(joined))
@@ -328,6 +337,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 2, leaders
             labels = cut(components(cut(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))))
 
     rep = f.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
+    if node is not None:
+        rep = rep.join(node, "doc_id", "left").withColumn("rep", F.coalesce("rep", "least"))
     out = rep.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     lone = docs.where(F.col("doc_id").isNull())
@@ -336,9 +347,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 2, leaders
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one document of each component."""
+    """The rows of docs that stay: one document of each component, and one row of those alike in doc_id and text."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("_nd_id"))
+    many = cut(ids.where("_nd_id IS NOT NULL").groupBy("_nd_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("_nd_id"))
     gone = cut(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_nd_id")).distinct())
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_nd_id"], "left_anti")
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_nd_id"], "left_anti")
+    if many.isEmpty():
+        return kept
+    on = kept["doc_id"].cast("long") == many["_nd_id"]
+    return kept.join(many, on, "left_anti").union(kept.join(many, on, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -438,3 +438,12 @@ def test_pipeline_against_brute_force(spark, docs, tmp_path):
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows} == want and len(rows) == len(want)
     assert sorted(r.offset for r in rows)[0] == 0 and len({r.sequence_id for r in rows}) == 1
+
+
+def test_near_duplicates_take_rows_of_one_id_as_one_node(docs):
+    a, b, c = (prose(k, 60) for k in (21, 22, 23))
+    df = docs([(3, a), (7, a), (7, b), (7, ""), (9, c), (9, c), (12, b), (None, c), (None, c)])
+    got = [(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()]
+    assert {x for x in got if x[0] is not None} == {(3, 3, True), (7, 3, False), (12, 3, False), (9, 9, True)} and len(got) == 9
+    rows = sorted(((r.doc_id, r.text) for r in neardup.keep(df).collect() if r.doc_id is not None))
+    assert rows == [(3, a), (9, c)]
