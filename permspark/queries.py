@@ -229,8 +229,7 @@ def _lookup_groups(spark: SparkSession, d: str) -> DataFrame:
     return _engine(spark, d, "group_tree", "group_leaf").lookup_subjects(groups, "group", "member", "customer")
 
 
-_add("userset_direct_or_indirect", lambda s, d: _engine(s, d, "group_tree", "group_leaf").lookup_subjects(s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("resource_id")), "group", "member", "customer").select("resource_id", "subject_id"), _closure("group_tree", "group_leaf") + " WHERE a IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation)")
-_add("userset_all_groups", lambda s, d: _lookup_groups(s, d).select("resource_id", "subject_id"), _closure("group_tree", "group_leaf"))
+_add("userset_direct_or_indirect", lambda s, d: _lookup_groups(s, d).select("resource_id", "subject_id"), _closure("group_tree", "group_leaf"))
 _add("recursive_group", _members("group", "member", "customer", "group_tree", "group_leaf"), _closure("group_tree", "group_leaf"))
 _add("recursive_cycle", _members("ring", "member", "customer", "ring_tree", "ring_leaf", "ring_close"), _closure("ring_tree", "ring_leaf", "ring_close"))
 _add(
