@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -218,3 +219,71 @@ def shingles(h: np.ndarray, k: int = 5) -> np.ndarray:
     if len(h) < k:
         return runs_of(h, len(h)) ^ np.uint64(len(h))
     return np.unique(runs_of(h, k))
+
+
+# --- filters of ids --------------------------------------------------------------
+
+#: A filter of ids has at most so many bits (32 MB).
+FILTER_BITS = 1 << 28
+
+
+def filter_bits(n: int, most: int = FILTER_BITS) -> int:
+    """Sixteen bits an id or more, as a power of two, up to a bound."""
+    return min(most, 1 << max(16, (16 * n - 1).bit_length()))
+
+
+def id_filter(ids: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A one-hash Bloom filter of ids; it never misses an id.
+
+    Each task marks its ids; tasks' bitmaps are merged by block on the executors, and the
+    driver gets the merged blocks, bits / 8 bytes in all.
+    """
+    block = min(bits, 1 << 20)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = _slots(b.column(0).to_numpy(zero_copy_only=False), bits)
+            which = at // block
+            for k in np.unique(which).tolist():
+                found.setdefault(k, np.zeros(block, dtype=bool))[at[which == k] % block] = True
+        for k, v in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(v).tobytes()], pa.binary())], names=["block", "marks"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        out = np.zeros(block // 8, dtype=np.uint8)
+        for x in t.column("marks"):
+            out |= np.frombuffer(x.as_buffer(), dtype=np.uint8)
+        return pa.table({"block": t.column("block")[:1], "marks": pa.array([out.tobytes()], pa.binary())})
+
+    whole = np.zeros(bits // 8, dtype=np.uint8)
+    schema = "block long, marks binary"
+    for r in ids.select(column).mapInArrow(mark, schema).groupBy("block").applyInArrow(merge, schema).toLocalIterator():
+        whole[r.block * block // 8 : (r.block + 1) * block // 8] = np.frombuffer(r.marks, dtype=np.uint8)
+    return whole
+
+
+def _slots(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def marked(rows: DataFrame, wanted: DataFrame, wanted_id: str, split: bool = False, column: str = "doc_id"):
+    """The rows whose id (``column``) is among those wanted, and perhaps a few others; with split, the rest, too.
+
+    wanted is a stored table. The filter is as large as their number asks for, up to a bound.
+    Rows are not shuffled; in the split, a row without id is in the rest.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(id_filter(wanted, wanted_id, filter_bits(wanted.count())))
+
+    def chosen(want: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            marks = shared.value
+            for b in batches:
+                ids = b.column(column)
+                at = _slots(ids.fill_null(0).to_numpy(zero_copy_only=False), len(marks) * 8)
+                hit = ((marks[at >> 3] >> (7 - (at & 7))) & 1 == 1) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield b.filter(pa.array(hit if want else ~hit))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return (chosen(True), chosen(False)) if split else chosen(True)

@@ -1,26 +1,34 @@
-"""Near-duplicates: MinHash bands propose, odd sketches filter, full shingle sets confirm.
+"""Near-duplicates: MinHash bands propose, odd sketches verify, full shingle sets confirm.
 
 1. One pass over the texts gives each document the size and a 128-bit digest of its set
    of five-word shingles (64-bit hashes), 128 MinHash samples in 32 band keys, and an odd
    sketch: a 2048-bit parity bitmap into which each of the set's 512 least hashes (its
    bottom-k MinHash samples; of smaller sets all hashes) flips one bit. The XOR population
-   count of two sketches estimates how many samples differ, most precisely at high
-   similarity, and never exceeds it.
+   count of two sketches estimates how many samples differ, and so the similarity, most
+   precisely where that is high; it never exceeds the number of samples that differ.
 2. Documents with equal sets form a class at once; only class representatives go on.
 3. In each band bucket every member is paired with the bucket's least member (a star, so
    rows grow with the members, not their square). Pairs whose sketches allow a similarity
-   near the limit are confirmed on full sets; each representative first tries its best.
+   near the limit are confirmed on full sets; each representative first tries the one of
+   the highest estimate.
 4. Links give components. A bucket all of whose members are in one component is done. In
    the others, for a few rounds, each member is tried with members drawn from up to eight
    other components; again rows grow with the members only, and large groups of copies
-   grow together. At last the members of different components that are left in a bucket are joined
-   pairwise with the sketch test inside the join condition; what passes is confirmed,
-   too, so no link that shares a bucket is lost and a large group of copies never yields
-   its square. Buckets with many members are split into salted blocks for that join.
+   grow together.
+5. The members of buckets that are still mixed are joined by prefix filtering: shingles are
+   ordered by how many of these members have them, rarest first, and two sets that overlap
+   enough share one of the first few. Texts that share a template but not enough of it have
+   shingles of their own in front, so they don't meet, however many they are. Members of one
+   component are never paired. What passes the sketch test is confirmed; no link is lost.
 
 A pair at the limit shares no bucket with probability (1 - 0.75**4)**32, about 5e-6. The
 sketch test loses no pair of sets of up to 512 shingles, others at five standard deviations.
 
+Links are joined by alternating large and small stars, on labels that earlier links have
+already contracted. A set that many pairs need is dealt in salted copies. Ids whose texts are
+read again are marked in a filter sized by their number up to a bound; beyond it more sets
+than needed are shuffled, none is missed.
+
 Defined cases: texts without words have an empty set and link with nothing; null text is
 empty; a text of fewer than five words is one shingle; rows that share a doc_id count as
 one node; rows without doc_id have no component and are kept; other columns are ignored.
@@ -38,18 +46,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from permspark.llm.common import cut, hashed_words, mix, shingles, table, uncut
+from permspark.llm.common import cut, hashed_words, marked, mix, shingles, table, uncut
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_SAMPLES, SKETCH_BITS = 512, 2048
 FEATURES = "doc_id long, n_shingles long, digest binary, sketch array<long>, bands array<long>"
-#: Buckets with more members than this are split into blocks for the pairwise join.
-BLOCK = 500
-#: As many links are joined in one task; more are joined by distributed rounds.
-SMALL_LINKS = 500_000
-#: The filter of ids that a second pass over the texts looks for has so many bits.
-FILTER_BITS = 1 << 26
+#: A set is dealt in one more copy for each so many pairs that need it.
+SALT_PAIRS = 256
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _XOR = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)[:, None]
@@ -97,6 +101,18 @@ def flips(a: Column, b: Column) -> Column:
     return functools.reduce(operator.add, (F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH_BITS // 64)))
 
 
+def likeness(flipped: Column, na: Column, nb: Column) -> Column:
+    """The similarity that the XOR population count of two sketches estimates, from set sizes.
+
+    Of d samples that differ, B(1 - exp(-2d/B))/2 bits of B are expected to. The rest of the
+    samples are common; their share among the larger set's samples scales them to the sets.
+    """
+    k, bits = F.lit(SKETCH_SAMPLES), float(SKETCH_BITS)
+    differ = -bits / 2 * F.log(F.greatest(1 - 2 * flipped / bits, F.lit(1 / bits)))
+    common = F.greatest((F.least(na, k) + F.least(nb, k) - differ) / 2, F.lit(0.0)) * F.greatest(F.lit(1.0), F.greatest(na, nb) / k)
+    return F.least(F.lit(1.0), common / F.greatest(na + nb - common, F.lit(1.0)))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """FEATURES of every row with a doc_id. Row by row: no shuffle."""
 
@@ -130,54 +146,15 @@ def _features(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), longs(sketch), longs(bands)], names=["doc_id", "n_shingles", "digest", "sketch", "bands"])
 
 
-def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A one-hash Bloom filter of ids, of fixed size; it never misses an id.
-
-    Each task marks its ids; tasks' bitmaps are merged by block on the executors, and the
-    driver gets the merged blocks, bits / 8 bytes in all.
-    """
-    block = min(bits, 1 << 20)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for b in batches:
-            at = _slots(b.column(0).to_numpy(zero_copy_only=False), bits)
-            which = at // block
-            for k in np.unique(which).tolist():
-                found.setdefault(k, np.zeros(block, dtype=bool))[at[which == k] % block] = True
-        for k, v in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(v).tobytes()], pa.binary())], names=["block", "marks"])
-
-    def merge(t: pa.Table) -> pa.Table:
-        out = np.zeros(block // 8, dtype=np.uint8)
-        for x in t.column("marks"):
-            out |= np.frombuffer(x.as_buffer(), dtype=np.uint8)
-        return pa.table({"block": t.column("block")[:1], "marks": pa.array([out.tobytes()], pa.binary())})
-
-    whole = np.zeros(bits // 8, dtype=np.uint8)
-    schema = "block long, marks binary"
-    for r in ids.select(column).mapInArrow(mark, schema).groupBy("block").applyInArrow(merge, schema).toLocalIterator():
-        whole[r.block * block // 8 : (r.block + 1) * block // 8] = np.frombuffer(r.marks, dtype=np.uint8)
-    return whole
-
-
-def _slots(ids: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     """(id, shingles array<long>) of the documents wanted, and perhaps a few others.
 
-    Reads the texts again and hashes those that pass a filter of fixed size; texts are
+    Reads the texts again and hashes those that pass a filter of bounded size; texts are
     not shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, column))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value
         for b in batches:
-            at = _slots(b.column("doc_id").to_numpy(zero_copy_only=False), len(marks) * 8)
-            b = b.filter(pa.array((marks[at >> 3] >> (7 - (at & 7))) & 1 == 1))
             ids, rows, size, first = b.column("doc_id"), [], 0, 0
             for w in hashed_words(b.column("text"), lower=True):
                 rows.append(shingles(w).view(np.int64))
@@ -188,76 +165,69 @@ def sets_of(docs: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([ids[first:], pa.array(rows, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    return _texts(docs).mapInArrow(run, "id long, shingles array<long>")
+    return marked(_texts(docs), wanted, column).mapInArrow(run, "id long, shingles array<long>")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets overlap by percent or more."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(sets_of(docs, ids, "id"))
-    sa = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    sb = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    out = pairs.select("a", "b").join(sa, "a").join(sb, "b").withColumn("both", both)
-    links = cut(out.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b").distinct())
-    uncut(docs.sparkSession, sets)
-    return links
+def _salted(pairs: DataFrame, side: str) -> DataFrame:
+    """How many copies of a set a side's pairs are dealt to: (side, parts), for ids that many pairs need."""
+    return pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / SALT_PAIRS).cast("int").alias(f"parts_{side}"))
 
 
-def components(links: DataFrame, small: int = SMALL_LINKS, max_rounds: int = 60) -> DataFrame:
-    """(id, component): the least id reachable, for every id in links (a, b), a stored table.
+def confirm(sets: DataFrame, pairs: DataFrame, percent: int = 75) -> DataFrame:
+    """The pairs (a, b) of ids whose full sets overlap by percent or more. Both are stored tables.
 
-    Up to ``small`` links are joined by union-find in one executor task, whose memory that
-    number bounds; more links take the distributed way, with the same result.
+    Sets of ids with many pairs are joined in salted copies, so that no task has all pairs of one id.
     """
-    return _components_at_once(links) if links.count() <= small else _components_by_stars(links, max_rounds)
-
-
-def _components_at_once(links: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict[int, int] = {}
+    out = pairs.select("a", "b")
+    for side, other in ("ab", "ba"):
+        out = out.join(_salted(pairs, side), side).withColumn(f"salt_{side}", F.pmod(F.xxhash64(other), F.col(f"parts_{side}")).cast("int"))
+    for side in "ab":
+        copies = sets.join(_salted(pairs, side).withColumnRenamed(side, "id"), "id")
+        copies = copies.select(F.col("id").alias(side), F.explode(F.sequence(F.lit(0), F.col(f"parts_{side}") - 1)).alias(f"salt_{side}"), F.col("shingles").alias(f"s{side}"))
+        out = out.join(copies, [side, f"salt_{side}"])
+    out = out.withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return cut(out.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b").distinct())
 
-        def root(x: int) -> int:
-            while (y := up.setdefault(x, x)) != x:
-                up[x] = x = up[y]
-            return x
 
-        for batch in batches:
-            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = root(a), root(b)
-                up[max(a, b)] = min(a, b)
-        if up:
-            ids = list(up)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["id", "component"])
+def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(id, component): the least id reachable, for ids in links (a, b) that isn't the id itself; a stored table.
 
-    return links.select("a", "b").coalesce(1).mapInArrow(run, "id long, component long")
-
-
-def _components_by_stars(links: DataFrame, max_rounds: int) -> DataFrame:
-    """Alternates large and small stars until the edges are stars around least ids; each round
+    Alternates large and small stars until the edges are stars around least ids; each round
     is written to the shared folder. Minima are taken map-side first.
     """
     spark = links.sparkSession
-    edges, before = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     for _ in range(max_rounds):
-        two = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = two.groupBy(F.col("u").alias("mu")).agg(F.least(F.min("v"), F.col("mu")).alias("m"))
-        large = two.join(least, F.col("u") == F.col("mu")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u <> v").distinct())
-        low = large.groupBy(F.col("u").alias("mu")).agg(F.min("v").alias("m"))
-        joined = large.join(low, F.col("u") == F.col("mu"))
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("mu").alias("u"), F.col("m").alias("v")))
-        new = cut(small.where("u <> v").distinct())
-        now = tuple(new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        uncut(spark, edges, large)
+        near = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).union(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
+        least = near.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        large = edges.join(least, F.col("v") == F.col("x")).select("u", F.col("m").alias("v")).distinct()
+        low = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
+        small = large.join(low, F.col("u") == F.col("x")).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = cut(small.union(low.select("x", "m")).distinct())
+        uncut(spark, edges)
         edges = new
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    ids = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return ids.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        # stars: an id points to one other, and none points to an id that points on
+        ends = edges.select(F.col("u").alias("x"), F.col("v").alias("to"), F.lit(0).alias("centre")).union(edges.select(F.col("v").alias("x"), F.lit(None).cast("long").alias("to"), F.lit(1).alias("centre")))
+        ends = ends.groupBy("x").agg(F.min("to").alias("lo"), F.max("to").alias("hi"), F.max("centre").alias("centre"))
+        if ends.where("lo < hi OR (lo IS NOT NULL AND centre = 1)").isEmpty():
+            out = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            out._permspark_cut = edges._permspark_cut
+            return out
+    raise RuntimeError("components did not settle")
+
+
+def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (id, component, without ids that are their own) after more links (a, b); a stored table.
+
+    Only links between components go through components(), as links of their least ids.
+    """
+    if labels is None:
+        return components(links)
+    la, lb = (labels.select(F.col("id").alias(f"i{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
+    between = links.join(la, F.col("a") == F.col("ia"), "left").join(lb, F.col("b") == F.col("ib"), "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = components(cut(between.where("a <> b").distinct()))
+    to = moved.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return cut(labels.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component")).union(moved))
 
 
 def _close(percent: int) -> Column:
@@ -270,8 +240,43 @@ def _side(df: DataFrame, x: str, *more: str) -> DataFrame:
     return df.select("key", *more, F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows of buckets (key) with members of more than one component."""
+    mixed = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
+    return placed.join(mixed, "key", "left_semi")
+
+
+def prefix_pairs(sets: DataFrame, members: DataFrame, percent: int = 75) -> DataFrame:
+    """Pairs (a, b) of members of different components that overlap by percent, and a few others.
+
+    members: rep, component, n, sketch; sets: id, shingles. Shingles are ordered by the number
+    of members that have them. Of two sets that overlap enough, the first shingle in common is
+    among the first n(100-p)/(100+p) + 1 of the one that is not the larger, and among the first n(100-p)/100 + 1
+    of the other. In a shingle's group the members of its largest component are only met by
+    others, and groups of one component are left out.
+    """
+    who = members.select(F.col("rep").alias("id"), "component", "n", "sketch")
+    each = sets.join(who.select("id"), "id", "left_semi").select("id", F.explode("shingles").alias("h"))
+    count = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = each.join(count, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    own = F.col("n") - F.size("hs")  # shingles that nobody else has come first
+    first = F.floor(F.col("n") * (100 - percent) / 100) + 1
+    short = F.floor(F.col("n") * (100 - percent) / (100 + percent)) + 1
+    front = shared.join(who.select("id", "component", "n"), "id").where(first > own)
+    front = front.select("id", "component", "n", short.alias("short"), own.alias("own"), F.posexplode(F.slice("hs", F.lit(1), (first - own).cast("int"))).alias("i", "x"))
+    front = cut(front.select("id", "component", "n", F.col("x.h").alias("h"), (F.col("own") + F.col("i") < F.col("short")).alias("early")))
+    sizes = front.groupBy("h", "component").agg(F.count(F.lit(1)).alias("size"), F.max("early").alias("early"))
+    groups = sizes.groupBy("h").agg(F.max(F.struct("size", "component")).alias("x"), F.count(F.lit(1)).alias("k"), F.max("early").alias("early")).where("k > 1 AND early")
+    groups = groups.select("h", F.col("x.component").alias("largest"))
+    met = front.join(groups, "h").join(who.select("id", "sketch"), "id")
+    a, b = (met.select("h", *(["largest"] if x == "a" else []), F.col("id").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("early").alias(f"e{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    once = (F.col("cb") == F.col("largest")) | (F.col("a") < F.col("b"))
+    early = ((F.col("na") <= F.col("nb")) & F.col("ea")) | ((F.col("nb") <= F.col("na")) & F.col("eb"))
+    return a.where("ca <> largest").join(b, "h").where(once & early & _close(percent)).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 2, leaders: int = 8) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
+    """doc_id, n_shingles, component_id, kept for every row of docs, as a stored table."""
     spark = docs.sparkSession
     f = cut(features(docs))
     classes = cut(f.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
@@ -284,66 +289,64 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 2, leaders
         shared = theirs.join(node, "doc_id").select(F.col("rep").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
     sketches = classes.select("rep", "n", "sketch")
     banded = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("members")).where("leader < last")
-    active = cut(banded.join(buckets, "key").select("key", "rep", "leader", "members"))
+    buckets = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("key", "leader")
+    active = cut(banded.join(buckets, "key").select("key", "rep", "leader"))
 
+    flipped = flips(F.col("sa"), F.col("sb"))
     s1, s2 = (sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("rep").alias(f"c{x}")) for x in "ab")
-    stars = active.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    stars = stars.join(s1, "a").join(s2, "b").where(_close(percent)).withColumn("flips", flips(F.col("sa"), F.col("sb")))
-    pairs = cut(stars.groupBy("a").agg(F.min(F.struct("flips", "b")).alias("x")).select("a", F.col("x.b").alias("b")))
-    tried, labels = pairs, None
-
+    near = active.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct().join(s1, "a").join(s2, "b")
+    tried = labels = None
     for turn in range(rounds + 1):
-        links = confirm(docs, pairs, percent)
+        near = near.where(_close(percent)).select("a", "b", likeness(flipped, F.col("na"), F.col("nb")).alias("like"))
+        if tried is not None:
+            near = near.join(tried, ["a", "b"], "left_anti")
+        pairs = cut(near.groupBy("a").agg(F.max(F.struct("like", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b")))
+        tried = pairs if tried is None else tried.union(pairs)
+        if turn and pairs.isEmpty():
+            break
+        sets = cut(sets_of(docs, cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id"))
+        links = confirm(sets, pairs, percent)
+        uncut(spark, sets)
         if turn == 0 and shared is not None:
             links = cut(links.select("a", "b").union(shared))
-        if labels is None or not links.isEmpty():
-            joined = links if labels is None else cut(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
-            labels = cut(components(joined))
-        uncut(spark, links)
-        placed = active.select("key", "rep", "members").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "members", F.coalesce("component", "rep").alias("component"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
-        before, active = active, cut(placed.join(mixed, "key", "left_semi"))
-        uncut(spark, before)
-        here = active.join(sketches, "rep")
+        if turn and links.isEmpty():  # nothing more to gain from drawing
+            break
+        before, labels = labels, relabelled(labels, links)
+        if before is not None:
+            uncut(spark, before)
+        place = active.select("key", "rep").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        old, active = active, cut(_mixed(place))
+        uncut(spark, old, links)
         if turn == rounds:
             break
         # up to `leaders` members of other components, one drawn from each
         drawn = active.groupBy("key", "component").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("rep"))
         drawn = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("component", F.lit(turn)), "component"))).where(F.col("rank") <= leaders)
-        drawn = drawn.select("key", "rep", "component").join(sketches, "rep")
-        near = _side(here, "a").join(_side(drawn, "b"), "key").where(_close(percent)).withColumn("flips", flips(F.col("sa"), F.col("sb")))
-        near = near.select("a", "b", "flips").join(tried, ["a", "b"], "left_anti")
-        pairs = cut(near.groupBy("a").agg(F.min(F.struct("flips", "b")).alias("x")).select("a", F.col("x.b").alias("b")))
-        tried = tried.union(pairs)
-        if pairs.isEmpty():
-            break
-
-    # what is left: pairs of members of different components in one bucket
-    # (one of each pair is outside the bucket's largest component, so only those are compared with all)
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    sizes = active.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("x")).select("key", F.col("x.component").alias("largest"))
-    outside = here.join(largest, "key").where("component <> largest")
-    left = _side(outside.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")), "a", "block", "largest")
-    right = _side(here.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))), "b", "block")
-    rest = left.join(right, ["key", "block"]).where(_close(percent) & ((F.col("cb") == F.col("largest")) | (F.col("a") < F.col("b"))))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = cut(rest.join(done, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = confirm(docs, rest, percent)
-        if not more.isEmpty():
-            labels = cut(components(cut(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))))
-
-    rep = f.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
+        near = _side(active.join(sketches, "rep"), "a").join(_side(drawn.select("key", "rep", "component").join(sketches, "rep"), "b"), "key")
+
+    members = cut(active.select("rep", "component").distinct().join(sketches, "rep"))
+    if not members.isEmpty():
+        sets = cut(sets_of(docs, members, "rep"))
+        rest = prefix_pairs(sets, members, percent)
+        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
+        links = confirm(sets, rest, percent)
+        uncut(spark, sets)
+        if not links.isEmpty():
+            labels = relabelled(labels, links)
+
+    # texts without words have no class; they stay out of the join, where they would all meet in one task
+    named = f.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest")
+    rep = named.select("doc_id", "n_shingles", "rep").union(f.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("rep")))
     if node is not None:
-        rep = rep.join(node, "doc_id", "left").withColumn("rep", F.coalesce("rep", "least"))
-    out = rep.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+        rep = rep.join(node, "doc_id", "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.coalesce("least", "rep")))
+    out = rep.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     lone = docs.where(F.col("doc_id").isNull())
     counted = features(lone.withColumn("doc_id", F.lit(-1))).select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return out.union(counted)
+    done = cut(out.union(counted))
+    uncut(spark, f, classes, many, active, members, labels)
+    return done
 
 
 def keep(docs: DataFrame) -> DataFrame:

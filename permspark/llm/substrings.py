@@ -1,23 +1,28 @@
 """Substring dedup: words covered by a 50-word window that also starts in an earlier document.
 
-Every window has an anchor, the least hash of its 25-word runs; equal windows have equal
-anchors, and neighbouring windows mostly share theirs, so a text has some 0.07 distinct
-anchors a word. Two passes:
+Every window has an anchor, the least hash of its 25-word runs. Equal windows have equal
+anchors, so a window occurs at most as often as its anchor, and a sketch that never
+underestimates anchors never underestimates windows. Neighbouring windows mostly share
+theirs: a text has some 0.07 distinct anchors a word, and the sketch of anchors is that much smaller than one
+of windows, which no executor could hold. Steps:
 
 1. Each task counts its documents' anchors in a count-min sketch (two rows of ``2**bits``
    counters that saturate at two). Sparse partial sketches are merged by block on the
-   executors into one bitmap per row of the counters that reached two. A window occurs at
-   most as often as its anchor, so the merged sketch never underestimates windows.
-2. The texts are read again. Windows whose anchor is estimated repeated, a few per cent
-   beyond those that are, are grouped exactly by anchor and window hash (64 bits each);
-   the least doc_id of each is taken map-side first. Nothing repeated is lost: the sketch
-   only ever lets too much through. The bitmaps have a fixed size, ``2 * 2**bits / 8``
-   bytes; on corpora with far more anchors than counters the second pass groups more.
+   executors into one bitmap per row of the counters that reached two. The size follows the
+   bytes of the texts, four counters an anchor, up to ``MAX_BITS`` (2 x 32 MB of bitmaps).
+2. The texts are read again, and the runs of windows whose anchor is estimated repeated are
+   written as (anchor, document, place). Anchors that no second text has, which the sketch let
+   through, are taken out by an exact group-by with map-side minima. A sketch that is too
+   small for its input costs rows in this step, a quarter of the texts' size at most, and nothing later.
+3. Texts with repeated anchors alone are read a third time, for the hashes of those windows; they are
+   grouped exactly by anchor and window hash (64 bits each), the least doc_id taken map-side
+   first. The join back may be split by AQE where a window is very common.
 
 Windows are judged on the input. Defined cases: texts without 50 words keep all words;
-null text has none; doc_id names a text (rows that repeat are treated alike, neither is
-earlier than the other); rows without doc_id are neither judged nor count as earlier;
-other columns are kept by strip() and ignored otherwise.
+null text has none; rows that repeat a doc_id with the same text are treated alike, neither is
+earlier than the other; rows that share a doc_id but not the text are judged each on its own;
+rows without doc_id are neither judged nor count as earlier; other columns, whatever their
+names, are kept by strip() and ignored otherwise; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,13 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permspark.llm.common import cut, hashed_words, mix, runs_of, table, texts_of, uncut
+from permspark.llm.common import cut, hashed_words, marked, mix, runs_of, table, texts_of, uncut
 
 WINDOW, RUN = 50, 25
-BITS = 26
+MAX_BITS = 28
+#: A text has an anchor for about so many bytes.
+ANCHOR_BYTES = 88
 BLOCK = 1 << 20
 _ROWS = (np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1))
 _BASE = 0xD1342543DE82EF95
@@ -75,7 +82,13 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
 
 
-def count_min(docs: DataFrame, bits: int = BITS) -> np.ndarray:
+def sketch_bits(docs: DataFrame) -> int:
+    """Counters for about four times as many anchors as the texts have, as a power of two up to a bound."""
+    size = _texts(docs).agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return min(MAX_BITS, max(20, (4 * size // ANCHOR_BYTES).bit_length()))
+
+
+def count_min(docs: DataFrame, bits: int) -> np.ndarray:
     """Bitmaps, one a row, of the counters that reach two over all documents' anchors."""
 
     def partial(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -139,35 +152,85 @@ def repeated(a: np.ndarray, marks: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-CANDIDATES = "anchor long, doc_id long, pos int, windows array<long>"
+RUNS = "anchor long, doc_id long, place long, n int"
+WINDOWS = "anchor long, doc_id long, place long, windows array<long>"
+
+
+def key_of(text: Column) -> Column:
+    """31 bits of a text's hash, that tell it from others of its doc_id; they stand in front of the place of a window."""
+    return F.shiftright(F.xxhash64(text), 33).bitwiseAND(F.lit((1 << 31) - 1))
+
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return _texts(docs).select("doc_id", "text", key_of(F.col("text")).alias("key"))
 
-def candidates(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """Runs of neighbouring windows that share an anchor estimated repeated."""
+
+def candidates(docs: DataFrame, bits: int) -> DataFrame:
+    """Runs of neighbouring windows that share an anchor estimated repeated: where they begin, and how many."""
     shared = docs.sparkSession.sparkContext.broadcast(count_min(docs, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
 
         def out(found: list[tuple]) -> pa.RecordBatch:
-            a, d, p, n, h = (np.concatenate(x) for x in zip(*found, strict=True))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(d), pa.array(p.astype(np.int32)), lists], names=["anchor", "doc_id", "pos", "windows"])
+            a, d, p, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(d), pa.array(p), pa.array(n.astype(np.int32))], names=["anchor", "doc_id", "place", "n"])
 
         for b in batches:
-            ids, found, size = b.column("doc_id").to_numpy(zero_copy_only=False), [], 0
-            for doc, w in zip(ids, hashed_words(b.column("text")), strict=True):
+            ids, keys, found, size = *(b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key")), [], 0
+            for doc, key, w in zip(ids, keys, hashed_words(b.column("text")), strict=True):
                 if len(w) < WINDOW:
                     continue
                 a = anchors(w)
                 starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-                lengths = np.diff(np.append(starts, len(a)))
                 keep = repeated(a[starts], marks, bits)
-                if not keep.any():
+                if keep.any():
+                    n = np.diff(np.append(starts, len(a)))[keep]
+                    starts = starts[keep]
+                    found.append((a[starts], np.full(len(starts), doc, dtype=np.int64), starts | (int(key) << 32), n))
+                    size += len(starts)
+                if size > 200_000:
+                    yield out(found)
+                    found, size = [], 0
+            if found:
+                yield out(found)
+
+    return _keyed(docs).mapInArrow(run, RUNS)
+
+
+def repeated_runs(docs: DataFrame, bits: int) -> DataFrame:
+    """(id, key, runs): by text, the runs whose anchor occurs in texts of two doc_ids; a stored table."""
+    c = cut(candidates(docs, bits))
+    twice = c.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    held = c.join(twice, "anchor", "left_semi").withColumn("key", F.shiftright("place", 32))
+    runs = F.sort_array(F.collect_list(F.struct(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("start"), "n", "anchor")))
+    out = cut(held.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("of")).agg(runs.alias("runs")))
+    uncut(docs.sparkSession, c)
+    return out
+
+
+def windows(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """The hashes of the windows of runs. Only texts that have runs, and a few others, are shuffled."""
+    texts = marked(_keyed(docs), runs, "id")
+    joined = texts.join(runs, (F.col("doc_id") == F.col("id")) & (F.col("key") == F.col("of"))).select("doc_id", "key", "text", "runs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            a, d, p, n, h = (np.concatenate(x) for x in zip(*found, strict=True))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(d), pa.array(p), lists], names=["anchor", "doc_id", "place", "windows"])
+
+        for b in batches:
+            found, size = [], 0
+            for doc, key, r, w in zip(*(b.column(c).to_pylist() for c in ("doc_id", "key")), b.column("runs"), hashed_words(b.column("text")), strict=True):
+                starts, n, a = (r.values.field(c).to_numpy() for c in ("start", "n", "anchor"))
+                h = window_hashes(w)
+                ok = starts + n <= len(h)  # but for a text whose key is another's
+                starts, n, a = starts[ok].astype(np.int64), n[ok].astype(np.int64), a[ok]
+                if not len(n):
                     continue
-                starts, lengths = starts[keep], lengths[keep]
-                at = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-                found.append((a[starts], np.full(len(starts), doc, dtype=np.int64), starts, lengths, window_hashes(w)[at]))
+                at = np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                found.append((a, np.full(len(n), doc, dtype=np.int64), starts | (key << 32), n, h[at]))
                 size += len(at)
                 if size > 200_000:
                     yield out(found)
@@ -175,72 +238,96 @@ def candidates(docs: DataFrame, bits: int = BITS) -> DataFrame:
             if found:
                 yield out(found)
 
-    return _texts(docs).mapInArrow(run, CANDIDATES)
+    return joined.mapInArrow(run, WINDOWS)
 
 
-def removals(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """(removal_id, starts array<int>): windows of a document that also start in an earlier one."""
-    c = cut(candidates(docs, bits))
-    each = c.select("anchor", "doc_id", F.posexplode("windows").alias("i", "h"), "pos")
+def removals(docs: DataFrame, bits: int | None = None) -> DataFrame:
+    """(removal_id, removal_key, starts array<int>): windows of a text that also start in an earlier doc_id; a stored table."""
+    runs = repeated_runs(docs, bits or sketch_bits(docs))
+    c = cut(windows(docs, runs))
+    each = c.select("anchor", "doc_id", "place", F.posexplode("windows").alias("i", "h"))
     first = c.select("anchor", "doc_id", F.explode("windows").alias("h")).groupBy("anchor", "h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     first = first.select(F.col("anchor").alias("fa"), F.col("h").alias("fh"), "first")
-    late = each.join(first, (F.col("anchor") == F.col("fa")) & (F.col("h") == F.col("fh"))).where("doc_id > first")
-    out = cut(late.groupBy(F.col("doc_id").alias("removal_id")).agg(F.sort_array(F.collect_set(F.col("pos") + F.col("i"))).alias("starts")))
-    uncut(docs.sparkSession, c)
+    late = each.select("anchor", "h", "doc_id", (F.col("place") + F.col("i")).alias("place")).join(first, (F.col("anchor") == F.col("fa")) & (F.col("h") == F.col("fh"))).where("doc_id > first")
+    start = F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    out = cut(late.groupBy(F.col("doc_id").alias("removal_id"), F.shiftright("place", 32).alias("removal_key")).agg(F.sort_array(F.collect_set(start)).alias("starts")))
+    uncut(docs.sparkSession, c, runs)
     return out
 
 
 def kept_words(words: list[bytes], starts: np.ndarray) -> list[bytes]:
     """words without those covered by windows at starts."""
     change = np.zeros(len(words) + 1, dtype=np.int64)
+    starts = starts[starts <= len(words) - WINDOW]  # others are of a text with the same key
     np.add.at(change, starts, 1)
-    np.add.at(change, np.minimum(starts + WINDOW, len(words)), -1)
+    np.add.at(change, starts + WINDOW, -1)
     return [w for w, c in zip(words, np.cumsum(change[:-1]).tolist(), strict=True) if c == 0]
 
 
+def _starts(column: pa.Array) -> list[np.ndarray | None]:
+    """Of each row, the starts of windows; None without."""
+    return [x.values.to_numpy() if x.is_valid else None for x in column]
+
+
+def _with_starts(rows: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may lose words, with starts; the others). rows: id, key and any others.
+
+    Only the former are shuffled, by a filter of ids of bounded size.
+    """
+    hit, rest = marked(rows, gone, "removal_id", split=True, column="_sd_id")
+    on = (F.col("_sd_id") == F.col("removal_id")) & (F.col("_sd_key") == F.col("removal_key"))
+    return hit.join(gone, on, "left").drop("removal_id", "removal_key"), rest
+
+
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def judge(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def judge(docs: DataFrame, bits: int | None = None) -> DataFrame:
     """Counts and digest of the kept words of every row of docs."""
     gone = removals(docs, bits)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_sd_id"), F.col("text").cast("string").alias("text"))
+    hit, rest = _with_starts(rows.select("_sd_id", "text", key_of(F.col("text")).alias("_sd_key")), gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = texts_of(b.column("text"))
-            rows = []
-            for starts, lo, hi in zip(b.column("starts"), offsets[:-1], offsets[1:], strict=True):
+            rows, found = [], _starts(b.column("starts"))
+            for starts, lo, hi in zip(found, offsets[:-1], offsets[1:], strict=True):
                 words = data[lo:hi].tobytes().split()
-                kept = kept_words(words, starts.values.to_numpy()) if starts.is_valid else words
+                kept = kept_words(words, starts) if starts is not None else words
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             if rows:
                 n, gone_, sha = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone_, pa.int64()), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([b.column("_sd_id"), pa.array(n, pa.int64()), pa.array(gone_, pa.int64()), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return texts.join(gone, F.col("doc_id") == F.col("removal_id"), "left").select("doc_id", "text", "starts").mapInArrow(run, RESULT)
+    none = F.lit(None).cast("array<int>").alias("starts")
+    return hit.select("_sd_id", "text", "starts").mapInArrow(run, RESULT).union(rest.select("_sd_id", "text", none).mapInArrow(run, RESULT))
 
 
-def strip(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def strip(docs: DataFrame, bits: int | None = None) -> DataFrame:
     """docs with repeated words taken out of ``text``: kept words are joined by one space.
 
-    Texts that lose nothing stay as they are; all rows and other columns stay.
+    Texts that lose nothing stay as they are; all rows and other columns stay, whatever their names.
     """
     gone = removals(docs, bits)
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), docs.columns
+    own = docs.toDF(*(f"c{i}" for i in range(len(names))))  # no input name clashes with ours
+    key = key_of(F.col(f"c{at}").cast("string"))
+    rows = own.select(F.col(f"c{names.index('doc_id')}").cast("long").alias("_sd_id"), key.alias("_sd_key"), *own.columns)
+    hit, rest = _with_starts(rows, gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, starts in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
+            for text, starts in zip(b.column(at), _starts(b.column(b.num_columns - 1)), strict=True):
                 t = text.as_py()
-                out.append(b" ".join(kept_words(t.encode().split(), starts.values.to_numpy())).decode() if starts.is_valid and t else t)
+                out.append(b" ".join(kept_words(t.encode().split(), starts)).decode() if starts is not None and t else t)
             cols = list(b.columns[:-1])
             cols[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
-    joined = docs.join(gone, docs["doc_id"].cast("long") == gone["removal_id"], "left").drop("removal_id")
-    return joined.mapInArrow(run, docs.schema)
+    changed = hit.select(*own.columns, "starts").mapInArrow(run, own.schema)
+    return changed.union(rest.select(*own.columns)).toDF(*names)
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

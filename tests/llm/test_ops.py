@@ -293,7 +293,7 @@ def test_substrings(docs):
                 late.update(range(k, k + 50))
         kept = [x for k, x in enumerate(w) if k not in late]
         want[i] = (len(w), len(late), hashlib.sha256(b" ".join(kept)).hexdigest())
-    for bits in (26, 4):  # a sketch that lets everything through loses nothing, too
+    for bits in (None, 4):  # a sketch that lets everything through loses nothing, too
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.judge(docs(texts), bits).collect()}
         assert got.pop(None)[1] == 0 and got == want
     out = {r.doc_id: r.text for r in substrings.strip(docs(texts)).collect()}
@@ -365,12 +365,93 @@ def test_near_duplicates(docs):
     assert kept.columns == docs(texts).columns and kept.count() == 1 + sum(comp[k] == k for k in comp)
 
 
-def test_components_both_ways(spark):
+def least_reachable(links):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {x: root(x) for x in up}
+
+
+def test_components(spark):
     rng = random.Random(9)
-    links = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(12)]
+    links = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(12)] + [(200, 230 - i) for i in range(9)]
+    want = least_reachable(links)
     df = common.cut(spark.createDataFrame(links, "a long, b long").where("a <> b"))
-    one = {(r.id, r.component) for r in neardup.components(df).collect()}
-    assert {(r.id, r.component) for r in neardup.components(df, small=0).distinct().collect()} == one
+    assert {r.id: r.component for r in neardup.components(df).collect()} == {k: v for k, v in want.items() if k != v}
+    first = neardup.components(df.where("a < 30"))
+    got = {r.id: r.component for r in neardup.relabelled(first, common.cut(df.where("a >= 30"))).collect()}
+    assert got == {k: v for k, v in want.items() if k != v}
+    assert neardup.components(df.limit(0)).count() == 0
+
+
+def brute_components(texts):
+    """(sets, component) of (id, text) with distinct ids, all pairs compared."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().encode().split()) else set() for i, t in texts}
+    ids = sorted(i for i in sets if sets[i])
+    links = [(i, i) for i in sets] + [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    return sets, least_reachable(links)
+
+
+def test_near_duplicates_of_families_near_the_limit(docs, monkeypatch):
+    """Families of texts that share 55 to 85 % with each other: links and the lack of them, through all steps."""
+    monkeypatch.setattr(neardup, "SALT_PAIRS", 3)
+    rng, texts = random.Random(12), []
+    for family in range(6):
+        base = prose(500 + family, 120).split()
+        for k in range(14):
+            w = list(base[: rng.choice([120, 120, 100])])
+            for _ in range(rng.choice([1, 2, 3, 4, 5, 6])):
+                w[rng.randrange(len(w))] = prose(7000 + family * 100 + k, 1) + "x"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    sets, want = brute_components(list(enumerate(texts)))
+    for rounds in (0, 2):
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(texts), rounds=rounds).collect()}
+        assert got == want
+    assert 6 < len(set(want.values())) < len(texts)
+
+
+def test_prefixes_lose_no_pair_and_templates_do_not_meet(spark, docs, monkeypatch):
+    rng, base = random.Random(3), prose(900, 140)
+    texts = [(i, base + " " + prose(10_000 + i, 60)) for i in range(300)]  # 60 to 70 % alike: never linked
+    near = [" ".join(w if rng.random() > 0.02 else "zz" for w in texts[i][1].split()) for i in range(12)]
+    texts += [(1000 + i, t) for i, t in enumerate(near)]
+    sets, want = brute_components(texts)
+    d = docs(texts)
+    f = common.cut(neardup.features(d))
+    members = f.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("component"), F.col("n_shingles").alias("n"), "sketch")
+    stored = common.cut(neardup.sets_of(d, members, "rep"))
+    pairs = {tuple(sorted((r.a, r.b))) for r in neardup.prefix_pairs(stored, members).collect()}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert linked <= pairs and len(pairs) < 3 * len(linked) and len(linked) >= 6
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(d).collect()}
+    assert got == want
+
+
+def test_odd_sketches_estimate_similarity(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for n in (60, 400, 3000):
+        for share in (0.6, 0.75, 0.9, 0.97):
+            for _ in range(12):
+                one = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+                same = int(round(2 * len(one) * share / (1 + share)))
+                two = np.unique(np.concatenate([rng.permutation(one)[:same], rng.integers(0, 2**64, len(one) - same, dtype=np.uint64)]))
+                true = len(np.intersect1d(one, two)) / len(np.union1d(one, two))
+                rows.append((n, share, true, len(one), len(two), *(neardup.odd_sketch(x).tolist() for x in (one, two))))
+    df = spark.createDataFrame(rows, "n int, share double, jaccard double, na long, nb long, sa array<long>, sb array<long>")
+    df = df.withColumn("like", neardup.likeness(neardup.flips(F.col("sa"), F.col("sb")), F.col("na"), F.col("nb")))
+    for r in df.groupBy("n", "share").agg(F.avg(F.abs(F.col("like") - F.col("jaccard"))).alias("off")).collect():
+        assert r.off < (0.03 if r.share < 0.9 else 0.02), r
+    closed = df.withColumns({"ca": F.lit(1), "cb": F.lit(2)}).where("jaccard >= 0.75")
+    assert closed.where(neardup._close(75)).count() == closed.count()
 
 
 def test_odd_sketch_never_exceeds_the_difference():
