@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -40,6 +41,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _letters(word: str) -> bool:
+    """Whether a word is letters alone, also as the tokenizer writes it: composed and in lower case."""
+    return word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha()
+
+
 class WordEncoder:
     """Ids of texts as little-endian uint32 bytes, by a tokenizer that never spans white space,
     lowers case and parts letters from full stops and commas.
@@ -82,7 +88,7 @@ class WordEncoder:
         cores, tails = [], []
         for w in words:
             core = w.rstrip(b".,")
-            if core.isalpha() or core.decode().isalpha():
+            if core.isalpha() or _letters(core.decode()):
                 cores.append(core.lower())
                 tails.append(w[len(core) :])
             else:

@@ -3,6 +3,7 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -262,6 +263,24 @@ def test_packing(docs, monkeypatch):
     assert len(by_seq) <= sum(map(len, want.values())) / 4096 + 2
 
 
+def test_word_ids_are_those_of_the_library():
+    """Letters that change under composition or lower case, marks, digits and signs, before stops and commas."""
+    from tokenizers import Tokenizer
+
+    tk, enc = Tokenizer.from_file(packing.default_tokenizer()), packing.WordEncoder(packing.default_tokenizer())
+    odd = [chr(c) for c in range(0xA0, 0x2500) if not chr(c).isspace() and (chr(c).lower() != chr(c) or unicodedata.normalize("NFC", chr(c)) != chr(c) or unicodedata.combining(chr(c)) or unicodedata.category(chr(c)) in ("Lm", "Lt", "Lo"))]
+    odd += ["İ", "ẞ", "Å", "K", "ﬁ", "ǅ", "e\u0301", "A\u030a", "가", "각", "中", "ا", "ʼ", "\u0345", "\u0307", "i\u0307", "Σ", "ΣΑΣ"]
+    rng = random.Random(17)
+    words = [x + tail for x in odd for tail in ("", ".", ",")]
+    words += ["".join(rng.choice([*odd[-18:], rng.choice(odd), "a", "B", "é", "1", "-", "'"]) for _ in range(rng.randint(1, 5))) + rng.choice(["", ".", ",", ".,", "..."]) for _ in range(4000)]
+    data = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
+    edges = np.concatenate([[0], np.cumsum([len(w.encode()) + 1 for w in words])])
+    edges[-1] = len(data)
+    ids, stops = enc.encode(data, edges)
+    wrong = [w for w, a, b in zip(words, [0, *stops[:-1]], stops, strict=True) if ids[a:b].tolist() != tk.encode(w, add_special_tokens=False).ids]
+    assert not wrong, wrong[:10]
+
+
 def test_first_fit_decreasing_is_first_fit():
     rng = random.Random(3)
     sizes = [rng.randint(1, 100) for _ in range(300)]
