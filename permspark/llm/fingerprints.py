@@ -17,12 +17,10 @@ no place in that order and is edited with the empty text; other columns are igno
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from permspark.llm.common import table, text_or_empty
+from permspark.llm.common import cut, table, text_or_empty
 from permspark.llm.quality_rules import words_of
 
 #: Keys are dealt to groups of so many at each level when neighbours are sought.
@@ -96,40 +94,62 @@ def next_lower(keys: DataFrame, key: str, low: int, high: int) -> DataFrame:
     Keys are grouped by their leading bits, level on level, until one group of at most
     2**FAN is left; a group never holds more than 2**FAN keys.
     """
+    k = keys.select(F.col(key).alias("k"))
     if high - low < 1 << FAN:
-        return keys.select(key, F.lag(key).over(Window.partitionBy(F.lit(0)).orderBy(key)).alias("lower"))
-    grouped = keys.withColumn("_up", F.shiftright(key, FAN))
-    within = grouped.withColumn("_lag", F.lag(key).over(Window.partitionBy("_up").orderBy(key)))
-    tops = grouped.groupBy("_up").agg(F.max(key).alias("_top"))
-    above = next_lower(tops.select("_up"), "_up", low >> FAN, high >> FAN)
-    before = above.join(tops.select(F.col("_up").alias("lower"), "_top"), "lower").select(F.col("_up").alias("_up2"), F.col("_top").alias("_before"))
-    return within.join(before, F.col("_up") == F.col("_up2"), "left").select(key, F.coalesce("_lag", "_before").alias("lower"))
+        return k.select(F.col("k").alias(key), F.lag("k").over(Window.partitionBy(F.lit(0)).orderBy("k")).alias("lower"))
+    grouped = k.withColumn("up", F.shiftright("k", FAN))
+    within = grouped.withColumn("lag", F.lag("k").over(Window.partitionBy("up").orderBy("k")))
+    tops = grouped.groupBy("up").agg(F.max("k").alias("top"))
+    above = next_lower(tops, "up", low >> FAN, high >> FAN).where("lower IS NOT NULL")
+    before = above.join(tops.select(F.col("up").alias("lower"), "top"), "lower").select(F.col("up").alias("up2"), F.col("top").alias("before"))
+    return within.join(before, F.col("up") == F.col("up2"), "left").select(F.col("k").alias(key), F.coalesce("lag", "before").alias("lower"))
+
+
+#: More heads of buckets than these are joined by shuffling, not broadcast (some 40 MB).
+MAX_BROADCAST_HEADS = 1_000_000
+
+
+def bucket_shift(ids: DataFrame, rows: int) -> int:
+    """By how many bits ids are shifted to make buckets: the most that leaves none with over 2 * rows rows.
+
+    ids: a column ``doc_id``, without nulls. Counts decide, not the range of ids, so outliers and
+    gaps don't matter; where one id alone has more rows, the smallest shift.
+    """
+    low = 6
+    counts = ids.groupBy(F.shiftright("doc_id", low).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    each = counts.select("n", F.explode(F.transform(F.sequence(F.lit(low), F.lit(62), F.lit(2)), lambda s: F.struct(s.alias("s"), F.expr("b").alias("b")))).alias("x"))
+    each = each.select(F.col("x.s").alias("s"), F.expr(f"shiftright(x.b, x.s - {low})").alias("b"), "n").groupBy("s", "b").agg(F.sum("n").alias("n"))
+    fits = each.groupBy("s").agg(F.max("n").alias("n")).where(F.col("n") <= 2 * rows)
+    return fits.agg(F.max("s")).first()[0] or low
 
 
-def with_next(docs: DataFrame, share: float = 0.25, rows: int = 1024) -> DataFrame:
+def with_next(docs: DataFrame, share: float = 0.25, rows: int = 1024, max_heads: int = MAX_BROADCAST_HEADS) -> DataFrame:
     """(doc_id, text, sketch, next_text, next_sketch) by descending doc_id; after the last the first.
 
-    Texts are shuffled once, into buckets of neighbouring ids of about ``rows`` rows; the
-    first row of each bucket is joined to the bucket before it by the bucket's own key, so
-    nothing is dealt anew. No window or task grows with the input.
+    Texts are shuffled once, into buckets of neighbouring ids of about ``rows`` rows. The first
+    row of each bucket is what the last row of the bucket before it needs: heads are found
+    from ids alone, and their texts picked by a broadcast of those ids, if they are few enough, else
+    by a join. No window or task grows with the input, unless a single doc_id has very many rows.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    n, low, high = d.where(F.col("doc_id").isNotNull()).agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
     lone = sketch_of(sketch_of(d.where(F.col("doc_id").isNull()).withColumn("next_text", F.lit("")), "text", "sketch", share), "next_text", "next_sketch", share)
     columns = ["doc_id", "text", "sketch", "next_text", "next_sketch"]
-    if not n:
+    ids = d.where(F.col("doc_id").isNotNull()).select("doc_id")
+    low, high = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low is None:
         return lone.select(*columns)
-    shift = max(0, round(math.log2(max(1, rows * (high - low + 1) / n))))
-    # the filter on bucket is what the join would infer on one side: with it, both sides reuse one exchange
-    dealt = d.where(F.col("doc_id").isNotNull()).withColumn("bucket", F.shiftright("doc_id", shift)).where("bucket IS NOT NULL").repartition("bucket")
+    shift = bucket_shift(ids, rows)
+    bucketed = d.where(F.col("doc_id").isNotNull()).withColumn("bucket", F.shiftright("doc_id", shift))
     order = Window.partitionBy("bucket").orderBy(F.desc("doc_id"), "text")
-    rowed = sketch_of(dealt, "text", "sketch", share).select(
+    rowed = sketch_of(bucketed.repartition("bucket"), "text", "sketch", share).select(
         "bucket", "doc_id", "text", "sketch", F.lead("text").over(order).alias("lead_text"), F.lead("sketch").over(order).alias("lead_sketch")
     )
-    heads = dealt.withColumn("rank", F.row_number().over(order)).where("rank = 1")
-    heads = sketch_of(heads.select(F.col("bucket").alias("head_bucket"), F.col("text").alias("head_text")), "head_text", "head_sketch", share)
-    buckets = docs.select(F.shiftright(F.col("doc_id").cast("long"), shift).alias("b")).where("b IS NOT NULL").distinct()
-    follows = next_lower(buckets, "b", low >> shift, high >> shift).select("b", F.coalesce("lower", F.lit(high >> shift)).alias("head_of"))
+    firsts = cut(ids.groupBy(F.shiftright("doc_id", shift).alias("head_bucket")).agg(F.max("doc_id").alias("head_id")))
+    n = firsts.count()
+    heads = bucketed.join(F.broadcast(firsts) if n <= max_heads else firsts, F.col("doc_id") == F.col("head_id"))
+    heads = heads.groupBy("head_bucket").agg(F.min("text").alias("head_text"))  # of rows that share the id the first
+    heads = sketch_of(heads, "head_text", "head_sketch", share)
+    follows = next_lower(firsts.select(F.col("head_bucket").alias("b")), "b", low >> shift, high >> shift).select("b", F.coalesce("lower", F.lit(high >> shift)).alias("head_of"))
     heads = heads.join(follows, F.col("head_bucket") == F.col("head_of")).select("b", "head_text", "head_sketch")
     out = rowed.join(heads, F.col("bucket") == F.col("b"), "left").select(
         "doc_id", "text", "sketch", F.coalesce("lead_text", "head_text").alias("next_text"), F.coalesce("lead_sketch", "head_sketch").alias("next_sketch")
@@ -137,14 +157,17 @@ def with_next(docs: DataFrame, share: float = 0.25, rows: int = 1024) -> DataFra
     return out.unionByName(lone.select(*columns))
 
 
-def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = with_next(table(spark, sf_dir, "documents"))
-    n = F.length("text")
-    df = df.withColumn("n_chars", n.cast("long"))
+def edited(docs: DataFrame) -> DataFrame:
+    """with_next() and ``n_chars``, ``edited`` and ``edited_sketch``: the second half taken from the next text's start."""
+    df = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     df = df.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substr("next_text", F.lit(1), half)))
-    df = sketch_of(df, "edited", "edited_sketch")
-    return df.select(
+    return sketch_of(df, "edited", "edited_sketch")
+
+
+def compare(docs: DataFrame) -> DataFrame:
+    """Fingerprints of every text and its edited text, and how alike they and the next text's are."""
+    return edited(docs).select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
@@ -155,4 +178,8 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op4_fingerprints": op4_fingerprints}

@@ -160,13 +160,14 @@ def test_bpe_dropout_draws_for_each_occurrence(docs):
 
 def test_fingerprints(spark, docs, monkeypatch):
     texts = [(i * 7 - 20, t) for i, t in enumerate([*ODD, prose(8, 300), prose(8, 300) + " more", prose(9, 50)])] + [(None, "lone text of six words here")]
-    for rows in (2,):
-        df = common.cut(fingerprints.with_next(docs(texts), rows=rows))
-        got = {r.doc_id: (r.text, r.next_text) for r in df.collect()}
-        order = sorted((x for x in texts if x[0] is not None), key=lambda x: -x[0])
-        for k, (i, t) in enumerate(order):
-            assert got[i] == (t or "", order[(k + 1) % len(order)][1] or "")
-        assert got[None][1] == ""
+    texts += [(1 << 60, "far away"), (-(1 << 61), "farther away"), (8, "twice b"), (8, "twice a"), (8, "twice b")]
+    for rows, heads in ((2, 1000), (1, 0), (1000, 1000)):
+        df = common.cut(fingerprints.with_next(docs(texts), rows=rows, max_heads=heads))
+        got = collections.Counter((r.doc_id, r.text, r.next_text) for r in df.collect())
+        order = sorted(((i, t or "") for i, t in texts if i is not None), key=lambda x: (-x[0], x[1]))
+        want = collections.Counter((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+        want[None, "lone text of six words here", ""] += 1
+        assert got == want
     df = df.withColumn("p", fingerprints.fingerprint(F.col("text"), F.col("sketch")))
     assert df.where(fingerprints.sketch_from(F.col("p")) != F.col("sketch")).count() == 0
     by = {}
@@ -182,6 +183,50 @@ def test_fingerprints(spark, docs, monkeypatch):
     assert {r.k: r.lower for r in lo.collect()} == {1: None, 5: 1, 9000: 5, 10_000_000: 9000}
 
 
+def test_buckets_follow_counts_not_ranges(spark):
+    ids = spark.range(100_000).select(F.col("id").alias("doc_id"))
+    assert fingerprints.bucket_shift(ids, 1024) == 10
+    far = ids.union(spark.createDataFrame([(1 << 60,), (-5,)], "doc_id long"))
+    assert fingerprints.bucket_shift(far, 1024) == 10
+    assert fingerprints.bucket_shift(ids.select((F.col("doc_id") * (1 << 40)).alias("doc_id")), 1024) == 50
+    assert fingerprints.bucket_shift(ids.select(F.lit(7).cast("long").alias("doc_id")), 1024) == 6
+
+
+def test_compared_fingerprints_against_brute_force(docs):
+    rng = random.Random(8)
+    texts = [(rng.randrange(1 << 40), t) for t in [*ODD, *(prose(700 + k, rng.randint(1, 90)) for k in range(30)), prose(650, 2000), "é😀" * 41]]
+    got = {r.doc_id: r for r in fingerprints.compare(docs(texts).withColumn("bucket", F.lit(1)).withColumn("sketch", F.lit("x"))).collect()}
+    order = sorted(((i, t or "") for i, t in texts), key=lambda x: -x[0])
+    shingled = lambda t: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.encode().split()) else set()
+    alike = lambda a, b: len(shingled(a) & shingled(b)) / max(1, len(shingled(a) | shingled(b)))
+    prints = {}
+    for k, (i, t) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(t) // 2
+        new, r = t[: len(t) - half] + after[:half], got[i]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        for text, mark in ((t, r.fingerprint), (new, r.edited_fingerprint)):
+            assert prints.setdefault(text, mark) == mark
+            n = mark.split(".")[1]
+            assert abs(int(n) - len(shingled(text)) / 4) <= 5 * len(shingled(text)) ** 0.5 + 1
+        for value, other in ((r.near_edited, new), (r.near_next, after)):
+            assert 0 <= value <= 1 and (t != other or value == 1)
+            if len(shingled(t) | shingled(other)) > 60:
+                assert t == other or abs(value - alike(t, other)) < 0.25
+    assert len(set(prints.values())) == len(prints)
+    assert got[order[0][0]].near_next is not None and fingerprints.compare(docs([])).count() == 0
+
+
+def test_containment(docs):
+    whole = prose(760, 3000)
+    part = " ".join(whole.split()[700:1500])
+    df = fingerprints.sketch_of(docs([whole, part, prose(761, 800), ""]), "text", "sketch")
+    s = {r.doc_id: r.sketch for r in df.collect()}
+    one = df.sparkSession.createDataFrame([(s[1], s[0], s[2], s[3])], "p array<long>, w array<long>, o array<long>, e array<long>")
+    c = fingerprints.containment
+    r = one.select(c(F.col("p"), F.col("w")).alias("pw"), c(F.col("w"), F.col("p")).alias("wp"), c(F.col("o"), F.col("w")).alias("ow"), c(F.col("e"), F.col("w")).alias("ew")).first()
+    assert r.pw == 1 and abs(r.wp - 796 / 2996) < 0.05 and r.ow == 0 and r.ew is None
+
+
 # --- 5 ---
 
 
