@@ -8,9 +8,9 @@ a seed always gives the same ids, on any machine, and other seeds other segmenta
 At rate 0 the ids are those of the library.
 
 A text is cut into units that no piece can span (at white space, and between characters
-that never meet within a piece). The draws of a short unit are the bits of a mask, and its
-ids a function of unit and mask: only that function is kept in a bounded cache, by the
-draws it rests on (none skipped, or which ones), never what an occurrence drew.
+that never meet within a piece). The draws of a short word are the bits of a mask, and its
+ids a function of word and mask. Only that function is kept, in a bounded cache, for words that
+come again. What an occurrence drew is never kept.
 
 Spaces become U+2581 with one put in front; a literal U+2581 is written as byte pieces,
 so decoding is lossless for any text. Defined cases: null and empty texts have no ids;
@@ -37,7 +37,7 @@ META = "▁"
 _M = (1 << 64) - 1
 SLICE = 1 << 18
 SHORT = 22  # a unit of n symbols takes at most 3 (n - 1) draws: so many fit a mask of 64 bits
-PLANES = 32  # binary digits of the rate
+PLANES = 16  # binary digits of the rate
 
 
 def default_model() -> str:
@@ -74,7 +74,7 @@ class DropoutBPE:
 
     streams = 1 << 64  # one for each doc_id
 
-    def __init__(self, path: str, rate: float = 0.1, seed: int = 0, max_units: int = 300_000) -> None:
+    def __init__(self, path: str, rate: float = 0.1, seed: int = 0, max_units: int = 500_000) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -99,8 +99,9 @@ class DropoutBPE:
             self.out[i] = bytes([b])
         self.limit, self.seed = round(rate * 2**PLANES), seed & _M
         self.max_units = max_units
-        self.words: dict[str, tuple[int, bytes, list[str]]] = {}  # if no draw is skipped: mask of the draws, ids; units
-        self.paths: tuple[dict, dict] = ({}, {})  # mask of the draws, ids: by unit, or unit and skipped draws
+        self.trees: tuple[dict, dict] = ({}, {})  # (tree, ids after it) by word; two generations
+        self.grown = 0  # nodes in the newer generation
+        self.once: set[str] = set()  # words seen once lately: a tree is grown when they come again
 
     def _bytes(self, char: str) -> list[bytes]:
         return [self.byte[b].to_bytes(4, "little") for b in char.encode()]
@@ -162,29 +163,6 @@ class DropoutBPE:
                     heapq.heappush(agenda, (r, i, e, end[e]))
         return [unit[i : end[i]] for i in range(n) if end[i] > 0]
 
-    def _short(self, unit: str, mask: int) -> tuple[int, bytes]:
-        """Mask of the draws that a short unit takes, and its ids.
-
-        Kept by the draws that are skipped, which are found one by one. Two generations:
-        what is used again outlives the older one.
-        """
-        new, old = self.paths
-        at, skipped = unit, 0
-        while (got := new.get(at) or old.get(at)) and (rest := (mask & got[0]) ^ skipped):
-            skipped |= rest & -rest
-            at = (unit, skipped)
-        if got is None:
-            pieces, drawn = self._short_agenda(unit, mask)
-            got = ((1 << drawn) - 1, self._ids(pieces))
-            at = (unit, mask & got[0]) if mask & got[0] else unit
-        elif at in new:
-            return got
-        if len(new) >= self.max_units:
-            self.paths = ({}, new)
-            new = self.paths[0]
-        new[at] = got
-        return got
-
     def _cut(self, word: str) -> list[str]:
         """Units of a word in META form; they end where two characters never meet."""
         core = word.rstrip(".,")
@@ -200,42 +178,80 @@ class DropoutBPE:
                 at = i
         return out
 
-    def _small(self, units: list[str], mask: int) -> tuple[int, bytes]:
-        """Mask of the draws that the units of a short word take, and their ids."""
-        if len(units) == 1:
-            return self._short(units[0], mask)
+    def _small(self, word: str, mask: int) -> tuple[int, bytes]:
+        """Mask of the draws that a short word in META form takes, and its ids; its units draw in turn."""
         width, out = 0, []
-        for u in units:
-            used, ids = self._short(u, mask >> width)
-            width += used.bit_length()
-            out.append(ids)
+        for u in self._cut(word):
+            pieces, drawn = self._short_agenda(u, mask >> width)
+            width += drawn
+            out.append(self._ids(pieces))
         return (1 << width) - 1, b"".join(out)
 
+    def _tree(self, word: str) -> tuple[tuple[int, bytes, dict], bytes]:
+        """A word's tree, and the ids of a stop or comma that no piece joins to it.
+
+        A tree is the mask of the draws taken and the ids if none is skipped, and the ids by skipped draws.
+        """
+        new, old = self.trees
+        got = old.get(word)
+        if got is None:
+            core = word[:-1]
+            if word[-1:] in (".", ",") and core and core[-1] not in (".", ",") and core[-1] + word[-1] not in self.meets:
+                got = (self.trees[0].get(core) or self._tree(core))
+                got = (got[0], got[1] + self._ids([word[-1]]))
+            else:
+                got = ((*self._small(META + word, 0), {}), b"")
+        if self.grown >= self.max_units:
+            self.trees, self.grown = ({}, new), 0
+        self.grown += 1
+        self.trees[0][word] = got
+        return got
+
+    def _leaf(self, word: str, leaves: dict, decide: int, mask: int) -> bytes:
+        """The ids of a word under a mask, kept if no draw was taken but those of the bits that decide."""
+        used, ids = self._small(META + word, mask)
+        if used <= decide:
+            leaves[mask & decide] = ids
+            self.grown += 1
+        return ids
+
     def _large(self, word: str, draws: Draws) -> bytes:
         """Ids of a word of any length in META form; its units draw on their own."""
         units = self._cut(word)
         masks = draws.masks(len(units))
-        return b"".join(self._short(u, m)[1] if len(u) <= SHORT else self._ids(self._long_agenda(u, draws.key())) for u, m in zip(units, masks, strict=True))
+        return b"".join(self._ids(self._short_agenda(u, m)[0] if len(u) <= SHORT else self._long_agenda(u, draws.key())) for u, m in zip(units, masks, strict=True))
 
     def _spaced(self, text: str, draws: Draws) -> bytes:
         """Ids of text without META, whose start stands for a space."""
         if "  " in text or text[:1] == " " or text[-1:] == " ":  # runs of spaces are pieces, too
             return self._bare(" " + text, draws)
-        words = text.split(" ")
-        kept, out = self.words, []
-        get, add = kept.get, out.append
+        words, out, once = text.split(" "), [], self.once
+        kept, add = self.trees[0], out.append
+        get = kept.get
         for w, m in zip(words, draws.masks(len(words)), strict=True):
             got = get(w)
-            if got is not None:
-                add(self._small(got[2], m)[1] if m & got[0] else got[1])
-            elif len(w) >= SHORT:
-                add(self._large(META + w, draws))
-            else:
-                units = self._cut(META + w)
-                used, ids = self._small(units, m)
-                if not m & used and len(kept) < self.max_units:
-                    kept[w] = (used, ids, units)
-                add(ids)
+            if got is None:
+                if len(w) >= SHORT:
+                    add(self._large(META + w, draws))
+                    continue
+                if w not in once and w not in self.trees[1]:
+                    if len(once) >= self.max_units:
+                        once.clear()
+                    once.add(w)
+                    add(self._small(META + w, m)[1])
+                    continue
+                got = self._tree(w)
+                if self.trees[0] is not kept:
+                    kept = self.trees[0]
+                    get = kept.get
+            (used, ids, leaves), after = got
+            if skipped := m & used:
+                # a skipped draw may bring one more draw, so these bits nearly always decide
+                decide = (used + 1 << skipped.bit_count()) - 1
+                ids = leaves.get(m & decide) or self._leaf(w[:-1] if after else w, leaves, decide, m)
+            add(ids)
+            if after:
+                add(after)
         return b"".join(out)
 
     def stream_ids(self, text: str, doc: int = 0) -> Iterator[bytes]:
@@ -269,7 +285,7 @@ class DropoutBPE:
                 words.append(whole[at:i])
                 at = i
         masks = draws.masks(len(words))
-        return b"".join(self._small(self._cut(w), m)[1] if len(w) <= SHORT else self._large(w, draws) for w, m in zip(words, masks, strict=True))
+        return b"".join(self._small(w, m)[1] if len(w) <= SHORT else self._large(w, draws) for w, m in zip(words, masks, strict=True))
 
     def encode(self, text: str, doc: int = 0) -> np.ndarray:
         return np.frombuffer(b"".join(self.stream_ids(text, doc)), dtype="<u4")
