@@ -38,6 +38,7 @@ _M = (1 << 64) - 1
 SLICE = 1 << 18
 SHORT = 22  # a unit of n symbols takes at most 3 (n - 1) draws: so many fit a mask of 64 bits
 PLANES = 16  # binary digits of the rate
+STOPS = (".", ",")
 
 
 def default_model() -> str:
@@ -74,7 +75,7 @@ class DropoutBPE:
 
     streams = 1 << 64  # one for each doc_id
 
-    def __init__(self, path: str, rate: float = 0.1, seed: int = 0, max_units: int = 500_000) -> None:
+    def __init__(self, path: str, rate: float = 0.1, seed: int = 0, max_units: int = 800_000) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -115,8 +116,10 @@ class DropoutBPE:
 
     def _ids(self, pieces: list[str]) -> bytes:
         """Ids of pieces, as little-endian uint32 bytes."""
-        get = self.coded.get
-        return b"".join([get(p) or b"".join(self._bytes(p)) for p in pieces])
+        try:
+            return b"".join([*map(self.coded.__getitem__, pieces)])
+        except KeyError:
+            return b"".join([self.coded.get(p) or b"".join(self._bytes(p)) for p in pieces])
 
     def _short_agenda(self, unit: str, skipped: int) -> tuple[list[str], int]:
         """The pieces and the number of draws; bit k of skipped is draw k.
@@ -180,6 +183,9 @@ class DropoutBPE:
 
     def _small(self, word: str, mask: int) -> tuple[int, bytes]:
         """Mask of the draws that a short word in META form takes, and its ids; its units draw in turn."""
+        if word[1:].isalpha():
+            pieces, drawn = self._short_agenda(word, mask)
+            return (1 << drawn) - 1, self._ids(pieces)
         width, out = 0, []
         for u in self._cut(word):
             pieces, drawn = self._short_agenda(u, mask >> width)
@@ -196,9 +202,8 @@ class DropoutBPE:
         got = old.get(word)
         if got is None:
             core = word[:-1]
-            if word[-1:] in (".", ",") and core and core[-1] not in (".", ",") and core[-1] + word[-1] not in self.meets:
-                got = (self.trees[0].get(core) or self._tree(core))
-                got = (got[0], got[1] + self._ids([word[-1]]))
+            if word[-1:] in STOPS and core and core[-1] not in STOPS and core[-1] + word[-1] not in self.meets:
+                got = ((self.trees[0].get(core) or self._tree(core))[0], self._ids([word[-1]]))
             else:
                 got = ((*self._small(META + word, 0), {}), b"")
         if self.grown >= self.max_units:
@@ -234,11 +239,16 @@ class DropoutBPE:
                 if len(w) >= SHORT:
                     add(self._large(META + w, draws))
                     continue
-                if w not in once and w not in self.trees[1]:
+                if w not in once and w not in self.trees[1] and get(w[:-1]) is None:
                     if len(once) >= self.max_units:
                         once.clear()
-                    once.add(w)
-                    add(self._small(META + w, m)[1])
+                    used, ids = self._small(META + w, m)
+                    add(ids)
+                    if m & used or w[-1:] in STOPS:
+                        once.add(w)
+                    else:
+                        kept[w] = ((used, ids, {}), b"")
+                        self.grown += 1
                     continue
                 got = self._tree(w)
                 if self.trees[0] is not kept:
