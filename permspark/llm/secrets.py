@@ -3,7 +3,8 @@
 Base kinds are patterns alone: assign, access, hex. The method adds spans of candidates
 that decode and parse: ``jwt`` (a signed token: base64url header and claims are JSON
 objects, the header names its algorithm), ``pem`` (an armoured private key whose body
-decodes) and ``key`` (base64 or hex that decodes to a private key in DER, nested lengths
+parses: DER or OpenSSH as below, a body sealed by a block cipher as its DEK-Info says, or PGP packets
+that begin with a secret key, with their checksum) and ``key`` (base64 or hex that decodes to a private key in DER, nested lengths
 fitting exactly, or to an OpenSSH key with its length-prefixed fields).
 
 Defined cases: null text is empty; empty texts have no spans; overlapping spans of
@@ -32,7 +33,8 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])e[wy][A-Za-z0-9_-]{6,}\.e[wy][A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s:,.\\-]+?)-----END \1PRIVATE KEY-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY((?: BLOCK)?)-----([^-]*(?:-(?!----)[^-]*)*)-----END \1PRIVATE KEY\2-----")
+DEK = re.compile(r"DEK-Info:\s*[A-Z0-9]+(?:-[A-Z0-9]+)*,\s*([0-9A-Fa-f]+)")
 BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nrt])|(?<=\\[nrt]))[A-Za-z0-9+/_-]{40,}={0,2}")
 LINE = re.compile(r"(?:\s|\\[nrt])+([A-Za-z0-9+/_-]+={0,2})")  # the next of wrapped base64, also after escaped line ends
 MIXED_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
@@ -164,13 +166,80 @@ def signed_token(text: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
-def _body(armoured: str) -> bytes | None:
+def _lines(armoured: str) -> list[str]:
+    """The lines of an armoured key, also of one written as in JSON."""
+    return [x.strip() for x in armoured.replace("\\r", "\n").replace("\\n", "\n").replace("\\/", "/").splitlines()]
+
+
+def _body(lines: list[str]) -> bytes | None:
     """The bytes in an armoured key, without header lines like ``Proc-Type: ...``."""
-    plain = armoured.replace("\\r", "\n").replace("\\n", "\n").replace("\\/", "/")  # as in JSON
-    lines = [x.strip() for x in plain.splitlines()]
     return unbase64("".join("".join(x.split()) for x in lines if ":" not in x))
 
 
+def crc24(data: bytes) -> int:
+    """The checksum of PGP armour."""
+    crc = 0xB704CE
+    for x in data:
+        crc ^= x << 16
+        for _ in range(8):
+            crc = (crc << 1) ^ (0x1864CFB if crc & 0x800000 else 0)
+    return crc
+
+
+def pgp_packets(data: bytes) -> list[tuple[int, bytes]] | None:
+    """Tags and bodies of PGP packets if all lengths fit exactly."""
+    out, at = [], 0
+    while at < len(data):
+        head = data[at]
+        at += 1
+        if not head & 0x80:
+            return None
+        if head & 0x40:  # the new form
+            tag, n = head & 0x3F, data[at] if at < len(data) else 255
+            if n < 192:
+                at += 1
+            elif n < 224 and at + 1 < len(data):
+                n, at = ((n - 192) << 8) + data[at + 1] + 192, at + 2
+            elif n == 255 and at + 5 <= len(data):
+                n, at = int.from_bytes(data[at + 1 : at + 5], "big"), at + 5
+            else:
+                return None
+        else:
+            tag, size = head >> 2 & 0xF, (1, 2, 4, 0)[head & 3]
+            n = int.from_bytes(data[at : at + size], "big") if size else len(data) - at
+            at += size
+        if at + n > len(data):
+            return None
+        out.append((tag, data[at : at + n]))
+        at += n
+    return out
+
+
+def pgp_secret(lines: list[str]) -> bool:
+    """Whether armour holds packets that begin with a secret key (version 3 to 6), and its checksum, if any, fits."""
+    check = next((x for x in lines if re.fullmatch("=[A-Za-z0-9+/]{4}", x)), None)
+    data = _body([x for x in lines if x != check])
+    packets = pgp_packets(data) if data else None
+    if not packets or packets[0][0] != 5 or packets[0][1][:1] not in (b"\3", b"\4", b"\5", b"\6") or len(packets[0][1]) < 20:
+        return False
+    return check is None or unbase64(check[1:]) == crc24(data).to_bytes(3, "big")
+
+
+def sealed(armoured: str, data: bytes) -> bool:
+    """Whether a body is as its DEK-Info says: whole blocks of a cipher whose start value has the block's size."""
+    m = DEK.search(armoured)
+    return m is not None and len(m[1]) in (16, 32) and len(data) >= 32 and len(data) % (len(m[1]) // 2) == 0
+
+
+def armoured_key(kind: str, block: bool, body: str) -> bool:
+    """Whether the body of an armoured private key parses."""
+    lines = _lines(body)
+    if block:
+        return kind == "PGP " and pgp_secret(lines)
+    data = _body(lines)
+    return bool(data) and (private_key(data) or sealed(body, data))
+
+
 def base_spans(text: str, longest: int | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base kinds; longest: bytes of the longest run without spaces."""
     out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
@@ -185,7 +254,7 @@ def confirmed_spans(text: str, longest: int | None = None) -> list[tuple[int, in
     """(start, end, kind) of candidates whose structure holds."""
     out = []
     if "-----BEGIN " in text:
-        out += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if (data := _body(m[2])) and (private_key(data) or "ENCRYPTED" in m[2] or "PGP" in m[1])]
+        out += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if armoured_key(m[1], bool(m[2]), m[3])]
     if longest is None or longest >= 20:
         if ".e" in text:
             out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if signed_token(m[0])]

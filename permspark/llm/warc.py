@@ -6,9 +6,14 @@ by Content-Length and verifies block and payload digests. Equal payloads of at l
 ``min_dup_bytes`` are stored once: the record of the largest page_id is the response,
 the others are revisit records that name it.
 
+The reader takes archives of others, too: all record types, folded header lines, chunked
+bodies, digests that are absent or by MD5, SHA-1, SHA-256 or SHA-512 in base 16 or 32. A digest by an
+algorithm that isn't known is not verified. The payload of HTTP messages is their body, of other
+records their block; ``payload_digest`` is that of the header, as hex, else the payload's SHA-1.
+
 Defined cases: null html is an empty payload; a null url is left out of the header;
 rows that repeat a page_id with the same payload are all responses where that id is the
-largest; without any page_id in a group of equal payloads all its rows are responses,
+largest, and share one record id; a record's id names page_id and payload, without page_id its place in the archive; without any page_id in a group of equal payloads all its rows are responses,
 and a row without page_id beside one that has it is a revisit. Other columns are ignored.
 """
 
@@ -61,8 +66,8 @@ def mark_duplicates(pages: DataFrame, min_dup_bytes: int = 1000) -> DataFrame:
     ).select("page_id", "url", "payload", "digest", "size", "keeper")
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}')}>"
+def _urn(*parts) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, 'page:' + ':'.join(map(str, parts)))}>"
 
 
 def _b32(digest: bytes) -> str:
@@ -73,19 +78,19 @@ def _header_safe(value: str) -> str:
     return re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def record(page_id, url, payload: bytes, digest: str, keeper, date: str) -> bytes:
-    """The bytes of one record, not compressed."""
+def record(page_id, url, payload: bytes, digest: str, keeper, date: str, place: str = "") -> bytes:
+    """The bytes of one record, not compressed; place: where it stands, the name of a record without page_id."""
     revisit = keeper is not None and keeper != page_id
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_urn(page_id)}",
+        f"WARC-Record-ID: {_urn(place, digest) if page_id is None else _urn(page_id, digest)}",
         f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {_header_safe(url)}"] if url is not None else []),
         *([f"X-Page-Id: {page_id}"] if page_id is not None else []),
-        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(keeper)}", f"X-Refers-To-Page: {keeper}"] if revisit else []),
+        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(keeper, digest)}", f"X-Refers-To-Page: {keeper}"] if revisit else []),
         f"X-Payload-Length: {len(payload)}",
         f"WARC-Payload-Digest: {_b32(bytes.fromhex(digest))}",
         f"WARC-Block-Digest: {_b32(hashlib.sha1(block).digest())}",
@@ -116,7 +121,7 @@ def write_archives(pages: DataFrame, min_dup_bytes: int = 1000, date: str = "202
         for batch in batches:
             cols = [batch.column(n) for n in ("page_id", "url", "payload", "digest", "keeper")]
             for i in range(batch.num_rows):
-                members.append(_member(record(*(c[i].as_py() for c in cols), date)))
+                members.append(_member(record(*(c[i].as_py() for c in cols), date, f"{name}/{part}/{len(members)}")))
                 size += len(members[-1])
                 if size >= PART_BYTES:
                     yield out()
@@ -148,21 +153,83 @@ def members(content: bytes) -> Iterator[bytes]:
         yield b"".join(out)
 
 
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header fields by lower-case name; a line that begins with a space continues the one before."""
+    out, last = {}, None
+    for line in lines:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            out[last] = value.strip()
+    return out
+
+
+def _digest(value: str) -> tuple[str, bytes] | None:
+    """Algorithm and bytes of a labelled digest in base 16 or 32; None if it can't be told."""
+    name, _, text = value.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    size, text = hashlib.new(name).digest_size, text.strip()
+    try:
+        if len(text) == 2 * size:
+            return name, bytes.fromhex(text)
+        raw = base64.b32decode(text.upper().rstrip("=") + "=" * (-len(text.rstrip("=")) % 8))
+    except ValueError:
+        raw = b""
+    if len(raw) != size:
+        raise WarcError(f"not a {name} digest: {text!r}")
+    return name, raw
+
+
+def _fits(value: str | None, *bodies: bytes) -> bool:
+    """Whether a digest, if there is one that can be told, is that of one of the bodies."""
+    told = _digest(value) if value else None
+    return told is None or any(hashlib.new(told[0], x).digest() == told[1] for x in bodies)
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """A body without its chunk framing; None if that doesn't hold."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        try:
+            n = int(body[at:end].split(b";")[0], 16) if end > at else -1
+        except ValueError:
+            n = -1
+        if n < 0 or end + 2 + n > len(body):
+            return None
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+
+
 def parse(data: bytes) -> dict:
     """One record from its bytes: headers in lower case, block, payload; digests verified."""
     head, sep, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not sep or not lines[0].startswith("WARC/"):
         raise WarcError("no WARC header")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    headers = _fields(lines[1:])
+    if "warc-type" not in headers or not headers.get("content-length", "").isdecimal():
+        raise WarcError("a header without WARC-Type or Content-Length")
     length = int(headers["content-length"])
     block, tail = rest[:length], rest[length:]
     if len(block) != length or tail != b"\r\n\r\n":
         raise WarcError("Content-Length doesn't frame the record")
-    if (want := headers.get("warc-block-digest")) and want != _b32(hashlib.sha1(block).digest()):
+    if not _fits(headers.get("warc-block-digest"), block):
         raise WarcError("the block digest doesn't fit")
-    payload = block.partition(b"\r\n\r\n")[2]
-    if headers["warc-type"] == "response" and headers.get("warc-payload-digest") != _b32(hashlib.sha1(payload).digest()):
+    payload = whole = block
+    if headers.get("content-type", "").split(";")[0].strip().lower() == "application/http":
+        message, _, whole = block.partition(b"\r\n\r\n")
+        payload = whole
+        if _fields(message.decode("latin-1").split("\r\n")[1:]).get("transfer-encoding", "").lower() == "chunked":
+            payload = _unchunked(whole)
+            payload = whole if payload is None else payload
+    if headers["warc-type"] != "revisit" and not _fits(headers.get("warc-payload-digest"), payload, whole):
         raise WarcError("the payload digest doesn't fit")
     return {"headers": headers, "block": block, "payload": payload}
 
@@ -170,15 +237,15 @@ def parse(data: bytes) -> dict:
 def _row(data: bytes, keep_payload: bool) -> tuple:
     r = parse(data)
     h, revisit = r["headers"], r["headers"]["warc-type"] == "revisit"
-    number = lambda k: int(h[k]) if k in h else None
-    url = h.get("warc-target-uri")
+    number = lambda k: int(h[k]) if re.fullmatch(r"-?\d+", h.get(k, "")) else None
+    url, told = h.get("warc-target-uri"), _digest(h.get("warc-payload-digest", ""))
     return (
         number("x-page-id"),
-        None if url is None else re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), url),
+        None if url is None else re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), url) if "x-page-id" in h or "x-payload-length" in h else url,
         h["warc-type"],
         number("x-refers-to-page"),
         number("x-payload-length") if revisit else len(r["payload"]),
-        base64.b32decode(h["warc-payload-digest"].removeprefix("sha1:")).hex(),
+        told[1].hex() if told else None if revisit else hashlib.sha1(r["payload"]).hexdigest(),
         None if revisit or not keep_payload else r["payload"],
     )
 
@@ -205,20 +272,26 @@ def read_archives(parts: DataFrame, keep_payload: bool = True) -> DataFrame:
 
 
 def save(parts: DataFrame, folder: str) -> int:
-    """Write each part as ``<archive>-<part>.warc.gz`` in a folder all executors can open()."""
-    import os
+    """Write each part as ``<archive>-<part>.warc.gz`` in a folder; the number of parts.
 
-    os.makedirs(folder, exist_ok=True)
-
-    def put(rows) -> None:
-        for r in rows:
-            path = f"{folder}/{r.archive}-{r.part:06d}.warc.gz"
-            with open(f"{path}.{uuid.uuid4().hex}", "wb") as f:
-                f.write(r.content)
-            os.replace(f.name, path)  # a task that runs again leaves whole files only
+    ``folder`` is a path or the URI of a store (file, hdfs, s3, gs) that all executors reach.
+    """
 
-    parts.foreachPartition(put)
-    return parts.count()
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        store.create_dir(base, recursive=True)
+        for b in batches:
+            for name, part, content in zip(*(b.column(c) for c in ("archive", "part", "content")), strict=True):
+                path = f"{base}/{name}-{part.as_py():06d}.warc.gz"
+                hidden = f"{base}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(hidden) as out:
+                    out.write(content.as_buffer())
+                store.move(hidden, path)  # a task that runs again leaves whole files only
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return parts.select("archive", "part", "content").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:

@@ -281,6 +281,44 @@ def test_secrets_however_they_are_written():
     assert (mixed, "key") in found(f"key {mixed}.")
 
 
+def test_armour_must_parse():
+    b64 = lambda x: base64.b64encode(x).decode()
+    kinds = lambda t: [s[2] for s in secrets.spans_of(np.frombuffer(t.encode(), dtype=np.uint8))[1]]
+    packet = lambda tag, body: bytes([0xC0 | tag, 255]) + len(body).to_bytes(4, "big") + body
+    old = lambda tag, body: bytes([0x80 | tag << 2 | 1]) + len(body).to_bytes(2, "big") + body
+    rng = random.Random(2)
+    noise = bytes(rng.randrange(256) for _ in range(150))
+    for make in (packet, old):
+        keys = make(5, b"\4" + noise) + make(13, b"A <a@b>")
+        for data, crc, want in ((keys, secrets.crc24(keys), True), (keys, secrets.crc24(keys) ^ 1, False), (keys, None, True), (keys[:-3], None, False), (make(6, b"\4" + noise), None, False), (noise, None, False)):
+            lines = [b64(data)[i : i + 64] for i in range(0, len(b64(data)), 64)] + ([] if crc is None else ["=" + b64(crc.to_bytes(3, "big"))])
+            text = "\n".join(["-----BEGIN PGP PRIVATE KEY BLOCK-----", "Version: x 1-2", "", *lines, "-----END PGP PRIVATE KEY BLOCK-----"])
+            assert (kinds(text) == ["pem"]) == want, (make, crc)
+    assert secrets.crc24(b"") == 0xB704CE and secrets.crc24(b"123456789") == 0x21CF02
+    for iv, size, want in (("0" * 32, 64, True), ("0" * 16, 72, True), ("0" * 32, 65, False), ("0" * 10, 64, False), (None, 64, False)):
+        head = ["Proc-Type: 4,ENCRYPTED", *([f"DEK-Info: AES-128-CBC,{iv}"] if iv else []), ""]
+        text = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", *head, b64(noise[:size]), "-----END RSA PRIVATE KEY-----"])
+        assert ("pem" in kinds(text)) == want
+    assert kinds("-----BEGIN PRIVATE KEY-----\n" + b64(noise) + "\n-----END PRIVATE KEY-----") == []
+
+
+def test_base_spans_against_plain_patterns(docs):
+    """Random texts full of near misses: counts, places and digest as by the patterns alone."""
+    rng = random.Random(21)
+    bits = ["password", "PassWD", "secret", "token", "api_key", "apikey", "API-KEY", "AKIA", "akia", "ſecret", '"', "'", ":", "=", " ", "  ", "\n", "\t", "abcdefgh", "0123456789abcdef", "ABCDEF0123", "deadbeef", "Zz9+/_.=-", "é", "😀", ".", "x"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + ["token=" + "a" * 100_000, "0a" * 60_000, "AKIA" + "Z" * 70_000]
+    got = {r.doc_id: r for r in secrets.scan(docs(texts)).collect()}
+    assign = re.compile("(?:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)".replace("password|passwd|secret|token|api_?key", "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_key", "apikey"))))
+    for i, t in enumerate(texts):
+        spans = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if m.end(1) - m.start(1) >= 8]
+        spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        want = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
+        r = got[i]
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and [r.n_assign, r.n_access, r.n_hex] == [sum(s[1] == k for s in spans) for k in range(3)]
+        assert set(want.split(",")) - {""} <= set(r.spans.split(","))
+
+
 # --- 6 ---
 
 
@@ -405,6 +443,36 @@ def test_warc(spark, tmp_path):
         warc.parse(data[:-10] + b"x" + data[-9:])
 
 
+def test_warc_of_others(spark):
+    """Records as other writers make them: no digests or other ones, all types, folded lines, chunks."""
+    import gzip
+
+    def rec(kind, block, *lines, more=b""):
+        head = "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", *lines, f"Content-Length: {len(block)}"])
+        return gzip.compress(head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n" + more)
+
+    body, http = b"<p>hi</p>", "Content-Type: application/http; msgtype=response"
+    plain = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4;x=1\r\n<p>h\r\n5\r\ni</p>\r\n0\r\n\r\n"
+    digest = lambda n, enc: f"WARC-Payload-Digest: {n}:" + (hashlib.new(n, body).hexdigest() if enc == 16 else base64.b32encode(hashlib.new(n, body).digest()).decode())
+    records = [
+        rec("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), rec("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Target-URI: http://a/%41"),
+        rec("response", plain, http, "WARC-Target-URI: http://a/%41"), rec("response", plain, http, digest("sha1", 16)), rec("response", plain, http, digest("sha256", 32)), rec("response", plain, http, "WARC-Payload-Digest:", "  md5:" + hashlib.md5(body).hexdigest()),
+        rec("response", chunked, http, digest("sha1", 32)), rec("response", plain, http, "WARC-Payload-Digest: blake9:zzz"), rec("metadata", b"", "Content-Type: application/warc-fields"), rec("resource", body, "Content-Type: text/html", digest("sha512", 16)),
+        rec("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", http, digest("sha1", 32)), rec("conversion", body),
+    ]
+    got = warc.read_archives(spark.createDataFrame([(b"".join(records),)], "content binary")).collect()
+    assert [r.record_type for r in got] == ["warcinfo", "request", *["response"] * 6, "metadata", "resource", "revisit", "conversion"]
+    assert [bytes(r.payload) for r in got[2:8]] == [body] * 6 and got[2].url == "http://a/%41" and got[10].payload is None
+    sha1 = hashlib.sha1(body).hexdigest()
+    assert [r.payload_digest for r in got[2:4]] == [sha1] * 2 and got[4].payload_digest == hashlib.sha256(body).hexdigest() and got[6].payload_digest == got[10].payload_digest == sha1
+    assert {r.page_id for r in got} == {None} and got[0].payload_bytes == 13
+    for bad in (rec("response", plain, http, "WARC-Payload-Digest: sha1:" + "0" * 40), rec("response", plain, http, "WARC-Block-Digest: md5:" + "0" * 32), rec("response", plain, http, more=b"x"), rec("response", plain, http, "WARC-Payload-Digest: sha1:abc"), gzip.compress(b"WARC/1.0\r\nWARC-Type: x\r\n\r\n")):
+        with pytest.raises(warc.WarcError):
+            [warc.parse(m) for m in warc.members(bad)]
+    assert warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string, content int")).count() == 0
+
+
 # --- 10 ---
 
 
