@@ -267,23 +267,28 @@ def _slots(ids: np.ndarray, bits: int) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def marked(rows: DataFrame, wanted: DataFrame, wanted_id: str, split: bool = False, column: str = "doc_id"):
-    """The rows whose id (``column``) is among those wanted, and perhaps a few others; with split, the rest, too.
+def marker(wanted: DataFrame, wanted_id: str):
+    """f(batch, column, want): the rows whose id (``column``) is among those wanted, and perhaps a few others; or the rest.
 
-    wanted is a stored table. The filter is as large as their number asks for, up to a bound.
-    Rows are not shuffled; in the split, a row without id is in the rest.
+    wanted is a stored table. The filter is as large as their number asks for, up to a bound;
+    it is broadcast and used within a function over Arrow batches. A row without id is in the rest.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(id_filter(wanted, wanted_id, filter_bits(wanted.count())))
+    shared = wanted.sparkSession.sparkContext.broadcast(id_filter(wanted, wanted_id, filter_bits(wanted.count())))
 
-    def chosen(want: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            marks = shared.value
-            for b in batches:
-                ids = b.column(column)
-                at = _slots(ids.fill_null(0).to_numpy(zero_copy_only=False), len(marks) * 8)
-                hit = ((marks[at >> 3] >> (7 - (at & 7))) & 1 == 1) & ids.is_valid().to_numpy(zero_copy_only=False)
-                yield b.filter(pa.array(hit if want else ~hit))
+    def chosen(b: pa.RecordBatch, column: str, want: bool = True) -> pa.RecordBatch:
+        marks, ids = shared.value, b.column(column)
+        at = _slots(ids.fill_null(0).to_numpy(zero_copy_only=False), len(marks) * 8)
+        hit = ((marks[at >> 3] >> (7 - (at & 7))) & 1 == 1) & ids.is_valid().to_numpy(zero_copy_only=False)
+        return b if hit.all() == want and hit.any() == want else b.filter(pa.array(hit if want else ~hit))
 
-        return rows.mapInArrow(run, rows.schema)
+    return chosen
 
-    return (chosen(True), chosen(False)) if split else chosen(True)
+
+def marked(rows: DataFrame, chosen, column: str) -> DataFrame:
+    """The rows that a marker's function takes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield chosen(b, column)
+
+    return rows.mapInArrow(run, rows.schema)

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from permspark.llm.common import cut, hashed_words, marked, mix, shingles, table, uncut
+from permspark.llm.common import cut, hashed_words, marker, mix, shingles, table, uncut
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
@@ -152,9 +152,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     Reads the texts again and hashes those that pass a filter of bounded size; texts are
     not shuffled.
     """
+    chosen = marker(wanted, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = chosen(b, "doc_id")
             ids, rows, size, first = b.column("doc_id"), [], 0, 0
             for w in hashed_words(b.column("text"), lower=True):
                 rows.append(shingles(w).view(np.int64))
@@ -165,7 +167,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([ids[first:], pa.array(rows, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    return marked(_texts(docs), wanted, column).mapInArrow(run, "id long, shingles array<long>")
+    return _texts(docs).mapInArrow(run, "id long, shingles array<long>")
 
 
 def _salted(pairs: DataFrame, side: str) -> DataFrame:

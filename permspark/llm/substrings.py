@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permspark.llm.common import cut, hashed_words, marked, mix, runs_of, table, texts_of, uncut
+from permspark.llm.common import cut, hashed_words, marked, marker, mix, runs_of, table, texts_of, uncut
 
 WINDOW, RUN = 50, 25
 MAX_BITS = 28
@@ -211,7 +211,7 @@ def repeated_runs(docs: DataFrame, bits: int) -> DataFrame:
 
 def windows(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """The hashes of the windows of runs. Only texts that have runs, and a few others, are shuffled."""
-    texts = marked(_keyed(docs), runs, "id")
+    texts = marked(_keyed(docs), marker(runs, "id"), "doc_id")
     joined = texts.join(runs, (F.col("doc_id") == F.col("id")) & (F.col("key") == F.col("of"))).select("doc_id", "key", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,14 +269,28 @@ def _starts(column: pa.Array) -> list[np.ndarray | None]:
     return [x.values.to_numpy() if x.is_valid else None for x in column]
 
 
-def _with_starts(rows: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that may lose words, with starts; the others). rows: id, key and any others.
+def _on_starts(rows: DataFrame, gone: DataFrame, change, schema) -> DataFrame:
+    """change(batch, starts of each row) over rows (_sd_id, _sd_key and any others).
 
-    Only the former are shuffled, by a filter of ids of bounded size.
+    Only rows that may lose words are shuffled, told by a filter of ids of bounded size; the
+    others are changed where they are read.
     """
-    hit, rest = marked(rows, gone, "removal_id", split=True, column="_sd_id")
+    chosen = marker(gone, "removal_id")
+
+    def lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = chosen(b, "_sd_id", False)
+            if b.num_rows:
+                yield change(b, [None] * b.num_rows)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield change(b, _starts(b.column("starts")))
+
     on = (F.col("_sd_id") == F.col("removal_id")) & (F.col("_sd_key") == F.col("removal_key"))
-    return hit.join(gone, on, "left").drop("removal_id", "removal_key"), rest
+    hit = marked(rows, chosen, "_sd_id").join(gone, on, "left").drop("removal_id", "removal_key")
+    return hit.mapInArrow(met, schema).union(rows.mapInArrow(lone, schema))
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -286,22 +300,18 @@ def judge(docs: DataFrame, bits: int | None = None) -> DataFrame:
     """Counts and digest of the kept words of every row of docs."""
     gone = removals(docs, bits)
     rows = docs.select(F.col("doc_id").cast("long").alias("_sd_id"), F.col("text").cast("string").alias("text"))
-    hit, rest = _with_starts(rows.select("_sd_id", "text", key_of(F.col("text")).alias("_sd_key")), gone)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = texts_of(b.column("text"))
-            rows, found = [], _starts(b.column("starts"))
-            for starts, lo, hi in zip(found, offsets[:-1], offsets[1:], strict=True):
-                words = data[lo:hi].tobytes().split()
-                kept = kept_words(words, starts) if starts is not None else words
-                rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            if rows:
-                n, gone_, sha = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column("_sd_id"), pa.array(n, pa.int64()), pa.array(gone_, pa.int64()), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+    def change(b: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        data, offsets = texts_of(b.column("text"))
+        out = []
+        for starts, lo, hi in zip(found, offsets[:-1], offsets[1:], strict=True):
+            words = data[lo:hi].tobytes().split()
+            kept = kept_words(words, starts) if starts is not None else words
+            out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+        n, lost, sha = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([b.column("_sd_id"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    none = F.lit(None).cast("array<int>").alias("starts")
-    return hit.select("_sd_id", "text", "starts").mapInArrow(run, RESULT).union(rest.select("_sd_id", "text", none).mapInArrow(run, RESULT))
+    return _on_starts(rows.select("_sd_id", key_of(F.col("text")).alias("_sd_key"), "text"), gone, change, RESULT)
 
 
 def strip(docs: DataFrame, bits: int | None = None) -> DataFrame:
@@ -312,22 +322,18 @@ def strip(docs: DataFrame, bits: int | None = None) -> DataFrame:
     gone = removals(docs, bits)
     at, names = docs.columns.index("text"), docs.columns
     own = docs.toDF(*(f"c{i}" for i in range(len(names))))  # no input name clashes with ours
-    key = key_of(F.col(f"c{at}").cast("string"))
-    rows = own.select(F.col(f"c{names.index('doc_id')}").cast("long").alias("_sd_id"), key.alias("_sd_key"), *own.columns)
-    hit, rest = _with_starts(rows, gone)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text, starts in zip(b.column(at), _starts(b.column(b.num_columns - 1)), strict=True):
-                t = text.as_py()
-                out.append(b" ".join(kept_words(t.encode().split(), starts)).decode() if starts is not None and t else t)
-            cols = list(b.columns[:-1])
-            cols[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
-
-    changed = hit.select(*own.columns, "starts").mapInArrow(run, own.schema)
-    return changed.union(rest.select(*own.columns)).toDF(*names)
+    own_names, key = own.columns, key_of(F.col(f"c{at}").cast("string"))
+    rows = own.select(F.col(f"c{names.index('doc_id')}").cast("long").alias("_sd_id"), key.alias("_sd_key"), *own_names)
+
+    def change(b: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        cols, out = [b.column(c) for c in own_names], []
+        for text, starts in zip(cols[at], found, strict=True):
+            t = text.as_py()
+            out.append(b" ".join(kept_words(t.encode().split(), starts)).decode() if starts is not None and t else t)
+        cols[at] = pa.array(out, pa.string())
+        return pa.RecordBatch.from_arrays(cols, names=own_names)
+
+    return _on_starts(rows, gone, change, own.schema).toDF(*names)
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
