@@ -9,7 +9,7 @@ time. What is broadcast is the weight vector, of fixed size.
 
 Defined cases: null and empty texts have no features and get the score of the bias
 alone; labels that are null are not learned from; a doc_id that has several labels is learned
-once per label row; without both classes in the sample every score is the share of label
+once per label, and of texts that share a doc_id only one (the least by its features) is; without both classes in the sample every score is the share of label
 1 (0.5 without any). Rows that repeat are scored alike. Other columns are ignored.
 """
 
@@ -151,6 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
         .join(F.broadcast(sample), "doc_id")  # max_rows ids at most
         .select("doc_id", "y", "text")
         .mapInArrow(hashed, "doc_id long, y int, found binary")
+        .groupBy("doc_id", "y")
+        .agg(F.min("found").alias("found"))  # copies of an id don't reach the driver
         .collect()
     )
     got.sort(key=lambda r: (r.doc_id, r.y, bytes(r.found)))

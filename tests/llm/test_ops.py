@@ -97,6 +97,59 @@ def test_divergence_rejects_other_shapes(docs):
     assert got == [True] * 12 + [False]
 
 
+def shares(t, words):
+    """Character classes and common words of a text, by plain counting."""
+    upper, other = re.findall("[A-Z]", t), [c for c in t if c.isalpha() and not c.isascii()]
+    kinds = [len(re.findall("[a-z]", t)), len(re.findall(r"[\x20\x09-\x0D]", t)), len(upper) + sum(unicodedata.category(c) == "Lu" for c in other), sum(unicodedata.category(c) != "Lu" for c in other), sum(unicodedata.category(c) == "Nd" for c in t), len(re.findall(r"[#*$%&|<>]", t))]
+    w = t.encode().split()
+    hits = [w.count(x.encode()) for x in words]
+    return np.array([*kinds, len(t) - sum(kinds)]), np.array([*hits, len(w) - sum(hits)])
+
+
+def jensen_shannon(p, q):
+    half = lambda a, m: sum(x * np.log2(x / y) for x, y in zip(a, m) if x > 0)
+    m = (p + q) / 2
+    return np.sqrt(max(0.0, half(p, m) / 2 + half(q, m) / 2))
+
+
+def test_kept_against_brute_force(spark):
+    """All columns of op2, over texts on both sides of each limit."""
+    rng, rows = random.Random(31), []
+    for i in range(160):
+        lang = ["en", "de", "xx"][i % 3]
+        common = quality_rules.COMMON.get(lang, ["the"])
+        share, n = rng.choice([0.05, 0.3, 0.4, 0.5, 0.9]), rng.choice([5, 40, 60, 150, 400])
+        words = [rng.choice(common) if rng.random() < share else prose(9000 + 500 * i + k, 1) for k in range(n)]
+        for _ in range(rng.choice([0, 0, 0, n // 4, n])):
+            words[rng.randrange(n)] = rng.choice(["###", "1234", "É", "WORD", "%", "...", "a b c d e a b c d e"])
+        rows.append((i, " ".join(words), lang))
+    rows += [(1000, None, "en"), (1001, "", None), (1002, rows[7][1], "en"), (1003, "l\nl\n" * 40, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    counts = {i: shares(t or "", quality_rules.COMMON.get(lang, [])) for i, t, lang in rows}
+    seen = set()
+    for i, t, lang in rows:
+        t = t or ""
+        peers = [(j, u or "") for j, u, other in rows if other == lang]
+        long_c, long_w = [j for j, u in peers if len(u) >= 300], [j for j, u in peers if len(u.split()) >= 50]
+        dc = dw = None
+        if len(t) >= 300 and len(long_c) >= 5:
+            dc = jensen_shannon(counts[i][0] / len(t), np.mean([counts[j][0] / counts[j][0].sum() for j in long_c], axis=0))
+        if len(t.split()) >= 50 and len(long_w) >= 5 and lang in quality_rules.COMMON:
+            dw = jensen_shannon(counts[i][1] / len(t.split()), np.mean([counts[j][1] / counts[j][1].sum() for j in long_w], axis=0))
+        r = got[i]
+        for mine, want in ((r._qr_char_distance, dc), (r._qr_word_distance, dw)):
+            assert (mine is None) == (want is None) and (want is None or abs(mine - want) < 1e-9), (i, mine, want)
+        w = t.split()
+        c = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        marked = {j for k in range(len(w) - 4) if c[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
+        failed = len(w) < 10 or 100 * len(marked) > 20 * len(w)
+        far_c, far_w = dc is not None and dc > 0.14 + 3.0 / len(t) ** 0.5, dw is not None and dw > 0.14 + 1.4 / len(w) ** 0.5
+        assert (r._qr_base_failed, r._qr_kept) == (failed, not (failed or far_c or far_w)), i
+        seen |= {("base", failed), ("chars", far_c), ("words", far_w)}
+    assert len(seen) == 6
+
+
 # --- 3 ---
 
 
@@ -420,6 +473,40 @@ def test_quality_model(spark, docs):
     assert {r.score for r in none} == {0.5}
 
 
+def test_dual_coordinate_descent_is_the_optimum():
+    """Against projected gradient steps on the dual, and by the gap between primal and dual."""
+    rng = np.random.default_rng(5)
+    n, size = 60, 40
+    rows = [np.unique(rng.integers(0, size, rng.integers(1, 12))).astype(np.uint32) for _ in range(n)]
+    y = np.where(rng.random(n) < 0.4, 1, -1)
+    r = rng.normal(size=size)
+    w, b = quality_model.dual_coordinate_descent(rows, y, r, epochs=3000)
+    x = np.zeros((n, size + 1))
+    for i, f in enumerate(rows):
+        x[i, f] = r[f] / np.sqrt(len(f))
+        x[i, size] = 1
+    upper = np.where(y > 0, n / (2 * (y > 0).sum()), n / (2 * (y < 0).sum()))
+    z = x * y[:, None]
+    step, a = 1 / np.linalg.norm(z @ z.T, 2), np.zeros(n)
+    for _ in range(40_000):
+        a = np.clip(a + step * (1 - z @ (z.T @ a)), 0, upper)
+    primal = lambda v: 0.5 * v @ v + upper @ np.maximum(0, 1 - z @ v)
+    dual = a.sum() - 0.5 * np.sum((z.T @ a) ** 2)
+    assert dual - 1e-6 <= primal(np.append(w, b)) <= dual * 1.01
+    p, q = np.ones(4), np.ones(4)
+    p[[0, 1]] += [2, 1]
+    q[[1, 2]] += [1, 1]
+    ratios = quality_model.log_count_ratios([np.array([0]), np.array([0, 1]), np.array([1, 2])], np.array([1, 1, -1]), 2)
+    assert np.allclose(ratios, np.log((p / p.sum()) / (q / q.sum())))
+
+
+def test_classifier_takes_copies_of_an_id_once(spark, docs):
+    texts = [(i, prose(800 + i, 20)) for i in range(8)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    one, many = (quality_model.fit(docs(x), labels) for x in (texts, texts * 5))
+    assert np.array_equal(one.weights, many.weights) and one.offset == many.offset
+
+
 # --- 9 ---
 
 
@@ -594,6 +681,51 @@ def test_odd_sketch_never_exceeds_the_difference():
     assert flips <= len(np.setxor1d(s, t)) and flips > 60
 
 
+# --- odd tables, for every operator ---
+
+OWN_NAMES = ["bucket", "sketch", "key", "starts", "removal_id", "rep", "component", "n", "digest", "bands", "deal", "pack_group", "of", "id", "place", "anchor", "held_out", "score", "spans", "c0", "head_bucket", "lead_text", "x", "kept", "n_words"]
+DOCUMENT_OPS = {
+    "quality": lambda d: quality_rules.judge(d).select("doc_id", *(c for c in quality_rules.judge(d).columns if c.startswith("_qr_"))),
+    "bpe": bpe_dropout.encode,
+    "fingerprints": fingerprints.compare,
+    "secrets": secrets.scan,
+    "redact": lambda d: secrets.redact(d).select("doc_id", "text"),
+    "packing": lambda d: packing.pack_documents(d).select("doc_id", "start", "length", "ids_crc32", "doc_tokens"),
+    "substrings": substrings.judge,
+    "strip": lambda d: substrings.strip(d).select("doc_id", "text"),
+    "model": lambda d: quality_model.score(d, quality_model.Model(np.arange(16.0), 0.5, 1.0, 0.0, 4)),
+    "neardup": neardup.near_duplicates,
+    "keep": lambda d: neardup.keep(d).select("doc_id", "text"),
+}
+
+
+@pytest.mark.parametrize("name", DOCUMENT_OPS)
+def test_odd_tables(spark, name):
+    """Empty tables; nulls in every column; repeated rows and ids; a very long text; columns that clash with inner names."""
+    op, long_text = DOCUMENT_OPS[name], prose(77, 120) + " " + "word " * 40_000 + "y" * 50_000
+    passage = prose(78, 70)
+    rows = [(None, None), (None, passage), (1, ""), (2, passage), (2, passage), (3, "a " + passage), (3, prose(79, 8)), (4, long_text), (5, long_text), (-(1 << 62), "one"), ((1 << 62) + 1, "one")]
+    plain = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    wide = plain
+    for k, c in enumerate(OWN_NAMES):
+        wide = wide.withColumn(c, F.lit(None).cast("string") if k % 2 else F.lit(k))
+    a, b = (sorted(map(str, op(d).collect())) for d in (plain, wide))
+    assert a == b and len(a) >= 4
+    assert op(plain.limit(0)).collect() == [] and op(wide.where("doc_id = 99")).collect() == []
+    if name in ("strip", "keep", "redact"):
+        whole = {"strip": substrings.strip, "keep": neardup.keep, "redact": secrets.redact}[name](wide)
+        assert whole.columns == wide.columns and whole.schema["bucket"].dataType == wide.schema["bucket"].dataType
+
+
+def test_odd_conversations_and_pages(spark):
+    turns = spark.createDataFrame([(1, 1, "user", None, "x"), (None, None, None, None, None), (2, 1, "assistant", "z " * 30_000, "x"), (2, 1, "assistant", "z " * 30_000, "x")], "conv_id long, turn long, role string, text string, piece string")
+    assert {r.conv_id: r.n_turns for r in chat.read_back(chat.format_turns(turns)).collect()} == {1: 1, None: 1, 2: 2}
+    assert chat.read_back(chat.format_turns(turns.limit(0))).count() == 0
+    pages = spark.createDataFrame([(None, None, None, 1), (1, "u", "h" * 300_000, 2), (1, "u", "h" * 300_000, 2), (2, None, "h" * 300_000, 3)], "page_id long, url string, html string, digest long").withColumn("keeper", F.lit(5)).withColumn("size", F.lit("s"))
+    got = collections.Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(warc.write_archives(pages)).collect())
+    assert got == {(None, "response", None, 0): 1, (1, "revisit", 2, 300_000): 2, (2, "response", None, 300_000): 1}
+
+
 # --- the pipeline ---
 
 
