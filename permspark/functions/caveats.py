@@ -1,7 +1,8 @@
 """Caveats on edges: evaluated once per edge, at the scan, to a state.
 
-State 2 is true, 1 unknown for want of context, 0 false. Context stored with an edge
-overrides the request's. Distinct (caveat, stored context) pairs of a batch are evaluated
+State 2 is true, 1 unknown for want of context, 0 false. An edge whose caveat or context is not
+valid is unknown, too; what it lacks then begins with ``ERROR``, so that one bad edge spoils
+the answers that rest on it and no others. Context stored with an edge overrides the request's. Distinct (caveat, stored context) pairs of a batch are evaluated
 once, in Arrow batches; edges without a caveat never leave the JVM.
 """
 
@@ -18,6 +19,8 @@ from permspark.plans.dsl import Caveat, Schema
 
 NO, MAYBE, YES = 0, 1, 2
 RESULT = "state int, missing array<string>"
+#: Begins what is missing where evaluation failed; no parameter's name holds a colon.
+ERROR = "error: "
 
 
 def evaluate(caveat: Caveat, stored: dict, request: dict) -> tuple[int, list[str]]:
@@ -44,9 +47,12 @@ def state_of(schema: Schema, name: Column, stored: Column, request: dict | None
                 out.append((YES, []))
                 continue
             if (n, c) not in known:
-                if n not in caveats:
-                    raise cel.CelError(f"no caveat {n!r}")
-                known[n, c] = evaluate(caveats[n], json.loads(c) if c else {}, context)
+                try:
+                    if n not in caveats:
+                        raise cel.CelError(f"no caveat {n!r}")
+                    known[n, c] = evaluate(caveats[n], json.loads(c) if c else {}, context)
+                except (ValueError, AttributeError, RecursionError) as e:
+                    known[n, c] = (MAYBE, [f"{ERROR}{n}: {e}"])
             out.append(known[n, c])
         return pd.DataFrame(out, columns=["state", "missing"])
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import json
 from collections.abc import Iterable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permspark.functions.caveats import with_state
-from permspark.operators.reads import complete, live
+from permspark.functions.caveats import ERROR, with_state
+from permspark.operators.reads import CursorError, after, complete, live
 from permspark.plans.compiler import STAR, Compiler
 from permspark.plans.dsl import Arrow, Nil, Op, Ref, Schema, Self
 from permspark.plans.schema import load
@@ -17,8 +20,20 @@ from permspark.plans.schema import load
 STATES = {0: "NO", 1: "CONDITIONAL", 2: "HAS"}
 
 
-def _name(state):
-    return F.when(state == 2, "HAS").when(state == 1, "CONDITIONAL").otherwise("NO")
+def _name(state, missing=None):
+    """The answer's name; ERROR where a condition rests on a caveat that couldn't be evaluated."""
+    some = F.when(state == 1, "CONDITIONAL")
+    if missing is not None:
+        some = F.when((state == 1) & F.exists(missing, lambda m: m.startswith(ERROR)), "ERROR").when(state == 1, "CONDITIONAL")
+    return some.when(state == 2, "HAS").otherwise("NO")
+
+
+def _cursor(request: list, key: list) -> str:
+    return base64.urlsafe_b64encode(json.dumps([_hash(request), *key]).encode()).decode()
+
+
+def _hash(request: list) -> str:
+    return hashlib.sha256(json.dumps(request, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
 class Engine:
@@ -33,6 +48,8 @@ class Engine:
         rows = complete(edges)
         rows = live(rows, as_of) if as_of is not None else rows
         self.edges = self._with_false(rows, context)
+        free = rows.where("caveat_name IS NULL") if self.schema.caveats else rows
+        self.plain = free.withColumns({"state": F.lit(2), "missing": F.array().cast("array<string>")})
         self.spark: SparkSession = edges.sparkSession
         self.context, self.max_depth = context, max_depth
 
@@ -45,7 +62,7 @@ class Engine:
             raise ValueError(f"no type {subject[0]!r}")
         if subject[1] != "..." and not self.schema.definitions[subject[0]].has(subject[1]):
             raise ValueError(f"no relation {subject[0]}#{subject[1]}")
-        return Compiler(self.schema, self.edges, subject, subjects, self.max_depth)
+        return Compiler(self.schema, self.edges, subject, subjects, self.max_depth, self.plain)
 
     def members(self, type_: str, permission: str, subject_type: str, subject_relation: str = "...") -> DataFrame:
         """The whole member table."""
@@ -65,7 +82,7 @@ class Engine:
         out = pairs.join(one, (F.col("resource_id") == F.col("_r")) & (F.col("subject_id") == F.col("_s")), "left").join(star, F.col("resource_id") == F.col("_wr"), "left")
         state = F.coalesce("_st", "_w", F.lit(0))
         missing = F.when(state == 1, F.coalesce("_m", "_wm")).otherwise(F.array().cast("array<string>"))
-        out = out.withColumns({"permissionship": _name(state), "missing": missing}).drop("_r", "_s", "_st", "_m", "_wr", "_w", "_wm")
+        out = out.withColumns({"permissionship": _name(state, missing), "missing": missing}).drop("_r", "_s", "_st", "_m", "_wr", "_w", "_wm")
         bad = F.when(F.col("subject_id") == STAR, F.raise_error(F.lit("a wildcard can't be checked"))).otherwise(F.col("permissionship"))
         return out.withColumn("permissionship", bad)
 
@@ -79,7 +96,8 @@ class Engine:
     def check_bulk(self, items: Iterable[tuple[str, str, str]]) -> list[str]:
         """Answers in the order of (resource, permission, subject) items; an unknown name is that item's error.
 
-        Items that share types and permission are one job.
+        Items that share types and permission are one job. A caveat that can't be evaluated is the
+        error of the items whose answer rests on it.
         """
         groups: dict = {}
         for i, (resource, permission, subject) in enumerate(items):
@@ -94,7 +112,8 @@ class Engine:
                 continue
             try:
                 df = self.spark.createDataFrame(rows, "ordinal int, resource_id string, subject_id string")
-                out |= {r.ordinal: r.permissionship for r in self.check(df, rt, permission, st, sr).select("ordinal", "permissionship").collect()}
+                found = self.check(df, rt, permission, st, sr).select("ordinal", "permissionship", "missing").collect()
+                out |= {r.ordinal: "ERROR: " + "; ".join(m.removeprefix(ERROR) for m in r.missing if m.startswith(ERROR)) if r.permissionship == "ERROR" else r.permissionship for r in found}
             except ValueError as e:
                 out |= {i: f"ERROR: {e}" for i, _, _ in rows}
         return [out[i] for i in sorted(out)]
@@ -110,7 +129,28 @@ class Engine:
             pairs = stars.join(wanted.select(F.col("id").alias("subject")))
             pairs = pairs.join(m.where(F.col("subject") != STAR).select("resource", "subject"), ["resource", "subject"], "left_anti")
             listed = listed.unionByName(pairs.select("subject", "resource", "state", "missing"))
-        return listed.select(F.col("subject").alias("subject_id"), F.col("resource").alias("resource_id"), _name(F.col("state")).alias("permissionship"), "missing")
+        return listed.select(F.col("subject").alias("subject_id"), F.col("resource").alias("resource_id"), _name(F.col("state"), F.col("missing")).alias("permissionship"), "missing")
+
+    def lookup_resources_page(self, subjects: DataFrame, type_: str, permission: str, subject_type: str, subject_relation: str = "...", limit: int = 1000, cursor: str | None = None) -> tuple[list, str | None]:
+        """Rows of lookup_resources() by (resource_id, subject_id) behind a cursor, and the next cursor; None at the end.
+
+        The cursor holds the last row and a hash of the request: types, permission, context and the page's subjects' plan
+        are the caller's to keep, another type, permission or context raises. A page is a filtered top-k.
+        """
+        if limit < 1:
+            raise ValueError("a page has one row at least")
+        request, order = [type_, permission, subject_type, subject_relation, self.context], ["resource_id", "subject_id"]
+        found = self.lookup_resources(subjects, type_, permission, subject_type, subject_relation)
+        if cursor is not None:
+            try:
+                told, *key = json.loads(base64.urlsafe_b64decode(cursor))
+            except ValueError as e:
+                raise CursorError("not a cursor") from e
+            if told != _hash(request) or len(key) != 2:
+                raise CursorError("the cursor is of another request")
+            found = found.where((F.col("resource_id") >= key[0]) & after(order, key))  # the first part reaches the scan
+        rows = found.orderBy(*order).limit(limit).collect()
+        return rows, None if len(rows) < limit else _cursor(request, [rows[-1].resource_id, rows[-1].subject_id])
 
     def lookup_subjects(self, objects: DataFrame, type_: str, permission: str, subject_type: str, subject_relation: str = "...") -> DataFrame:
         """(resource_id, subject_id, permissionship, missing, excluded) for each object of ``objects`` (resource_id).
@@ -122,9 +162,9 @@ class Engine:
         m = self.compiler((subject_type, subject_relation)).members((type_, permission), seed)
         none = F.array().cast("array<struct<subject_id:string,permissionship:string>>")
         out = (F.col("subject") != STAR) & ((F.col("state") == 0) | ((F.col("state") == 1) & (F.col("w") == 2)))
-        excluded = m.where(out).groupBy(F.col("resource").alias("_r")).agg(F.array_sort(F.collect_list(F.struct(F.col("subject").alias("subject_id"), _name(F.col("state")).alias("permissionship")))).alias("_x"))
+        excluded = m.where(out).groupBy(F.col("resource").alias("_r")).agg(F.array_sort(F.collect_list(F.struct(F.col("subject").alias("subject_id"), _name(F.col("state"), F.col("missing")).alias("permissionship")))).alias("_x"))
         rows = m.where(~out).join(excluded, (F.col("resource") == F.col("_r")) & (F.col("subject") == STAR), "left")
-        return rows.select(F.col("resource").alias("resource_id"), F.col("subject").alias("subject_id"), _name(F.col("state")).alias("permissionship"), "missing", F.coalesce("_x", none).alias("excluded"))
+        return rows.select(F.col("resource").alias("resource_id"), F.col("subject").alias("subject_id"), _name(F.col("state"), F.col("missing")).alias("permissionship"), "missing", F.coalesce("_x", none).alias("excluded"))
 
     def expand(self, resource: str, permission: str) -> dict:
         """The tree of set operations over one object, with its stored subjects at the leaves."""

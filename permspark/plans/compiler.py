@@ -93,11 +93,13 @@ class Compiler:
     """Member tables of one kind of subject, over edges that have state and missing.
 
     ``subjects`` (a column id) keeps only those among the concrete subjects; without it
-    all are found. Wildcards are never expanded to it.
+    all are found. Wildcards are never expanded to it. ``plain`` are the edges without a caveat:
+    relations that the schema allows no caveat on read these alone.
     """
 
-    def __init__(self, schema: Schema, edges: DataFrame, subject: tuple[str, str], subjects: DataFrame | None = None, max_depth: int = 50) -> None:
+    def __init__(self, schema: Schema, edges: DataFrame, subject: tuple[str, str], subjects: DataFrame | None = None, max_depth: int = 50, plain: DataFrame | None = None) -> None:
         self.schema, self.edges, self.subject, self.subjects, self.max_depth = schema, edges, subject, subjects, max_depth
+        self.plain, self.narrow = plain, False
         self.done: dict = {}
         self.seeded: dict = {}
         self.kept: dict = {}
@@ -113,7 +115,8 @@ class Compiler:
     def scan(self, type_: str, relation: str, seed: DataFrame | None) -> DataFrame:
         e = self.kept.get((type_, relation))
         if e is None:
-            e = self.edges.where((F.col("resource_type") == type_) & (F.col("relation") == relation))
+            e = self.edges if self.plain is None or any(a.caveat for a in self.schema.definitions[type_].relations[relation].allowed) else self.plain
+            e = e.where((F.col("resource_type") == type_) & (F.col("relation") == relation))
         return e if seed is None else e.join(seed.select(F.col("id").alias("resource_id")), "resource_id", "left_semi")
 
     def direct(self, e: DataFrame) -> DataFrame:
@@ -154,6 +157,12 @@ class Compiler:
         if not linear and not env and key in self.seeded:
             return self.seeded[key][0]
         if inside := component(self.schema, node):
+            if self.narrow and seed is not None:
+                found = self.fixpoint(inside, (node[0], seed))
+                for n in found:
+                    if not linear and not env and n[0] == node[0]:
+                        self.seeded[n, id(seed)] = (found[n], seed)
+                return found[node]
             if node not in self.done:
                 self.done |= self.fixpoint(inside)
             return self.done[node]
@@ -275,18 +284,52 @@ class Compiler:
             if n in self.schema.definitions[t].permissions:
                 look(t, self.schema.definitions[t].permissions[n].expr)
 
-    def fixpoint(self, inside: set[Node]) -> dict[Node, DataFrame]:
+    def _below(self, inside: set[Node], used: dict[str, set[str]], start: tuple[str, DataFrame]) -> DataFrame:
+        """(t, id): the objects whose members those of the start rest on, by edges within the component.
+
+        Breadth first; an object is followed once, so cycles end.
+        """
+        types = sorted({t for t, _ in inside})
+        steps = [self.scan(t, r, None).where(F.col("subject_type").isin(types) & (F.col("subject_id") != STAR)) for t in types for r in sorted(used.get(t, ()))]
+        steps = cut(_all([e.select("resource_type", "resource_id", "subject_type", "subject_id") for e in steps]).distinct()) if steps else None
+        found = front = cut(start[1].select(F.lit(start[0]).alias("t"), "id").distinct())
+        for _ in range(self.max_depth + 1):
+            if steps is None:
+                return found
+            on = (F.col("resource_type") == F.col("t")) & (F.col("resource_id") == F.col("id"))
+            new = steps.join(front, on, "left_semi").select(F.col("subject_type").alias("t"), F.col("subject_id").alias("id")).distinct()
+            front = cut(new.join(found, ["t", "id"], "left_anti"))
+            if front.isEmpty():
+                return found
+            found = cut(found.unionByName(front))
+        raise DepthError(f"{sorted(inside)} goes deeper than {self.max_depth}")
+
+    def fixpoint(self, inside: set[Node], start: tuple[str, DataFrame] | None = None) -> dict[Node, DataFrame]:
+        """Member tables of a component's nodes; with a start (type, ids), of the objects that it reaches."""
+        before, self.kept = self.kept, dict(self.kept)
+        try:
+            return self._fixpoint(inside, start)
+        finally:
+            if start is not None:  # edges were kept for these objects only
+                self.kept = before
+
+    def _fixpoint(self, inside: set[Node], start: tuple[str, DataFrame] | None) -> dict[Node, DataFrame]:
         self._stratified(inside)
         nodes = sorted(n for n in inside if reaches(self.schema, n, self.subject))
         wild = self.wild(nodes)
         env: dict = {n: self.empty() for n in inside}
-        # every ply reads these edges again: filtered and pruned once, not derived each time
+        used: dict[str, set[str]] = {}
         for t, n in nodes:
             d = self.schema.definitions[t]
-            used = [n] if n in d.relations else [e.relation for e in parts_of(d.permissions[n].expr) if isinstance(e, Arrow)]
-            for r in used:
-                if (t, r) not in self.kept:
-                    self.kept[t, r] = cut(self.scan(t, r, None))
+            used.setdefault(t, set()).update([n] if n in d.relations else [e.relation for e in parts_of(d.permissions[n].expr) if isinstance(e, Arrow)])
+        reach = None if start is None else self._below(inside, used, start)
+        # every ply reads these edges again: filtered and pruned once, not derived each time
+        for t, r in ((t, r) for t, rs in used.items() for r in sorted(rs)):
+            if start is not None:
+                ids = reach.where(F.col("t") == t).select("id")
+                self.kept[t, r] = cut(self.scan(t, r, ids))
+            elif (t, r) not in self.kept:
+                self.kept[t, r] = cut(self.scan(t, r, None))
         if wild or not self._union_only(inside):
             return self._naive(nodes, env)
         plies = {n: [cut(self.body(n, env, frozenset(), None))] for n in nodes}
@@ -326,6 +369,7 @@ class Compiler:
         t, n = node
         if t not in self.schema.definitions or not self.schema.definitions[t].has(n):
             raise ValueError(f"no relation or permission {t}#{n}")
+        self.narrow = seed is not None
         out = self.node(node, {}, frozenset(), seed)
         if seed is not None:
             out = out.join(seed.select(F.col("id").alias("resource")), "resource", "left_semi")

@@ -231,6 +231,18 @@ def _lookup_groups(spark: SparkSession, d: str) -> DataFrame:
 
 _add("userset_direct_or_indirect", lambda s, d: _lookup_groups(s, d).select("resource_id", "subject_id"), _closure("group_tree", "group_leaf"))
 _add("recursive_group", _members("group", "member", "customer", "group_tree", "group_leaf"), _closure("group_tree", "group_leaf"))
+
+
+def _some_groups(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("resource_id"))
+
+
+_add("recursive_lookup_subjects", lambda s, d: _engine(s, d, "group_tree", "group_leaf").lookup_subjects(_some_groups(s, d), "group", "member", "customer").select("resource_id", "subject_id"), "SELECT * FROM (" + _closure("group_tree", "group_leaf") + ") WHERE resource_id IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier)")
+_add(
+    "recursive_lookup_resources",
+    lambda s, d: _engine(s, d, "folder_parent", "folder_viewer").lookup_resources(_some_groups(s, d).withColumnRenamed("resource_id", "subject_id"), "folder", "view", "customer").select("resource_id", "subject_id"),
+    f"WITH RECURSIVE e AS ({EDGES['folder_parent']}), r(a, b) AS (SELECT rid, sid FROM ({EDGES['folder_viewer']}) WHERE CAST(sid AS BIGINT) IN (SELECT s_suppkey FROM supplier) UNION SELECT e.rid, r.b FROM r JOIN e ON e.sid = r.a) SELECT DISTINCT a AS resource_id, b AS subject_id FROM r",
+)
 _add("recursive_cycle", _members("ring", "member", "customer", "ring_tree", "ring_leaf", "ring_close"), _closure("ring_tree", "ring_leaf", "ring_close"))
 _add(
     "recursive_parent",
@@ -267,22 +279,21 @@ _add(
 
 
 def _paged(spark: SparkSession, d: str) -> DataFrame:
-    """The first 100 rows of a lookup past the id 2, in pages of 30 that follow each other's cursors."""
+    """The first 100 rows of a lookup, in pages of 30 that follow each other's cursors."""
     customers = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("subject_id"))
-    found = _engine(spark, d, "owner", "watcher").lookup_resources(customers, "order", "seen", "customer").where(F.col("resource_id") > "2")
-    key = {"resource_type": "order", "relation": "seen", "subject_type": "customer", "subject_relation": "..."}
-    found = cut(found.select("resource_id", "subject_id", *(F.lit(v).alias(k) for k, v in key.items())))
-    rows, cursor = page(found, Filter(type="order"), 30)
-    while cursor and len(rows) < 100:
-        more, cursor = page(found, Filter(type="order"), min(30, 100 - len(rows)), cursor)
+    e, rows, cursor = _engine(spark, d, "owner", "watcher"), [], None
+    while len(rows) < 100 and (cursor or not rows):
+        more, cursor = e.lookup_resources_page(customers, "order", "seen", "customer", limit=min(30, 100 - len(rows)), cursor=cursor)
         rows += more
+        if not more:
+            break
     return spark.createDataFrame([(r.resource_id, r.subject_id) for r in rows], "resource_id string, subject_id string")
 
 
 _add(
     "lookup_resources_paged",
     _paged,
-    f"SELECT DISTINCT a AS resource_id, b AS subject_id FROM ({_rel('owner')} UNION {_rel('watcher')}) WHERE a > '2' ORDER BY 1, 2 LIMIT 100",
+    f"SELECT DISTINCT a AS resource_id, b AS subject_id FROM ({_rel('owner')} UNION {_rel('watcher')}) ORDER BY 1, 2 LIMIT 100",
 )
 _add(
     "check_bulk",
@@ -323,6 +334,16 @@ _add("caveat_time", *_check_caveat("time_viewer", "opens", lambda: F.to_json(F.s
 _add("in_cidr", *_check_caveat("net_viewer", "from_net", lambda: F.to_json(F.struct(F.concat(F.lit("10."), (F.col("o_orderkey") % 4).cast("string"), F.lit(".0.0/16")).alias("cidr"))), {"address": "10.2.3.4"}, "CASE WHEN o_orderkey % 4 = 2 THEN {'p': 'HAS', 'm': ''} ELSE {'p': 'NO', 'm': ''} END"))
 
 
+def _check_bad(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts that are no JSON, or hold a value of another type, spoil their own answers alone."""
+    bad = lambda: F.when(F.col("o_orderkey") % 3 == 0, '{"max": "many"}').when(F.col("o_orderkey") % 3 == 1, "{").otherwise(F.to_json(F.struct(F.floor("o_totalprice").alias("max"))))
+    pairs = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("resource_id"), F.col("o_custkey").cast("string").alias("subject_id"))
+    return Engine(load(SCHEMA), _caveated("discount_viewer", "limit", bad)(spark, d), {"amount": 150000}).check(pairs, "order", "discount_viewer", "customer").select("resource_id", "subject_id", "permissionship")
+
+
+_add("caveat_errors", _check_bad, "SELECT CAST(o_orderkey AS VARCHAR) AS resource_id, CAST(o_custkey AS VARCHAR) AS subject_id, CASE WHEN o_orderkey % 3 < 2 THEN 'ERROR' WHEN 150000 <= floor(o_totalprice) THEN 'HAS' ELSE 'NO' END AS permissionship FROM orders")
+
+
 def _temp(spark: SparkSession, d: str) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet")
     return complete(o.select(F.lit("order").alias("resource_type"), F.col("o_orderkey").cast("string").alias("resource_id"), F.lit("temp_viewer").alias("relation"), F.lit("customer").alias("subject_type"), F.col("o_custkey").cast("string").alias("subject_id"), F.col("o_orderdate").alias("expiration")))
