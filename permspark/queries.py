@@ -5,16 +5,19 @@ Edges are derived from the TPC-H-like tables; ids are strings, times fixed.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permspark.operators.engine import Engine
-from permspark.operators.reads import KEY, Filter, SubjectSelector, changes, complete, fold, page, read, snapshot
-from permspark.operators.writes import HISTORY, WriteError, apply_updates, check_preconditions, delete_matching, statistics, violations
+from permspark.operators.reads import KEY, Filter, SubjectSelector, changes, complete, fold, read, snapshot
+from permspark.operators.writes import HISTORY, Store, WriteError, apply_updates, check_preconditions, delete_matching, statistics, violations
 from permspark.plans.dsl import parse
-from permspark.plans.materialize import cut
+from permspark.plans.materialize import work_dir
 from permspark.plans.schema import computable, dependents, diff, entrypoints, load, reflect
 from permspark.sources.text import format_column, parse_lines
+from permspark.streaming.watch import EVENT, stream, watch
 
 AS_OF = "1998-01-01 00:00:00"
 SCHEMA = """
@@ -397,7 +400,43 @@ _add(
     lambda s, d: fold(_events(s, d)).select("revision", "operation", "resource_id", "subject_id"),
     "SELECT event_id % 97 AS revision, CASE WHEN bool_or(event_type IN ('signup', 'purchase')) THEN 'TOUCH' ELSE 'DELETE' END AS operation, CAST(event_id % 13 AS VARCHAR) AS resource_id, CAST(user_id AS VARCHAR) AS subject_id FROM events GROUP BY event_id % 97, event_id % 13, user_id",
 )
-_add("count_relationships", lambda s, d: read(spark_edges(s, d, *_MANY), Filter(type="order")).agg(F.count(F.lit(1)).alias("n")), f"SELECT count(*) AS n FROM ({_sql(*_MANY)}) WHERE rt = 'order'")
+
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    """A registered counter over a store that the edges were bulk-loaded into."""
+    store = Store(spark, load(SCHEMA))
+    store.bulk_load(spark_edges(spark, d, *_MANY))
+    store.register_counter("orders", Filter(type="order"))
+    return spark.createDataFrame([(store.count("orders"),)], "n long")
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """The head of a store after a bulk load, a write, a filtered deletion and a compaction."""
+    store = Store(spark, load(SCHEMA))
+    store.bulk_load(spark_edges(spark, d, "owner"))
+    store.write(spark_edges(spark, d, "watcher").withColumn("operation", F.lit("CREATE")))
+    store.delete(Filter(type="order", relation="owner", prefix="1"))
+    store.compact()
+    return Store(spark, path=store.path).at().select(*KEY)
+
+
+def _watched(spark: SparkSession, d: str) -> DataFrame:
+    """Every whole revision of the event stream, as a stream delivers them from one file after the other."""
+    folder, columns = f"{work_dir(spark)}/watch-{uuid.uuid4().hex}", [x.split()[0] for x in EVENT.split(", ")]
+    end = _events(spark, d).limit(1).withColumns({"revision": F.lit(1 << 40), "operation": F.lit("CHECKPOINT")})
+    _events(spark, d).unionByName(end).select(*columns).repartitionByRange(3, "revision").sortWithinPartitions("revision").write.parquet(f"{folder}/in")
+    emit = lambda df, top: df.write.mode("overwrite").parquet(f"{folder}/out/upto={top}")
+    watch(stream(spark, f"{folder}/in", after=-1), emit, f"{folder}/state").awaitTermination()
+    return spark.read.schema(EVENT).parquet(f"{folder}/out").select("revision", "operation", "resource_id", "subject_id")
+
+
+_add("store_bulk_write_delete", _stored, f"SELECT {_KEYS_SQL} FROM ({EDGES['watcher']}) UNION ALL SELECT {_KEYS_SQL} FROM ({EDGES['owner']}) WHERE rid NOT LIKE '1%'")
+_add(
+    "watch_stream",
+    _watched,
+    "SELECT event_id % 97 AS revision, CASE WHEN bool_or(event_type IN ('signup', 'purchase')) THEN 'TOUCH' ELSE 'DELETE' END AS operation, CAST(event_id % 13 AS VARCHAR) AS resource_id, CAST(user_id AS VARCHAR) AS subject_id FROM events GROUP BY event_id % 97, event_id % 13, user_id",
+)
+_add("count_relationships", _counted, f"SELECT count(*) AS n FROM ({_sql(*_MANY)}) WHERE rt = 'order'")
 _add("statistics", lambda s, d: statistics(spark_edges(s, d, *_MANY)), f"SELECT rt AS resource_type, rel AS relation, count(*) AS n_edges FROM ({_sql(*_MANY)}) GROUP BY rt, rel")
 _add("export_sorted", lambda s, d: spark_edges(s, d, *_MANY).orderBy(*KEY).select(format_column().alias("line")), f"SELECT rt || ':' || rid || '#' || rel || '@' || st || ':' || sid || CASE WHEN sr <> '...' THEN '#' || sr ELSE '' END AS line FROM ({_sql(*_MANY)})")
 _add("import_text", lambda s, d: parse_lines(spark_edges(s, d, *_MANY).select(format_column().alias("value"))).select(*KEY), f"SELECT {_KEYS_SQL} FROM ({_sql(*_MANY)})")

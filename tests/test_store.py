@@ -109,23 +109,83 @@ def test_validation_file():
     assert v.relationships == ["doc:one#viewer@user:tom"] and v.true == [("doc:one#view@user:tom", {"a": 1})]
 
 
-def test_watch(spark, tmp_path):
+def events(spark, rows):
+    """Events from (revision, operation, edge); an empty edge for SCHEMA and CHECKPOINT."""
     from pyspark.sql import functions as F
 
-    from permspark.operators.reads import EDGE
-    from permspark.streaming.watch import EVENT, only, stream, watch
+    from permspark.streaming.watch import EVENT
 
     names = [x.split()[0] for x in EVENT.split(", ")]
-    e = from_texts(spark, ["doc:one#viewer@user:tom", "doc:one#viewer@user:tom", "folder:one#viewer@user:tom"]).withColumn("revision", F.lit(3).cast("long"))
-    e = e.withColumn("operation", F.when(F.monotonically_increasing_id() % 2 == 0, "DELETE").otherwise("TOUCH"))
-    both = e.limit(1).withColumn("operation", F.lit("TOUCH")).unionByName(e.withColumn("operation", F.lit("DELETE")))
-    both.select(*names).write.parquet(str(tmp_path / "in"))
+    out = None
+    for revision, operation, line in rows:
+        e = from_texts(spark, [line or "none:none#none@none:none"]).withColumns({"revision": F.lit(revision).cast("long"), "operation": F.lit(operation)}).select(*names)
+        out = e if out is None else out.unionByName(e)
+    return out.coalesce(1)
+
+
+def test_watch_delivers_whole_revisions(spark, tmp_path):
+    import time
+
+    from permspark.streaming.watch import RevisionError, only, resume, stream, watch
+
+    doc, other, folder = "doc:one#viewer@user:tom", "doc:two#viewer@user:tom", "folder:one#viewer@user:tom"
+    batches = [
+        [(3, "DELETE", doc), (2, "TOUCH", folder), (3, "DELETE", folder)],
+        [(3, "TOUCH", doc), (3, "DELETE", other)],  # the rest of revision 3
+        [(4, "SCHEMA", None), (5, "TOUCH", other)],
+        [(5, "CHECKPOINT", None)],
+    ]
+    for k, b in enumerate(batches):
+        events(spark, b).write.parquet(str(tmp_path / "in" / f"b{k}"))
+        time.sleep(1.1)  # files are taken by their time
     got = []
-    q = watch(only(stream(spark, str(tmp_path / "in"), after=2), types=["doc"]), lambda df, top: got.append((df.collect(), top)), str(tmp_path / "cp"))
-    q.awaitTermination(60)
-    rows, top = got[0]
-    assert top == 3 and [(r.operation, r.resource_type) for r in rows] == [("TOUCH", "doc")]
-    assert EDGE
+    keep = lambda df, top: got.append(([(r.revision, r.operation, r.resource_id) for r in df.collect()], top))
+    run = lambda extra=None, **o: watch(stream(spark, str(tmp_path / "in" / "*"), after=resume(encode_token(2)), maxFilesPerTrigger=1), keep, str(tmp_path / "cp"), **o).awaitTermination(120)
+    run(schema=True)
+    assert [x for x in got if x[0]] == [([(3, "TOUCH", "one"), (3, "DELETE", "two"), (3, "DELETE", "one"), (4, "SCHEMA", "none")], 4), ([(5, "TOUCH", "two")], 5)]
+    events(spark, [(5, "DELETE", other)]).write.parquet(str(tmp_path / "in" / "late"))
+    with pytest.raises(Exception, match="came after"):
+        run(schema=True)
+    with pytest.raises(RevisionError):
+        resume(encode_token(2), oldest=3)
+    assert only(events(spark, batches[0]), types=["doc"]).count() == 1
+    with pytest.raises(ValueError):
+        only(events(spark, batches[0]), types=["doc"], filters=[Filter(type="doc")])
+
+
+def test_store_is_durable_and_optimistic(spark, tmp_path):
+    import os
+
+    from permspark.operators.writes import ConflictError
+    from permspark.plans.materialize import release
+
+    path = str(tmp_path / "store")
+    s = Store(spark, load(SCHEMA), path)
+    s.write(updates(spark, "CREATE", "doc:one#viewer@user:tom", "doc:two#viewer@user:tom"))
+    s.register_counter("docs", Filter(type="doc", subjects=(SubjectSelector("user", ("tom",)),)))
+    release(spark)
+    again, rival = Store(spark, path=path), Store(spark, path=path)
+    assert again.revision == 2 and again.count("docs") == 2 and again.schema.definitions.keys() == s.schema.definitions.keys()
+    assert again.write(updates(spark, "DELETE", "doc:one#viewer@user:tom")) == 3
+    with pytest.raises(ConflictError):
+        rival.write(updates(spark, "TOUCH", "doc:one#viewer@user:ann"))
+    assert rival.refresh() == 3 and rival.write(updates(spark, "TOUCH", "doc:one#viewer@user:tom", 'doc:two#viewer@user:tom[some:{"cond":1}]')) == 4
+    assert again.refresh() == 4
+    folders = len(again.folders)
+    versions = lambda x: sorted((r.resource_id, r.created_rev, r.deleted_rev) for r in x.history.collect())
+    want = [("one", 1, 3), ("one", 4, None), ("two", 1, 4), ("two", 4, None)]
+    assert versions(again) == want
+    assert [again.at(r).count() for r in (0, 1, 2, 3, 4)] == [0, 2, 2, 1, 2]
+    again.compact()
+    assert folders == 3 and len(again.folders) == 1 and versions(again) == want
+    again.compact(horizon=4)
+    assert versions(Store(spark, path=path)) == [("one", 4, None), ("two", 4, None)]
+    for old in (lambda: again.at(3), lambda: again.at(99), lambda: again.changes(2)):
+        with pytest.raises(WriteError):
+            old()
+    with pytest.raises(WriteError, match="no store"):
+        Store(spark, path=str(tmp_path / "nothing"))
+    assert len(os.listdir(path + "/commits")) >= 6
 
 
 def test_cut_and_release(spark):
