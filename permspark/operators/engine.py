@@ -118,10 +118,20 @@ class Engine:
                 out |= {i: f"ERROR: {e}" for i, _, _ in rows}
         return [out[i] for i in sorted(out)]
 
-    def lookup_resources(self, subjects: DataFrame, type_: str, permission: str, subject_type: str, subject_relation: str = "...") -> DataFrame:
-        """(subject_id, resource_id, permissionship, missing) for each subject of ``subjects`` (subject_id)."""
+    def lookup_resources(self, subjects: DataFrame, type_: str, permission: str, subject_type: str, subject_relation: str = "...", public: str = "each") -> DataFrame:
+        """(subject_id, resource_id, permissionship, missing) for each subject of ``subjects`` (subject_id).
+
+        An object open to everybody is a result for each subject that it doesn't exclude; that is as many rows as
+        there are. With public="star" it is one row of the subject ``*`` instead, and the subjects whose
+        answer differs have rows of their own, also those with NO.
+        """
+        if public not in ("each", "star"):
+            raise ValueError("public is each or star")
         wanted = subjects.select(F.col("subject_id").alias("id")).distinct()
         m = self.compiler((subject_type, subject_relation), wanted).members((type_, permission))
+        if public == "star":
+            own = m.where((F.col("subject") == STAR) | (F.col("state") != F.col("w")))
+            return own.select(F.col("subject").alias("subject_id"), F.col("resource").alias("resource_id"), _name(F.col("state"), F.col("missing")).alias("permissionship"), "missing")
         listed = m.where((F.col("subject") != STAR) & (F.col("state") > 0)).select("subject", "resource", "state", "missing")
         if Compiler(self.schema, self.edges, (subject_type, subject_relation)).wild([(type_, permission)]):
             # a public object is a result for each subject asked for, but those it excludes
@@ -166,17 +176,30 @@ class Engine:
         rows = m.where(~out).join(excluded, (F.col("resource") == F.col("_r")) & (F.col("subject") == STAR), "left")
         return rows.select(F.col("resource").alias("resource_id"), F.col("subject").alias("subject_id"), _name(F.col("state"), F.col("missing")).alias("permissionship"), "missing", F.coalesce("_x", none).alias("excluded"))
 
-    def expand(self, resource: str, permission: str) -> dict:
-        """The tree of set operations over one object, with its stored subjects at the leaves."""
+    def expand(self, resource: str, permission: str, deep: bool = False) -> dict:
+        """The tree of set operations over one object, with its stored subjects at the leaves.
+
+        ``conditions`` name what subjects lack that have a caveat without an answer. With ``deep`` the usersets
+        among a leaf's subjects are expanded in its ``children``, too; one that is met again on its own
+        path is left as it is.
+        """
+        if not self.schema.definitions[resource.split(":", 1)[0]].has(permission):
+            raise ValueError(f"no relation or permission {resource.split(':', 1)[0]}#{permission}")
+        return self._expand(resource, permission, deep, frozenset())
+
+    def _expand(self, resource: str, permission: str, deep: bool, path: frozenset) -> dict:
         type_, id_ = resource.split(":", 1)
-        d = self.schema.definitions[type_]
-        if not d.has(permission):
-            raise ValueError(f"no relation or permission {type_}#{permission}")
+        d, path = self.schema.definitions[type_], path | {f"{resource}#{permission}"}
 
         def leaf(name: str) -> dict:
-            rows = self.edges.where((F.col("resource_type") == type_) & (F.col("resource_id") == id_) & (F.col("relation") == name) & (F.col("state") > 0))
-            subjects = [f"{r.subject_type}:{r.subject_id}" + ("" if r.subject_relation == "..." else f"#{r.subject_relation}") for r in rows.collect()]
-            return {"leaf": f"{type_}:{id_}#{name}", "subjects": sorted(subjects)}
+            rows = self.edges.where((F.col("resource_type") == type_) & (F.col("resource_id") == id_) & (F.col("relation") == name) & (F.col("state") > 0)).collect()
+            label = lambda r: f"{r.subject_type}:{r.subject_id}" + ("" if r.subject_relation == "..." else f"#{r.subject_relation}")
+            out = {"leaf": f"{type_}:{id_}#{name}", "subjects": sorted(map(label, rows))}
+            if lacking := {label(r): list(r.missing) for r in rows if r.state == 1}:
+                out["conditions"] = lacking
+            if deep and (sets := sorted(label(r) for r in rows if r.subject_relation != "..." and label(r) not in path)):
+                out["children"] = [self._expand(*s.split("#"), deep, path) for s in sets]
+            return out
 
         def walk(e) -> dict:
             match e:
@@ -185,22 +208,22 @@ class Engine:
                 case Self():
                     return {"leaf": "self", "subjects": [resource]}
                 case Ref(name):
-                    return node(name)
+                    return leaf(name) if name in d.relations else {"expanded": f"{resource}#{name}"} | walk(d.permissions[name].expr)
                 case Op(op, parts):
                     return {"operation": {"+": "union", "&": "intersection", "-": "exclusion"}[op], "children": [walk(p) for p in parts]}
                 case Arrow(relation, target, every):
-                    kids = []
-                    for s in leaf(relation)["subjects"]:
+                    found, kids = leaf(relation), []
+                    for s in found["subjects"]:
                         obj = s.split("#")[0]
-                        if self.schema.definitions[obj.split(":")[0]].has(target):
-                            kids.append({"leaf": f"{obj}#{target}", "subjects": self.expand(obj, target)})
+                        if self.schema.definitions[obj.split(":")[0]].has(target) and f"{obj}#{target}" not in path:
+                            kid = {"leaf": f"{obj}#{target}", "subjects": self._expand(obj, target, deep, path)}
+                            if s in found.get("conditions", ()):
+                                kid["conditions"] = {s: found["conditions"][s]}
+                            kids.append(kid)
                     return {"operation": "intersection" if every else "union", "children": kids}
             raise TypeError(e)
 
-        def node(name: str) -> dict:
-            return leaf(name) if name in d.relations else {"expanded": f"{type_}:{id_}#{name}"} | walk(d.permissions[name].expr)
-
-        return node(permission)
+        return walk(Ref(permission))
 
     def permissions(self, resource_type: str, permission: str, subject_type: str, resource_id: str | None = None, subject_id: str | None = None, subject_relation: str = "...") -> DataFrame:
         """What is bound decides: both ids check, a subject looks up objects, an object subjects."""

@@ -11,6 +11,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from permspark.plans.dsl import Schema
+
 KEY = ["resource_type", "resource_id", "relation", "subject_type", "subject_id", "subject_relation"]
 EDGE = (
     "resource_type string, resource_id string, relation string, subject_type string, subject_id string, "
@@ -98,6 +100,32 @@ class Filter:
         return out
 
 
+def check_filter(schema: Schema, f: Filter) -> None:
+    """Raises if a filter names what the schema doesn't have, or asks for edges that it can't have."""
+    definitions = schema.definitions.values()
+    if f.type and f.type not in schema.definitions:
+        raise ValueError(f"no type {f.type!r}")
+    relations = [(d, r) for d in definitions if f.type in (None, d.name) for r in d.relations.values() if f.relation in (None, r.name)]
+    if f.relation and not relations:
+        raise ValueError(f"no relation {f.relation!r}" + (f" in {f.type}" if f.type else ""))
+    if f.caveat and f.caveat != "none" and f.caveat not in schema.caveats:
+        raise ValueError(f"no caveat {f.caveat!r}")
+    allowed = [a for _, r in relations for a in r.allowed]
+    for s in f.subjects:
+        if s.type and s.type not in schema.definitions:
+            raise ValueError(f"no type {s.type!r}")
+        named = {x for x in s.relations if x not in (ELLIPSIS, "non-ellipsis")}
+        if s.type and any(not schema.definitions[s.type].has(x) for x in named):
+            raise ValueError(f"no relation {sorted(named)} in {s.type}")
+        fits = [a for a in allowed if s.type in (None, a.type) and (not s.relations or a.relation in s.relations or ("non-ellipsis" in s.relations and a.relation != ELLIPSIS))]
+        if s.ids and set(s.ids) == {"*"}:
+            fits = [a for a in fits if a.wildcard]
+        if not fits:
+            raise ValueError(f"no edge can have a subject like {s}")
+    if f.caveat and f.caveat != "none" and not any(a.caveat == f.caveat for a in allowed):
+        raise ValueError(f"no such edge can have the caveat {f.caveat!r}")
+
+
 def live(df: DataFrame, as_of: datetime | str) -> DataFrame:
     """Edges that have not expired at as_of."""
     return df.where(F.col("expiration").isNull() | (F.col("expiration") > F.lit(as_of).cast("timestamp")))

@@ -479,7 +479,94 @@ def _rows(make, schema: str):
     return lambda spark, d: spark.createDataFrame(make(), schema)
 
 
-_add("reflect_schema", _rows(lambda: reflect(load(SCHEMA)), "kind string, definition string, name string, detail string"))
+#: What reflection of SCHEMA has to give: kind, definition, name, detail.
+REFLECTED = """
+caveat|limit|amount|double
+caveat|limit|max|double
+caveat|listed|sizes|list<int>
+caveat|listed|least|int
+caveat|tagged|tags|map<any>
+caveat|tagged|key|string
+caveat|opens|at|timestamp
+caveat|opens|now|timestamp
+caveat|from_net|address|ipaddress
+caveat|from_net|cidr|string
+caveat_expression|limit||amount <= max
+caveat_expression|listed||sizes.all(i, i >= least)
+caveat_expression|tagged||key in tags && tags[key] == 1
+caveat_expression|opens||now >= at
+caveat_expression|from_net||address.in_cidr(cidr)
+definition|user||
+definition|region||
+definition|nation||
+relation|nation|region|region
+permission|nation|region_of|region
+definition|supplier||
+relation|supplier|home|nation
+permission|supplier|home_in|home
+permission|supplier|based_in|home->region_of
+definition|part||
+relation|part|supplier|supplier
+permission|part|from_region|supplier->based_in
+definition|customer||
+relation|customer|home|nation
+permission|customer|home_in|home
+permission|customer|lives_in|home->region_of
+definition|order||
+relation|order|owner|customer
+relation|order|watcher|customer
+relation|order|auditor|customer
+relation|order|placed_by|customer
+relation|order|placed_by|supplier
+relation|order|supplier|supplier
+relation|order|discount_viewer|customer with limit
+relation|order|size_viewer|customer with listed
+relation|order|tag_viewer|customer with tagged
+relation|order|time_viewer|customer with opens
+relation|order|net_viewer|customer with from_net
+relation|order|temp_viewer|customer with expiration
+permission|order|seen|owner + watcher
+permission|order|both|owner & watcher
+permission|order|quiet|owner - watcher
+permission|order|ordered|owner - watcher + auditor
+permission|order|nobody|nil
+permission|order|nobody_else|owner + nil
+permission|order|reach|supplier->based_in
+permission|order|any_region|supplier->based_in
+permission|order|only_region|supplier.all(based_in)
+permission|order|origin|placed_by->home_in
+permission|order|capped|discount_viewer & owner
+permission|order|temporary|temp_viewer
+definition|thing||
+relation|thing|owner|customer
+permission|thing|itself|self
+permission|thing|held|owner + self
+definition|group||
+relation|group|member|customer
+relation|group|member|group#member
+definition|ring||
+relation|ring|member|customer
+relation|ring|member|ring#member
+definition|folder||
+relation|folder|parent|folder
+relation|folder|viewer|customer
+permission|folder|view|viewer + parent->view
+definition|doc||
+relation|doc|viewer|user
+relation|doc|viewer|user:*
+relation|doc|banned|user
+relation|doc|forgiven|user
+relation|doc|reader|user
+permission|doc|view|viewer - banned
+permission|doc|nested|viewer - (banned - forgiven)
+permission|doc|read|viewer & reader
+permission|doc|all_of|viewer + reader
+"""
+_add(
+    "reflect_schema",
+    _rows(lambda: reflect(load(SCHEMA)), "kind string, definition string, name string, detail string"),
+    f"SELECT p[1] AS kind, p[2] AS definition, p[3] AS name, p[4] AS detail FROM (SELECT string_split(unnest(string_split('{REFLECTED.strip()}', chr(10))), '|') AS p)",
+)
 _add("dependent_relations", _rows(lambda: dependents(load(SCHEMA), ("part", "from_region")), "type string, name string"), "SELECT * FROM (VALUES ('nation', 'region'), ('nation', 'region_of'), ('part', 'supplier'), ('supplier', 'based_in'), ('supplier', 'home')) t(type, name)")
 _add("computable_permissions", _rows(lambda: computable(load(SCHEMA), ("nation", "region")), "type string, name string"), "SELECT * FROM (VALUES ('customer', 'lives_in'), ('nation', 'region_of'), ('order', 'any_region'), ('order', 'only_region'), ('order', 'reach'), ('part', 'from_region'), ('supplier', 'based_in')) t(type, name)")
 _add("entrypoints", _rows(lambda: entrypoints(load(SCHEMA), ("doc", "view"), ("user", "...")), "kind string, type string, name string, direct boolean"), "SELECT 'relation' AS kind, 'doc' AS type, 'viewer' AS name, false AS direct")
@@ -498,4 +585,9 @@ def _expand(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(flat(tree, "")), "path string, leaf string, subjects string")
 
 
-_add("expand_tree", _expand)
+_LEAF = "SELECT '{}' AS path, 'order:1#{}' AS leaf, coalesce((SELECT 'customer:' || CAST({} AS VARCHAR) FROM orders WHERE o_orderkey = 1 AND {}), '') AS subjects".format
+_add(
+    "expand_tree",
+    _expand,
+    " UNION ALL ".join([_LEAF("/exclusion0", "owner", "o_custkey", "true"), _LEAF("/exclusion1/union0", "watcher", "o_custkey", "o_orderstatus = 'F'"), _LEAF("/exclusion1/union1", "auditor", "o_custkey + 1", "o_orderstatus = 'O'")]),
+)
