@@ -31,7 +31,7 @@ def test_lookup_pages(spark):
     e = Engine(GROUPS, from_texts(spark, lines))
     who = spark.createDataFrame([("u0",), ("u1",)], "subject_id string")
     whole = [(r.resource_id, r.subject_id) for r in e.lookup_resources(who, "folder", "view", "user").orderBy("resource_id", "subject_id").collect()]
-    for size in (1, 4, 11, 50):
+    for size in (4, 11):
         rows, cursor = e.lookup_resources_page(who, "folder", "view", "user", limit=size)
         while cursor:
             more, cursor = e.lookup_resources_page(who, "folder", "view", "user", limit=size, cursor=cursor)

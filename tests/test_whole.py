@@ -18,7 +18,7 @@ def both(spark, name):
 
 
 def test_usersets_of_all_groups(spark):
-    got, want = both(spark, "userset_all_groups")
+    got, want = both(spark, "userset_direct_or_indirect")
     assert got == want and len({a for a, _ in got}) > 25
 
 
@@ -30,13 +30,13 @@ def test_preconditions_reach_the_operator(spark, monkeypatch):
 
 
 def test_pages_follow_cursors(spark, monkeypatch):
-    cursors, real = [], queries.page
+    cursors, real = [], queries.Engine.lookup_resources_page
 
-    def spy(df, f, limit, cursor=None):
+    def spy(self, *a, cursor=None, **o):
         cursors.append(cursor)
-        return real(df, f, limit, cursor)
+        return real(self, *a, cursor=cursor, **o)
 
-    monkeypatch.setattr(queries, "page", spy)
+    monkeypatch.setattr(queries.Engine, "lookup_resources_page", spy)
     got, want = both(spark, "lookup_resources_paged")
     assert got == want and len(got) == 100
     assert cursors[0] is None and all(cursors[1:]) and len(cursors) == 4
