@@ -13,7 +13,8 @@ been checked, else joined by language. Texts are never shuffled for them.
 Defined cases: null text is empty and fails the base rules; null lang is a language of
 its own; languages without a word list or with fewer than ``min_docs`` long texts give no
 verdict for that histogram; repeated rows are judged alike; all other columns pass
-through untouched, also those named like a result (results are added under a prefix).
+through untouched, also those named like a result (results are added under the prefix ``_qr_``; judge()
+replaces input columns of these names, keep() drops no other column); an empty table gives no rows.
 Repeated windows are found by 64-bit hashes of their five words.
 """
 

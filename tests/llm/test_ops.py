@@ -792,3 +792,17 @@ def test_near_duplicates_take_rows_of_one_id_as_one_node(docs):
     assert {x for x in got if x[0] is not None} == {(3, 3, True), (7, 3, False), (12, 3, False), (9, 9, True)} and len(got) == 9
     rows = sorted(((r.doc_id, r.text) for r in neardup.keep(df).collect() if r.doc_id is not None))
     assert rows == [(3, a), (9, c)]
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """No rows; then nulls in every column, repeated rows and ids, empty and very long texts."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, bucket string"
+    good, long_text = prose(91, 60), prose(92, 30_000)
+    rows = [(None, None, None, None, None, None), (1, good, "en", "s", 1, "b"), (1, good, "en", "s", 1, "b"), (2, "", None, None, 0, None), (3, long_text, "xx", "s", 9, "b"), (4, long_text + " more", "xx", None, 9, None), (None, prose(93, 40), None, None, None, None)]
+    for name, found, want in (("none", [], set()), ("odd", rows, {1, 3, None})):
+        spark.createDataFrame(found, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert {r.doc_id for r in out} == want
+        assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
