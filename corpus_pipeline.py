@@ -4,6 +4,10 @@ Each stage works on all rows its predecessor kept and acts on its decisions: rej
 documents and surplus near-duplicates go, repeated passages are cut out of the texts,
 secrets are masked, and what is left is packed. All stages but the last return the
 columns of documents; ``n_chars`` follows the text.
+
+Defined cases, each that of the stage's operator: documents without text or with fewer than ten words
+fail the quality rules; rows without doc_id are kept by near-dedup and substring dedup; of rows alike in doc_id
+and text one stays; other columns, whatever their names, pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
