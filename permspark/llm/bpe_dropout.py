@@ -7,10 +7,11 @@ of the text: every occurrence of a word has draws of its own. Nothing else is ra
 a seed always gives the same ids, on any machine, and other seeds other segmentations.
 At rate 0 the ids are those of the library.
 
-A text is cut into units that no piece can span (at white space, and between characters
-that never meet within a piece). The draws of a short word are the bits of a mask, and its
-ids a function of word and mask. Only that function is kept, in a bounded cache, for words that
-come again. What an occurrence drew is never kept.
+A text is cut into words, which no piece can span. The draws of a short word are the bits of a
+mask, and its ids a function of word and mask. Only that function is kept, in a bounded cache; what
+it lacks for the texts of a group is computed for all of them at once, with the agendas as
+columns of a matrix. What an occurrence drew is never kept. Words of more symbols than a mask has
+bits for are cut into units and draw by a keyed hash.
 
 Spaces become U+2581 with one put in front; a literal U+2581 is written as byte pieces,
 so decoding is lossless for any text. Defined cases: null and empty texts have no ids;
@@ -22,6 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -36,9 +39,12 @@ from permspark.llm.common import table, texts_of
 META = "▁"
 _M = (1 << 64) - 1
 SLICE = 1 << 18
-SHORT = 22  # a unit of n symbols takes at most 3 (n - 1) draws: so many fit a mask of 64 bits
+SHORT = 22  # a word of n symbols takes at most 3 (n - 1) draws: so many fit a mask of 64 bits
 PLANES = 16  # binary digits of the rate
 STOPS = (".", ",")
+PLACE = 7  # bits for the place of a symbol in a word
+NONE = np.int32(2**31 - 1)  # no candidate merge
+_AWAY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def default_model() -> str:
@@ -48,26 +54,130 @@ def default_model() -> str:
 
 
 class Draws:
-    """The draws of one text, in order: masks whose bits are set at the rate, or keys."""
+    """The draws of one text, in order: masks whose bits are set at the rate."""
 
-    def __init__(self, limit: int, key: int) -> None:
+    def __init__(self, limit: int, key: int, source: np.random.Philox | None = None) -> None:
+        self.key, self.at = key, 0  # at: the words drawn for
         limit = min(limit, (1 << PLANES) - 1)
         low = (limit & -limit).bit_length() - 1  # planes of lower digits decide nothing
         self.digits = [limit >> k & 1 for k in range(low, PLANES)] if limit else []
-        self.raw = np.random.Philox(key=key).random_raw if limit else None
-
-    def masks(self, n: int) -> list[int]:
+        if limit:
+            source = source or np.random.Philox(key=0)
+            halves = np.array([key & _M, key >> 64 & _M], dtype=np.uint64)
+            zeros = np.zeros(4, dtype=np.uint64)
+            source.state = {"bit_generator": "Philox", "state": {"counter": zeros, "key": halves}, "buffer": zeros, "buffer_pos": 4, "has_uint32": 0, "uinteger": 0}
+            self.raw = source.random_raw
+
+    def masks(self, n: int) -> np.ndarray:
         """n masks; a bit is set if the number of its planes' bits is below the rate, digit by digit."""
-        if self.raw is None or not n:
-            return [0] * n
         out = np.zeros(n, dtype=np.uint64)
-        for digit in self.digits:
+        for digit in self.digits if n else ():
             drawn = self.raw(n)
             out = np.bitwise_or(out, drawn, out=out) if digit else np.bitwise_and(out, drawn, out=out)
-        return out.tolist()
+        self.at += n
+        return out
+
 
-    def key(self) -> int:
-        return 0 if self.raw is None else self.raw()
+class Merges:
+    """The agendas of many short words at once, one word a column.
+
+    Symbols are ranks of pieces, and the bytes of characters that are none, which merge with nothing. Pairs of symbols that merge are found in a cuckoo hash of two tables.
+    """
+
+    def __init__(self, rank: dict[str, int], ids: dict[str, int], byte: dict[int, int]) -> None:
+        self.end = len(rank)  # stands before and after a word; bytes follow
+        if self.end >= 1 << 19:
+            raise ValueError("the model has too many pieces")
+        self.ids = np.zeros(self.end + 257, dtype="<u4")
+        self.ids[[rank[p] for p in rank]] = [ids[p] for p in rank]
+        self.ids[self.end + 1 :] = [byte[b] for b in range(256)]
+        self.char = np.full(0x110000, -1, dtype=np.int32)
+        for p, r in rank.items():
+            if len(p) == 1:
+                self.char[ord(p)] = r
+        pairs = {(rank[p[:i]], rank[p[i:]]): r for p, r in rank.items() for i in range(1, len(p)) if p[:i] in rank and p[i:] in rank}
+        both = np.array(list(pairs), dtype=np.uint64).reshape(-1, 2)
+        self.bits = max(8, (4 * len(pairs)).bit_length() - 1)
+        entries = both[:, 0] << np.uint64(44) | both[:, 1] << np.uint64(24) | np.array(list(pairs.values()), dtype=np.uint64)
+        self.tables = np.full((2, 1 << self.bits), np.uint64(_M))
+        left, side, rounds = entries, 0, 0
+        while len(left):
+            if (rounds := rounds + 1) > 500:
+                raise ValueError("the merges do not fit their tables")
+            t, at = self.tables[side], self._at(left >> np.uint64(24), side)
+            held = t[np.unique(at)]
+            t[at] = left
+            out = np.concatenate([left[t[at] != left], held[held != np.uint64(_M)]])
+            left, side = out, 1 - side
+
+    def _at(self, key: np.ndarray, side: int) -> np.ndarray:
+        x = (key ^ key >> np.uint64(17)) * _AWAY[side]
+        return ((x ^ x >> np.uint64(29)) * _AWAY[1 - side] >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the merges of symbols, or NONE >> PLACE."""
+        key = a.astype(np.uint64) << np.uint64(20) | b.astype(np.uint64)
+        x, y = self.tables[0][self._at(key, 0)], self.tables[1][self._at(key, 1)]
+        got = np.where(x >> np.uint64(24) == key, x, y)
+        return np.where(got >> np.uint64(24) == key, (got & np.uint64(0xFFFFFF)).astype(np.int32), NONE >> PLACE)
+
+    def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The first symbols of all words, and how many each has."""
+        whole, sizes = "".join(words), np.array([*map(len, words)])
+        points = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")
+        found = self.char[points]
+        if not len(found) or found.min() >= 0:
+            return found, sizes
+        spans = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        width, spelt = np.where(found < 0, spans, 1), np.frombuffer(whole.encode(), dtype=np.uint8).astype(np.int32)
+        first = np.cumsum(width) - width
+        within = np.arange(width.sum()) - np.repeat(first, width)
+        out = np.repeat(found, width)
+        bare = out < 0
+        out[bare] = self.end + 1 + spelt[(np.repeat(np.cumsum(spans) - spans, width) + within)[bare]]
+        return out, np.add.reduceat(width, np.cumsum(sizes) - sizes)
+
+    def run(self, words: list[str], masks: np.ndarray) -> tuple[list[int], list[bytes]]:
+        """Of words in META form and masks: masks of the draws that they take, and ids."""
+        if not words:
+            return [], []
+        told = self.symbols(words)
+        n, sizes = len(words), told[1]
+        rows = int(sizes.max()) + 2
+        symbols = np.full(rows * n, self.end, dtype=np.int32)  # place i of word c is at i * n + c
+        column = np.repeat(np.arange(n), sizes)
+        first = np.arange(len(column)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+        at = first * n + column
+        symbols[at] = told[0]
+        alive = np.zeros(rows * n, dtype=bool)
+        alive[at] = True
+        after, before = np.arange(rows * n) + n, np.arange(rows * n) - n
+        agenda = np.full(rows * n, NONE)
+        agenda[at] = self.find(symbols[at], symbols[at + n]) << PLACE | first
+        agenda[at[agenda[at] >> PLACE == NONE >> PLACE]] = NONE
+        grid, drawn, active = agenda.reshape(rows, n), np.zeros(n, dtype=np.uint64), np.arange(n)
+        while True:
+            best = grid.min(axis=0)[active]
+            active = active[best < NONE]
+            if not len(active):
+                break
+            best = best[best < NONE]
+            j = (best & (1 << PLACE) - 1).astype(np.int64) * n + active
+            agenda[j] = NONE
+            took = masks[active] >> drawn[active] & np.uint64(1) == 0
+            drawn[active] += np.uint64(1)
+            j, merged = j[took], best[took] >> PLACE
+            k = after[j]
+            e, p = after[k], before[j]
+            symbols[j], after[j], before[e] = merged, e, j
+            agenda[k], alive[k] = NONE, False
+            places = np.concatenate([j, p])
+            rank = self.find(np.concatenate([merged, symbols[p]]), np.concatenate([symbols[e], merged]))
+            agenda[places] = np.where(rank == NONE >> PLACE, NONE, rank << PLACE | (places // n).astype(np.int32))
+        kept = alive.reshape(rows, n).T
+        raw = self.ids[symbols.reshape(rows, n).T[kept]].tobytes()
+        ends = [0, *(4 * np.cumsum(kept.sum(axis=1))).tolist()]
+        return ((np.uint64(1) << drawn) - np.uint64(1)).tolist(), [raw[lo:hi] for lo, hi in pairwise(ends)]
 
 
 class DropoutBPE:
@@ -75,7 +185,7 @@ class DropoutBPE:
 
     streams = 1 << 64  # one for each doc_id
 
-    def __init__(self, path: str, rate: float = 0.1, seed: int = 0, max_units: int = 800_000) -> None:
+    def __init__(self, path: str, rate: float = 0.1, seed: int = 0, max_units: int = 500_000) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -87,22 +197,26 @@ class DropoutBPE:
             raise ValueError("the model lacks byte fallback")
         self.ids = {pieces[i]: i for i in plain}
         self.rank = {pieces[i]: r for r, i in enumerate(sorted(plain, key=lambda i: (-sp.get_score(i), i)))}
-        self.none = n
         self.meets = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         if any(a != META and b == META for a, b in self.meets):
             raise ValueError("a piece spans a space")
         self.literal = b"".join(self._bytes(META))
         self.coded = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
+        self.stops = {c: self._ids([c]) for c in STOPS}
         self.out = [b""] * n
         for i in plain:
             self.out[i] = pieces[i].replace(META, " ").encode()
         for b, i in self.byte.items():
             self.out[i] = bytes([b])
+        self.spelt = pa.array(self.out, pa.large_binary())
         self.limit, self.seed = round(rate * 2**PLANES), seed & _M
         self.max_units = max_units
-        self.trees: tuple[dict, dict] = ({}, {})  # (tree, ids after it) by word; two generations
-        self.grown = 0  # nodes in the newer generation
-        self.once: set[str] = set()  # words seen once lately: a tree is grown when they come again
+        self.merges = Merges(self.rank, self.ids, self.byte)
+        self.source = np.random.Philox(key=0)
+        #: By word: mask of the draws taken if none is skipped, its ids then, ids by skipped draws,
+        #: and ids of a stop that no piece joins to it. Two generations.
+        self.trees: tuple[dict, dict] = ({}, {})
+        self.grown = 0  # words and their ids in the newer generation
 
     def _bytes(self, char: str) -> list[bytes]:
         return [self.byte[b].to_bytes(4, "little") for b in char.encode()]
@@ -121,33 +235,8 @@ class DropoutBPE:
         except KeyError:
             return b"".join([self.coded.get(p) or b"".join(self._bytes(p)) for p in pieces])
 
-    def _short_agenda(self, unit: str, skipped: int) -> tuple[list[str], int]:
-        """The pieces and the number of draws; bit k of skipped is draw k.
-
-        The agenda is a list, searched for its best, as units are short.
-        """
-        get, none, drawn = self.rank.get, self.none, 0
-        pieces = list(unit)
-        agenda = [get(a + b, none) for a, b in pairwise(pieces)]
-        while agenda and (best := min(agenda)) < none:
-            j = agenda.index(best)
-            drawn += 1
-            if skipped:
-                skip = skipped & 1
-                skipped >>= 1
-                if skip:
-                    agenda[j] = none
-                    continue
-            merged = pieces[j] = pieces[j] + pieces[j + 1]
-            del pieces[j + 1], agenda[j]
-            if j:
-                agenda[j - 1] = get(pieces[j - 1] + merged, none)
-            if j < len(agenda):
-                agenda[j] = get(merged + pieces[j + 1], none)
-        return pieces, drawn
-
     def _long_agenda(self, unit: str, key: int) -> list[str]:
-        """The same with a heap and a keyed hash, for units of any length."""
+        """The pieces of a unit of any length, by a heap and a keyed hash."""
         n, rank = len(unit), self.rank
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(rank[unit[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if unit[i : i + 2] in rank]
@@ -181,93 +270,108 @@ class DropoutBPE:
                 at = i
         return out
 
-    def _small(self, word: str, mask: int) -> tuple[int, bytes]:
-        """Mask of the draws that a short word in META form takes, and its ids; its units draw in turn."""
-        if word[1:].isalpha():
-            pieces, drawn = self._short_agenda(word, mask)
-            return (1 << drawn) - 1, self._ids(pieces)
-        width, out = 0, []
-        for u in self._cut(word):
-            pieces, drawn = self._short_agenda(u, mask >> width)
-            width += drawn
-            out.append(self._ids(pieces))
-        return (1 << width) - 1, b"".join(out)
-
-    def _tree(self, word: str) -> tuple[tuple[int, bytes, dict], bytes]:
-        """A word's tree, and the ids of a stop or comma that no piece joins to it.
-
-        A tree is the mask of the draws taken and the ids if none is skipped, and the ids by skipped draws.
-        """
+    def _large(self, word: str, key: int, place: int) -> bytes:
+        """Ids of a word of any length in META form, whose place in the text keys its draws."""
+        out = []
+        for k, u in enumerate(self._cut(word)):
+            own = xxhash.xxh64_intdigest(b"%d,%d,%d" % (key, place, k), seed=self.seed) if self.limit else 0
+            out.append(self._ids(self._long_agenda(u, own)))
+        return b"".join(out)
+
+    def _split(self, word: str) -> tuple[str, bytes]:
+        """A word without, and the ids of, a last stop or comma that no piece joins to it."""
+        core = word[:-1]
+        if word[-1:] in STOPS and core and core[-1] not in STOPS and core[-1] + word[-1] not in self.meets:
+            return core, self.stops[word[-1]]
+        return word, b""
+
+    def _grow(self, words: list[str]) -> None:
+        """Puts words into the newer generation."""
         new, old = self.trees
-        got = old.get(word)
-        if got is None:
-            core = word[:-1]
-            if word[-1:] in STOPS and core and core[-1] not in STOPS and core[-1] + word[-1] not in self.meets:
-                got = ((self.trees[0].get(core) or self._tree(core))[0], self._ids([word[-1]]))
+        fresh = {}
+        for w in words:
+            if w in old:
+                new[w] = old[w]
             else:
-                got = ((*self._small(META + word, 0), {}), b"")
+                core, after = self._split(w)
+                same = new.get(core) or old.get(core)
+                if same:
+                    new[w] = (*same[:3], after)
+                else:
+                    fresh[w] = (core, after)
+        cores = [*dict.fromkeys(META + core for core, _ in fresh.values())]
+        found = dict(zip(cores, zip(*self.merges.run(cores, np.zeros(len(cores), dtype=np.uint64)), strict=True), strict=True))
+        for w, (core, after) in fresh.items():
+            new[w] = (*found[META + core], {}, after)
+        self.grown += len(words)
+
+    def _resolve(self, words: list[str], masks: np.ndarray, texts: list[tuple[int, Draws, int]]) -> list[bytes]:
+        """Ids of words after a space, with the start of each text's words, its draws and their place in it."""
         if self.grown >= self.max_units:
-            self.trees, self.grown = ({}, new), 0
-        self.grown += 1
-        self.trees[0][word] = got
-        return got
-
-    def _leaf(self, word: str, leaves: dict, decide: int, mask: int) -> bytes:
-        """The ids of a word under a mask, kept if no draw was taken but those of the bits that decide."""
-        used, ids = self._small(META + word, mask)
-        if used <= decide:
-            leaves[mask & decide] = ids
-            self.grown += 1
-        return ids
-
-    def _large(self, word: str, draws: Draws) -> bytes:
-        """Ids of a word of any length in META form; its units draw on their own."""
-        units = self._cut(word)
-        masks = draws.masks(len(units))
-        return b"".join(self._ids(self._short_agenda(u, m)[0] if len(u) <= SHORT else self._long_agenda(u, draws.key())) for u, m in zip(units, masks, strict=True))
-
-    def _spaced(self, text: str, draws: Draws) -> bytes:
-        """Ids of text without META, whose start stands for a space."""
-        if "  " in text or text[:1] == " " or text[-1:] == " ":  # runs of spaces are pieces, too
-            return self._bare(" " + text, draws)
-        words, out, once = text.split(" "), [], self.once
-        kept, add = self.trees[0], out.append
-        get = kept.get
-        for w, m in zip(words, draws.masks(len(words)), strict=True):
+            self.trees, self.grown = ({}, self.trees[0]), 0
+        get, out, later = self.trees[0].get, [], []
+        add = out.append
+        drawn = masks.tolist()
+        for w, m in zip(words, drawn, strict=True):
             got = get(w)
             if got is None:
-                if len(w) >= SHORT:
-                    add(self._large(META + w, draws))
-                    continue
-                if w not in once and w not in self.trees[1] and get(w[:-1]) is None:
-                    if len(once) >= self.max_units:
-                        once.clear()
-                    used, ids = self._small(META + w, m)
-                    add(ids)
-                    if m & used or w[-1:] in STOPS:
-                        once.add(w)
-                    else:
-                        kept[w] = ((used, ids, {}), b"")
-                        self.grown += 1
-                    continue
-                got = self._tree(w)
-                if self.trees[0] is not kept:
-                    kept = self.trees[0]
-                    get = kept.get
-            (used, ids, leaves), after = got
+                later.append(len(out))
+                add(b"")
+                continue
+            used, ids, leaves, after = got
             if skipped := m & used:
                 # a skipped draw may bring one more draw, so these bits nearly always decide
+                ids = leaves.get(m & ((used + 1 << skipped.bit_count()) - 1))
+                if ids is None:
+                    later.append(len(out))
+                    ids = b""
+            add(ids + after if after else ids)
+        fresh = dict.fromkeys(words[i] for i in later)
+        self._grow([w for w in fresh if len(w) < SHORT and get(w) is None])
+        at, cores, bits, kept = [], [], [], []
+        for i in later:
+            w = words[i]
+            if len(w) >= SHORT:
+                start, draws, place = texts[bisect_right(texts, i, key=lambda t: t[0]) - 1]
+                out[i] = self._large(META + w, draws.key, place + i - start)
+                continue
+            used, ids, leaves, after = get(w)
+            if skipped := drawn[i] & used:
                 decide = (used + 1 << skipped.bit_count()) - 1
-                ids = leaves.get(m & decide) or self._leaf(w[:-1] if after else w, leaves, decide, m)
-            add(ids)
-            if after:
-                add(after)
-        return b"".join(out)
+                ids = leaves.get(drawn[i] & decide)
+                if ids is None:
+                    at.append(i)
+                    cores.append(META + (w[:-1] if after else w))
+                    bits.append(drawn[i])
+                    kept.append((leaves, decide, after))
+                    continue
+            out[i] = ids + after
+        found = self.merges.run(cores, np.array(bits, dtype=np.uint64))
+        for i, m, used, ids, (leaves, decide, after) in zip(at, bits, *found, kept, strict=True):
+            out[i] = ids + after
+            if used <= decide:  # no draw was taken but those of the bits that decide
+                leaves[m & decide] = ids
+                self.grown += 1
+        return out
+
+    def _parts(self, text: str) -> list[str]:
+        """Words, each after one space that it lacks, of text without META that a space stands before."""
+        if "  " in text or text[:1] == " " or text[-1:] == " ":  # runs of spaces are pieces, too
+            return [w[1:] for w in re.findall("▁+[^▁]*", META + text.replace(" ", META))]
+        return text.split(" ")
+
+    def _spaced(self, text: str, draws: Draws) -> bytes:
+        """Ids of text without META, whose start stands for a space."""
+        words, place = self._parts(text), draws.at
+        return b"".join(self._resolve(words, draws.masks(len(words)), [(0, draws, place)]))
+
+    def _draws(self, text: str, doc: int, source: np.random.Philox | None = None) -> Draws:
+        key = xxhash.xxh64_intdigest(text.encode(), seed=self.seed) if self.limit else 0
+        return Draws(self.limit, (doc & _M) << 64 | key, source)
 
     def stream_ids(self, text: str, doc: int = 0) -> Iterator[bytes]:
         """Ids of a text, slice by slice; slices end before single spaces."""
-        key = xxhash.xxh64_intdigest(text.encode(), seed=self.seed) if self.limit else 0
-        draws = Draws(self.limit, (doc & _M) << 64 | key)
+        draws = self._draws(text, doc)
         at = 0
         while at < len(text):
             end = at + SLICE
@@ -289,20 +393,52 @@ class DropoutBPE:
 
     def _bare(self, text: str, draws: Draws) -> bytes:
         """Ids of text that follows a literal META: no space stands in front."""
-        whole, words, at = text.replace(" ", META), [], 0
-        for i in range(1, len(whole) + 1):
-            if i == len(whole) or (whole[i] == META and whole[i - 1] != META):
-                words.append(whole[at:i])
-                at = i
-        masks = draws.masks(len(words))
-        return b"".join(self._small(w, m)[1] if len(w) <= SHORT else self._large(w, draws) for w, m in zip(words, masks, strict=True))
+        core = re.match("[^ ]*", text)[0]
+        out = [self._large(core, draws.key, -1 - draws.at)] if core else []
+        if len(core) < len(text):
+            out.append(self._spaced(text[len(core) + 1 :], draws))
+        return b"".join(out)
+
+    def group_ids(self, rows: list[tuple[str, int]]) -> Iterator[bytes]:
+        """The ids of each of many texts, given with their doc_ids; groups of about a slice are worked at once."""
+        at = 0
+        while at < len(rows):
+            end, size = at, 0
+            while end < len(rows) and (end == at or size + len(rows[end][0]) <= SLICE):
+                size += len(rows[end][0])
+                end += 1
+            words, masks, texts = [], [], []
+            for text, doc in rows[at:end]:
+                if text and META not in text and len(text) <= SLICE:
+                    draws, parts = self._draws(text, doc, self.source), self._parts(text)
+                    texts.append((len(words), draws, 0))
+                    masks.append(draws.masks(len(parts)))
+                    words += parts
+            out = self._resolve(words, np.concatenate(masks), texts) if words else []
+            starts = iter([*(t[0] for t in texts[1:]), len(words)])
+            lo = 0
+            for text, doc in rows[at:end]:
+                if text and META not in text and len(text) <= SLICE:
+                    hi = next(starts)
+                    yield b"".join(out[lo:hi])
+                    lo = hi
+                else:
+                    yield b"".join(self.stream_ids(text, doc))
+            at = end
 
     def encode(self, text: str, doc: int = 0) -> np.ndarray:
         return np.frombuffer(b"".join(self.stream_ids(text, doc)), dtype="<u4")
 
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        if not len(ids):
+            return b""
+        got = self.spelt.take(pa.array(ids))
+        offsets = np.frombuffer(got.buffers()[1], dtype="<i8")
+        return got.buffers()[2].slice(1, int(offsets[got.offset + len(got)]) - 1).to_pybytes()
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; exact for what encode() gave."""
-        return b"".join(map(self.out.__getitem__, ids.tolist()))[1:].decode()
+        return self.decode_bytes(ids).decode()
 
 
 _models: dict[tuple, DropoutBPE] = {}
@@ -331,10 +467,9 @@ def encode(docs: DataFrame, path: str | None = None, rate: float = 0.1, seed: in
             data, offsets = texts_of(b.column("text"))
             rows, size = [], 0
             docs_ = b.column("doc_id").to_pylist()
-            for doc, lo, hi in zip(docs_, offsets[:-1], offsets[1:], strict=True):
-                raw = data[lo:hi].tobytes()
-                ids = b"".join(bpe.stream_ids(raw.decode(), doc or 0))
-                back = b"".join(map(bpe.out.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))[1:]
+            raws = [data[lo:hi].tobytes() for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)]
+            for doc, raw, ids in zip(docs_, raws, bpe.group_ids([(r.decode(), d or 0) for r, d in zip(raws, docs_, strict=True)]), strict=True):
+                back = bpe.decode_bytes(np.frombuffer(ids, dtype="<u4"))
                 rows.append((doc, len(ids) // 4, ids if keep_ids else None, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), back == raw))
                 size += len(ids) if keep_ids else 200
                 if size > 4 << 20:
