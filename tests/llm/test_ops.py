@@ -172,6 +172,35 @@ def test_bpe_dropout(docs):
     assert [r.text for r in bpe_dropout.decode(df).orderBy("doc_id").collect()] == texts
 
 
+def plain_agenda(m, word: str, mask: int) -> tuple[int, bytes]:
+    """One word with one list of pieces: best merge first, leftmost among equals, bit k of the mask skips draw k."""
+    pieces, skipped, drawn = list(word), set(), 0
+    while True:
+        best = min(((m.rank[a + b], i) for i, (a, b) in enumerate(zip(pieces, pieces[1:])) if a in m.rank and b in m.rank and a + b in m.rank and i not in skipped), default=None)
+        if best is None:
+            return (1 << drawn) - 1, m._ids(pieces)
+        i, drawn, skip = best[1], drawn + 1, mask >> drawn & 1
+        if skip:
+            skipped.add(i)
+            continue
+        pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+        skipped = {j - (j > i) for j in skipped if j not in (i - 1, i, i + 1)}  # new neighbours are new candidates
+
+
+def test_bpe_merges_equal_the_plain_agenda():
+    m, rng = bpe_dropout.DropoutBPE(bpe_dropout.default_model(), 0.3, 1), random.Random(3)
+    chars = "abcdeeeiinorstt.,-'0\u00e9\u4e2d\U0001f600\u1234\u0307"
+    words = [bpe_dropout.META + "".join(rng.choices(chars, k=rng.randrange(22))) for _ in range(3000)]
+    words += [bpe_dropout.META + w for w in ("international", "processing.", "\U0001f600" * 21, "", "the")]
+    for rate in (0.0, 0.1, 0.5, 1.0):
+        masks = [sum((rng.random() < rate) << k for k in range(64)) for _ in words]
+        used, ids = m.merges.run(words, np.array(masks, dtype=np.uint64))
+        assert [*zip(used, ids, strict=True)] == [plain_agenda(m, w, k) for w, k in zip(words, masks, strict=True)]
+    assert m.merges.run([], np.zeros(0, dtype=np.uint64)) == ([], [])
+    texts = [(" ".join(w[1:] for w in rng.choices(words, k=rng.randrange(40))), i) for i in range(300)]
+    assert [*m.group_ids(texts)] == [b"".join(bpe_dropout.DropoutBPE.stream_ids(m, *t)) for t in texts]
+
+
 def test_bpe_dropout_draws_for_each_occurrence(docs):
     path = bpe_dropout.default_model()
     plain, m = bpe_dropout.DropoutBPE(path, 0.0), bpe_dropout.DropoutBPE(path, 0.1, 5)
