@@ -16,7 +16,8 @@ from permspark.operators.writes import HISTORY, Store, WriteError, apply_updates
 from permspark.plans.dsl import parse
 from permspark.plans.materialize import work_dir
 from permspark.plans.schema import computable, dependents, diff, entrypoints, load, reflect
-from permspark.sources.text import format_column, parse_lines
+from permspark.sources.tables import sign, verify
+from permspark.sources.text import format_column, parse_lines, read_text, write_text
 from permspark.streaming.watch import EVENT, stream, watch
 
 AS_OF = "1998-01-01 00:00:00"
@@ -591,3 +592,186 @@ _add(
     _expand,
     " UNION ALL ".join([_LEAF("/exclusion0", "owner", "o_custkey", "true"), _LEAF("/exclusion1/union0", "watcher", "o_custkey", "o_orderstatus = 'F'"), _LEAF("/exclusion1/union1", "auditor", "o_custkey + 1", "o_orderstatus = 'O'")]),
 )
+
+
+# --- more set laws, arrows and expressions, on a schema of their own ---------------
+
+MORE = """
+use expiration
+
+caveat limit(amount double, max double) { amount <= max }
+caveat named(name string, start string) { name.startsWith(start) ? name.endsWith("5") : name.contains("77") }
+caveat like(name string) { name.matches("^Clerk#0*[1-4][0-9]*$") || size(name) < 3 }
+caveat priced(price double, bulk bool) { (bulk ? price / 2.0 : price + 1000.0) >= 100000.0 }
+caveat one_of(status string, allowed list<string>) { status in allowed }
+caveat sums(sizes list<int>) { sizes.exists(i, i == 4) || sizes.filter(i, i > 1).size() >= 2 || sizes.exists_one(i, i % 2 == 0) && sizes.map(i, i * i)[0] > 3 }
+caveat within(at timestamp, now timestamp, span duration) { now - at <= span || at.getFullYear() == 1995 }
+caveat under(tags map<any>, most map<any>) { tags.isSubtreeOf(most) }
+
+definition user {}
+definition region {}
+definition customer {}
+definition nation {
+  relation region: region
+  permission region_of = region
+}
+definition supplier {
+  relation home: nation
+  permission based_in = home->region_of
+}
+definition part {
+  relation supplier: supplier
+  permission from_region = supplier->based_in
+}
+definition order {
+  relation placed_by: customer | supplier
+  relation owner: customer with named | customer with like | customer with priced | customer with one_of | customer with sums | customer with within | customer with under | customer with limit | customer
+  permission origin = placed_by->based_in
+}
+definition crate {
+  relation order: order with limit
+  permission open = order->owner
+}
+definition page {
+  relation viewer: user | user:*
+  relation banned: user | user:*
+  permission without = viewer - banned
+  permission with = viewer & banned
+  permission either = viewer + banned
+}
+"""
+
+_PAGE = {
+    "viewer": "SELECT 'page' rt, CAST(doc_id AS VARCHAR) rid, 'viewer' rel, 'user' st, CASE WHEN lang = 'en' THEN '*' ELSE CAST(doc_id % 50 AS VARCHAR) END sid, '...' sr FROM documents",
+    "banned": "SELECT 'page' rt, CAST(doc_id AS VARCHAR) rid, 'banned' rel, 'user' st, CASE WHEN doc_id % 3 = 0 THEN '*' ELSE CAST(doc_id % 7 AS VARCHAR) END sid, '...' sr FROM documents",
+}
+EDGES.update({f"page_{k}": v for k, v in _PAGE.items()})
+
+
+def _more(spark: SparkSession, d: str, *names: str) -> Engine:
+    return Engine(load(MORE), spark_edges(spark, d, *names))
+
+
+_PAGE_SQL = "WITH p AS (SELECT DISTINCT doc_id, lang, CAST(u AS VARCHAR) AS u FROM (SELECT doc_id, lang, unnest([doc_id % 7, doc_id % 50]) AS u FROM documents)), q AS (SELECT *, (lang = 'en' OR u = CAST(doc_id % 50 AS VARCHAR)) AS v, (doc_id % 3 = 0 OR u = CAST(doc_id % 7 AS VARCHAR)) AS b FROM p) SELECT CAST(doc_id AS VARCHAR) AS resource_id, u AS subject_id, " + _STATE_SQL + " FROM q"
+for _name, _perm, _cond in (("public_minus_public", "without", "v AND NOT b"), ("public_and_public", "with", "v AND b"), ("public_or_public", "either", "v OR b")):
+    _add(_name, lambda s, d, p=_perm: _more(s, d, "page_viewer", "page_banned").check(_doc_pairs(s, d), "page", p, "user").select("resource_id", "subject_id", "permissionship"), _PAGE_SQL.format(_cond))
+
+
+def _looked_up(permission: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        pages = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("resource_id"))
+        out = _more(spark, d, "page_viewer", "page_banned").lookup_subjects(pages, "page", permission, "user")
+        return out.select("resource_id", "subject_id", F.array_join(F.transform("excluded", lambda x: x["subject_id"]), ",").alias("excluded"))
+
+    return run
+
+
+_V, _B = "lang = 'en'", "doc_id % 3 = 0"
+_ID, _ONE, _SEVEN = "CAST(doc_id AS VARCHAR) AS resource_id", "CAST(doc_id % 50 AS VARCHAR)", "CAST(doc_id % 7 AS VARCHAR)"
+_add(
+    "public_minus_public_subjects",
+    _looked_up("without"),
+    f"SELECT {_ID}, '*' AS subject_id, {_SEVEN} AS excluded FROM documents WHERE {_V} AND NOT {_B} "
+    f"UNION ALL SELECT {_ID}, {_ONE}, '' FROM documents WHERE NOT {_V} AND NOT {_B} AND doc_id % 50 <> doc_id % 7",
+)
+_add(
+    "public_and_public_subjects",
+    _looked_up("with"),
+    f"SELECT {_ID}, '*' AS subject_id, '' AS excluded FROM documents WHERE {_V} AND {_B} UNION ALL SELECT {_ID}, {_SEVEN}, '' FROM documents WHERE {_V} AND NOT {_B} "
+    f"UNION ALL SELECT {_ID}, {_ONE}, '' FROM documents WHERE NOT {_V} AND ({_B} OR doc_id % 50 = doc_id % 7)",
+)
+
+
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").cast("string").alias("subject_id"))
+
+
+_ARROWS = ("part_supplier", "supplier_home", "nation_region")
+_add("arrow_lookup_resources", lambda s, d: _more(s, d, *_ARROWS).lookup_resources(_regions(s, d), "part", "from_region", "region").select("resource_id", "subject_id"), _pairs(_HOP.format(EDGES["part_supplier"])))
+_add(
+    "arrow_lookup_subjects",
+    lambda s, d: _more(s, d, *_ARROWS).lookup_subjects(s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("resource_id")), "part", "from_region", "region").select("resource_id", "subject_id"),
+    _pairs(_HOP.format(EDGES["part_supplier"])),
+)
+#: Customers have no ``based_in``: their edges lead nowhere.
+_add(
+    "arrow_missing_permission",
+    lambda s, d: _more(s, d, "placed_customer", "placed_supplier", "supplier_home", "nation_region").members("order", "origin", "region").select(F.col("resource").alias("resource_id"), F.col("subject").alias("subject_id")),
+    _pairs(_HOP.format(EDGES["placed_supplier"])),
+)
+
+
+def _expression(caveat: str, context, request: dict, holds: str) -> tuple:
+    """One edge per order under a caveat; every order checked for its owner."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        pairs = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("resource_id"), F.col("o_custkey").cast("string").alias("subject_id"))
+        return Engine(load(MORE), _caveated("owner", caveat, context)(spark, d), request).check(pairs, "order", "owner", "customer").select("resource_id", "subject_id", "permissionship")
+
+    return run, "SELECT CAST(o_orderkey AS VARCHAR) AS resource_id, CAST(o_custkey AS VARCHAR) AS subject_id, " + _STATE_SQL.format(holds) + " FROM orders"
+
+
+def _json(**values):
+    return lambda: F.to_json(F.struct(*(F.expr(v).alias(k) for k, v in values.items())))
+
+
+_add("caveat_strings", *_expression("named", _json(name="concat('Clerk#', o_custkey)"), {"start": "Clerk#1"}, "CASE WHEN CAST(o_custkey AS VARCHAR) LIKE '1%' THEN CAST(o_custkey AS VARCHAR) LIKE '%5' ELSE CAST(o_custkey AS VARCHAR) LIKE '%77%' END"))
+_add("caveat_matches", *_expression("like", _json(name="concat('Clerk#00', o_custkey)"), {}, "regexp_full_match(CAST(o_custkey AS VARCHAR), '[1-4][0-9]*')"))
+_add("caveat_ternary", *_expression("priced", _json(price="floor(o_totalprice)", bulk="o_orderkey % 2 = 0"), {}, "CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice) / 2 ELSE floor(o_totalprice) + 1000 END >= 100000"))
+_add("caveat_in_list", *_expression("one_of", _json(status="o_orderstatus"), {"allowed": ["F", "P"]}, "o_orderstatus IN ('F', 'P')"))
+_A, _C, _E = "o_orderkey % 5", "o_orderkey % 3", "o_custkey % 4"
+_add(
+    "caveat_macros",
+    *_expression("sums", _json(sizes=f"array({_A}, {_C}, {_E})"), {}, f"{_A} = 4 OR (CASE WHEN {_A} > 1 THEN 1 ELSE 0 END + CASE WHEN {_C} > 1 THEN 1 ELSE 0 END + CASE WHEN {_E} > 1 THEN 1 ELSE 0 END) >= 2 OR ((CASE WHEN {_A} % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN {_C} % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN {_E} % 2 = 0 THEN 1 ELSE 0 END) = 1 AND {_A} * ({_A}) > 3)"),
+)
+_add(
+    "caveat_durations",
+    *_expression("within", lambda: F.to_json(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))), {"now": "1998-01-01T00:00:00Z", "span": "8760h"}, "CAST(o_orderdate AS TIMESTAMP) >= TIMESTAMP '1997-01-01 00:00:00' OR year(o_orderdate) = 1995"),
+)
+_add("caveat_subtree", *_expression("under", _json(tags="map(o_orderstatus, o_orderkey % 2)"), {"most": {"F": 1, "O": 0, "X": 1}}, "(o_orderstatus = 'F' AND o_orderkey % 2 = 1) OR (o_orderstatus = 'O' AND o_orderkey % 2 = 0)"))
+
+
+def _crates(spark: SparkSession, d: str) -> DataFrame:
+    """The parent's caveat and the edge's own must both hold."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    up = complete(o.select(F.lit("crate").alias("resource_type"), F.col("o_orderkey").cast("string").alias("resource_id"), F.lit("order").alias("relation"), F.lit("order").alias("subject_type"), F.col("o_orderkey").cast("string").alias("subject_id"), F.lit("limit").alias("caveat_name"), F.when(F.col("o_orderkey") % 4 > 0, F.to_json(F.struct((F.col("o_orderkey") % 4).alias("max")))).alias("caveat_context")))
+    own = _caveated("owner", "one_of", _json(status="o_orderstatus"))(spark, d)
+    pairs = o.select(F.col("o_orderkey").cast("string").alias("resource_id"), F.col("o_custkey").cast("string").alias("subject_id"))
+    out = Engine(load(MORE), up.unionByName(own), {"amount": 2, "allowed": ["F", "P"]}).check(pairs, "crate", "open", "customer")
+    return out.select("resource_id", "subject_id", "permissionship", F.array_join("missing", ",").alias("missing"))
+
+
+_add(
+    "arrow_parent_caveat",
+    _crates,
+    "SELECT CAST(o_orderkey AS VARCHAR) AS resource_id, CAST(o_custkey AS VARCHAR) AS subject_id, p AS permissionship, CASE WHEN p = 'CONDITIONAL' THEN 'max' ELSE '' END AS missing "
+    "FROM (SELECT *, CASE WHEN o_orderstatus NOT IN ('F', 'P') OR o_orderkey % 4 = 1 THEN 'NO' WHEN o_orderkey % 4 = 0 THEN 'CONDITIONAL' ELSE 'HAS' END AS p FROM orders)",
+)
+_add("expiration_filter", lambda s, d: read(_temp(s, d).unionByName(spark_edges(s, d, "owner", "watcher")), Filter(type="order", expires=True)).select(*KEY), "SELECT 'order' AS resource_type, CAST(o_orderkey AS VARCHAR) AS resource_id, 'temp_viewer' AS relation, 'customer' AS subject_type, CAST(o_custkey AS VARCHAR) AS subject_id, '...' AS subject_relation FROM orders")
+_add(
+    "caveat_name_filter",
+    lambda s, d: read(_caveated("owner", "limit", lambda: F.lit("{}"))(s, d).unionByName(_caveated("owner", "like", lambda: F.lit("{}"))(s, d).where("resource_id LIKE '%7'")), Filter(type="order", caveat="like")).select(*KEY, "caveat_name"),
+    "SELECT 'order' AS resource_type, CAST(o_orderkey AS VARCHAR) AS resource_id, 'owner' AS relation, 'customer' AS subject_type, CAST(o_custkey AS VARCHAR) AS subject_id, '...' AS subject_relation, 'like' AS caveat_name FROM orders WHERE o_orderkey % 10 = 7",
+)
+
+
+def _tampered(spark: SparkSession, d: str) -> DataFrame:
+    """Of edges signed under two keys: those changed since, and those whose key is unknown."""
+    number = F.col("resource_id").cast("long")
+    edges = spark_edges(spark, d, "owner")
+    signed = sign(edges.where(number % 2 == 0), "k1", b"one").unionByName(sign(edges.where(number % 2 == 1), "k2", b"two"))
+    changed = signed.withColumn("subject_id", F.when(number % 10 == 3, F.lit("0")).otherwise(F.col("subject_id"))).withColumn("integrity_key_id", F.when(number % 10 == 4, F.lit("k9")).otherwise(F.col("integrity_key_id")))
+    return verify(changed, {"k1": b"one", "k2": b"two"}).select("resource_id", "subject_id", "integrity_key_id")
+
+
+_add("integrity_verify", _tampered, "SELECT CAST(o_orderkey AS VARCHAR) AS resource_id, CASE WHEN o_orderkey % 10 = 3 THEN '0' ELSE CAST(o_custkey AS VARCHAR) END AS subject_id, CASE WHEN o_orderkey % 10 = 3 THEN 'k2' ELSE 'k9' END AS integrity_key_id FROM orders WHERE o_orderkey % 10 IN (3, 4)")
+
+
+def _exported(spark: SparkSession, d: str) -> DataFrame:
+    """Edges written as partitioned text and read back."""
+    path = f"{work_dir(spark)}/export-{uuid.uuid4().hex}"
+    write_text(spark_edges(spark, d, "owner", "watcher", "group_tree"), path)
+    return read_text(spark, path).select(*KEY)
+
+
+_add("export_partitioned", _exported, f"SELECT {_KEYS_SQL} FROM ({_sql('owner', 'watcher', 'group_tree')})")

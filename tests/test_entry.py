@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 DIR = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["double_arrow", "all_arrow", "perm_precedence", "caveat_true_false_missing", "write_touch_create_delete"])
+@pytest.mark.parametrize("name", ["double_arrow", "all_arrow", "perm_precedence", "caveat_true_false_missing", "write_touch_create_delete", "public_and_public_subjects", "arrow_parent_caveat", "caveat_macros", "integrity_verify", "export_partitioned"])
 def test_queries_match_their_sql(spark, name):
     c = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"):
