@@ -760,11 +760,11 @@ def _tampered(spark: SparkSession, d: str) -> DataFrame:
     number = F.col("resource_id").cast("long")
     edges = spark_edges(spark, d, "owner")
     signed = sign(edges.where(number % 2 == 0), "k1", b"one").unionByName(sign(edges.where(number % 2 == 1), "k2", b"two"))
-    changed = signed.withColumn("subject_id", F.when(number % 10 == 3, F.lit("0")).otherwise(F.col("subject_id"))).withColumn("integrity_key_id", F.when(number % 10 == 4, F.lit("k9")).otherwise(F.col("integrity_key_id")))
+    changed = signed.withColumn("subject_id", F.when(number % 10 == 3, F.lit("forged")).otherwise(F.col("subject_id"))).withColumn("integrity_key_id", F.when(number % 10 == 4, F.lit("k9")).otherwise(F.col("integrity_key_id")))
     return verify(changed, {"k1": b"one", "k2": b"two"}).select("resource_id", "subject_id", "integrity_key_id")
 
 
-_add("integrity_verify", _tampered, "SELECT CAST(o_orderkey AS VARCHAR) AS resource_id, CASE WHEN o_orderkey % 10 = 3 THEN '0' ELSE CAST(o_custkey AS VARCHAR) END AS subject_id, CASE WHEN o_orderkey % 10 = 3 THEN 'k2' ELSE 'k9' END AS integrity_key_id FROM orders WHERE o_orderkey % 10 IN (3, 4)")
+_add("integrity_verify", _tampered, "SELECT CAST(o_orderkey AS VARCHAR) AS resource_id, CASE WHEN o_orderkey % 10 = 3 THEN 'forged' ELSE CAST(o_custkey AS VARCHAR) END AS subject_id, CASE WHEN o_orderkey % 10 = 3 THEN 'k2' ELSE 'k9' END AS integrity_key_id FROM orders WHERE o_orderkey % 10 IN (3, 4)")
 
 
 def _exported(spark: SparkSession, d: str) -> DataFrame:
