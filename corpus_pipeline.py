@@ -44,8 +44,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the texts' tokens, packed into sequences."""
-    return packing.pack_documents(docs)
+    """Pieces of the texts' tokens, packed into sequences. Python workers outlive a stage, so none keeps its encoder."""
+    return packing.pack_documents(docs, resident=False)
 
 
 STAGES = [

@@ -7,6 +7,9 @@ never occur inside a longer character, so words can be cut on raw bytes.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -82,6 +85,14 @@ def _release_quietly() -> None:
             pass
 
 
+def give_back() -> None:
+    """Returns memory that this Python process holds but doesn't use to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permspark.llm.common import SPACE, cut, hash_words, table, texts_of
+from permspark.llm.common import SPACE, cut, give_back, hash_words, table, texts_of
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -166,6 +166,12 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def forget(path: str) -> None:
+    """Drops this worker's encoder and gives its memory back."""
+    _encoders.pop(path, None)
+    give_back()
+
+
 class Cutter:
     """Cuts the ids of one text into pieces as they come."""
 
@@ -186,8 +192,11 @@ class Cutter:
         return [*self.pieces, (self.start, n, zlib.crc32(self.rest))], self.start + n
 
 
-def tokenise(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, seed: int = 0) -> DataFrame:
-    """The pieces of all documents; ``deal`` is random, for groups. Row by row: no shuffle."""
+def tokenise(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, seed: int = 0, resident: bool = True) -> DataFrame:
+    """The pieces of all documents; ``deal`` is random, for groups. Row by row: no shuffle.
+
+    A Python worker keeps its encoder for later tasks if ``resident``, else gives its memory back after each.
+    """
     path = tokenizer or default_tokenizer()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +215,12 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, cap
                 cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(rng.integers(0, 1 << 62, len(rows)))], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut_up, PIECES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from cut_up(batches)
+        if not resident:
+            forget(path)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 class Tournament:
@@ -259,8 +273,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, group_rows: int = 8192) -> Dat
     return pieces.withColumn("pack_group", F.col("deal") % F.lit(groups).cast("long")).groupBy("pack_group").applyInArrow(fit, PACKED)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096) -> DataFrame:
-    return pack(cut(tokenise(docs, tokenizer, end_id, capacity)), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, resident: bool = True) -> DataFrame:
+    return pack(cut(tokenise(docs, tokenizer, end_id, capacity, resident=resident)), capacity)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

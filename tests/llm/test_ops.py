@@ -835,3 +835,31 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
         out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
         assert {r.doc_id for r in out} == want
         assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
+
+
+def test_the_pipeline_keeps_no_encoder_in_its_workers(spark, docs, monkeypatch, tmp_path):
+    import shutil
+
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    path = str(shutil.copy(packing.default_tokenizer(), tmp_path / "own.json"))  # no other test has an encoder of this path
+    table = docs(["Some words, here.", "", None, "more of them " * 3000] * 5)
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([path in packing._encoders])], names=["held"])
+
+    def run(resident):
+        rows = packing.pack_documents(table, path, resident=resident).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()
+        return sorted(rows, key=str), {r.held for r in spark.range(0, 64, 1, 8).mapInArrow(held, "held boolean").collect()}
+
+    plain, told = run(False)
+    assert told == {False}
+    kept, told = run(True)
+    assert kept == plain and True in told
+    seen = []
+    monkeypatch.setattr(packing, "pack_documents", lambda d, **how: seen.append(how))
+    corpus_pipeline.pack(spark, table, "")
+    assert seen == [{"resident": False}]
