@@ -26,7 +26,8 @@ import heapq
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import pairwise, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,9 @@ PLANES = 16  # binary digits of the rate
 STOPS = (".", ",")
 PLACE = 7  # bits for the place of a symbol in a word
 NONE = np.int32(2**31 - 1)  # no candidate merge
+#: No word takes the 64th draw: it marks what isn't in the cache.
+_TOP = np.uint64(1 << 63)
+UNKNOWN = (1 << 63, b"", {}, b"", b"")
 _AWAY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -214,7 +218,7 @@ class DropoutBPE:
         self.merges = Merges(self.rank, self.ids, self.byte)
         self.source = np.random.Philox(key=0)
         #: By word: mask of the draws taken if none is skipped, its ids then, ids by skipped draws,
-        #: and ids of a stop that no piece joins to it. Two generations.
+        #: ids of a stop that no piece joins to it, and both ids if none is skipped. Two generations.
         self.trees: tuple[dict, dict] = ({}, {})
         self.grown = 0  # words and their ids in the newer generation
 
@@ -287,70 +291,68 @@ class DropoutBPE:
 
     def _grow(self, words: list[str]) -> None:
         """Puts words into the newer generation."""
-        new, old = self.trees
-        fresh = {}
+        new, had = self.trees[0], self.trees[1].get
+        fresh, cores, afters = [], [], []
         for w in words:
-            if w in old:
-                new[w] = old[w]
-            else:
+            got = had(w)
+            if got is not None:
+                new[w] = got
+                continue
+            core, after = w, b""
+            if w[-1:] in STOPS:
                 core, after = self._split(w)
-                same = new.get(core) or old.get(core)
-                if same:
-                    new[w] = (*same[:3], after)
-                else:
-                    fresh[w] = (core, after)
-        cores = [*dict.fromkeys(META + core for core, _ in fresh.values())]
-        found = dict(zip(cores, zip(*self.merges.run(cores, np.zeros(len(cores), dtype=np.uint64)), strict=True), strict=True))
-        for w, (core, after) in fresh.items():
-            new[w] = (*found[META + core], {}, after)
+                if after and (same := new.get(core) or had(core)):
+                    new[w] = (*same[:3], after, same[1] + after)
+                    continue
+            fresh.append(w)
+            cores.append(META + core)
+            afters.append(after)
+        for w, after, used, ids in zip(fresh, afters, *self.merges.run(cores, np.zeros(len(cores), dtype=np.uint64)), strict=True):
+            new[w] = (used, ids, {}, after, ids + after if after else ids)
         self.grown += len(words)
 
+    def _look(self, words: list[str], masks: np.ndarray) -> tuple[list[bytes], np.ndarray, list[tuple]]:
+        """Ids of words by the cache; places of the words it lacks; places, entries, masks and
+        bits that decide of those whose ids by these skipped draws it lacks."""
+        told = [*map(self.trees[0].get, words, repeat(UNKNOWN))]
+        out = [*map(itemgetter(4), told)]  # as if nothing were skipped
+        takes = np.fromiter(map(itemgetter(0), told), dtype=np.uint64, count=len(told))
+        skips = takes & (masks | _TOP)
+        odd = np.flatnonzero((skips != 0) & (skips != _TOP))
+        # a skipped draw may bring one more draw, so these bits nearly always decide
+        reach = (takes[odd] + np.uint64(1) << np.bitwise_count(skips[odd]).astype(np.uint64)) - np.uint64(1)
+        missed = []
+        for i, decide, key in zip(odd.tolist(), reach.tolist(), (masks[odd] & reach).tolist(), strict=True):
+            _, _, leaves, after, _ = entry = told[i]
+            ids = leaves.get(key)
+            if ids is None:
+                missed.append((i, entry, int(masks[i]), decide))
+            else:
+                out[i] = ids + after if after else ids
+        return out, np.flatnonzero(skips == _TOP), missed
+
     def _resolve(self, words: list[str], masks: np.ndarray, texts: list[tuple[int, Draws, int]]) -> list[bytes]:
         """Ids of words after a space, with the start of each text's words, its draws and their place in it."""
         if self.grown >= self.max_units:
             self.trees, self.grown = ({}, self.trees[0]), 0
-        get, out, later = self.trees[0].get, [], []
-        add = out.append
-        drawn = masks.tolist()
-        for w, m in zip(words, drawn, strict=True):
-            got = get(w)
-            if got is None:
-                later.append(len(out))
-                add(b"")
-                continue
-            used, ids, leaves, after = got
-            if skipped := m & used:
-                # a skipped draw may bring one more draw, so these bits nearly always decide
-                ids = leaves.get(m & ((used + 1 << skipped.bit_count()) - 1))
-                if ids is None:
-                    later.append(len(out))
-                    ids = b""
-            add(ids + after if after else ids)
-        fresh = dict.fromkeys(words[i] for i in later)
-        self._grow([w for w in fresh if len(w) < SHORT and get(w) is None])
-        at, cores, bits, kept = [], [], [], []
-        for i in later:
-            w = words[i]
-            if len(w) >= SHORT:
-                start, draws, place = texts[bisect_right(texts, i, key=lambda t: t[0]) - 1]
-                out[i] = self._large(META + w, draws.key, place + i - start)
-                continue
-            used, ids, leaves, after = get(w)
-            if skipped := drawn[i] & used:
-                decide = (used + 1 << skipped.bit_count()) - 1
-                ids = leaves.get(drawn[i] & decide)
-                if ids is None:
-                    at.append(i)
-                    cores.append(META + (w[:-1] if after else w))
-                    bits.append(drawn[i])
-                    kept.append((leaves, decide, after))
-                    continue
-            out[i] = ids + after
-        found = self.merges.run(cores, np.array(bits, dtype=np.uint64))
-        for i, m, used, ids, (leaves, decide, after) in zip(at, bits, *found, kept, strict=True):
-            out[i] = ids + after
+        out, lacks, missed = self._look(words, masks)
+        places = lacks.tolist()
+        unknown = [words[i] for i in places]
+        self._grow([w for w in dict.fromkeys(unknown) if len(w) < SHORT])
+        got, large, more = self._look(unknown, masks[lacks])
+        for i, ids in zip(places, got, strict=True):
+            out[i] = ids
+        for k in large.tolist():
+            i = places[k]
+            start, draws, place = texts[bisect_right(texts, i, key=lambda t: t[0]) - 1]
+            out[i] = self._large(META + words[i], draws.key, place + i - start)
+        missed += [(places[k], *rest) for k, *rest in more]
+        cores = [META + (words[i][:-1] if entry[3] else words[i]) for i, entry, _, _ in missed]
+        found = self.merges.run(cores, np.array([m for _, _, m, _ in missed], dtype=np.uint64))
+        for (i, entry, m, decide), used, ids in zip(missed, *found, strict=True):
+            out[i] = ids + entry[3]
             if used <= decide:  # no draw was taken but those of the bits that decide
-                leaves[m & decide] = ids
+                entry[2][m & decide] = ids
                 self.grown += 1
         return out
 

@@ -863,3 +863,17 @@ def test_the_pipeline_keeps_no_encoder_in_its_workers(spark, docs, monkeypatch,
     monkeypatch.setattr(packing, "pack_documents", lambda d, **how: seen.append(how))
     corpus_pipeline.pack(spark, table, "")
     assert seen == [{"resident": False}]
+
+
+def test_bpe_dropout_finds_known_words_at_once():
+    m = bpe_dropout.DropoutBPE(bpe_dropout.default_model(), 0.1, 5)
+    words = ["some", "words,", "some", "words", "", "internationalisation."[-21:], "x" * 30]
+    none, every = (np.full(len(words), x, dtype=np.uint64) for x in (0, 2**64 - 1))
+    assert m._look(words, none)[1].tolist() == [*range(len(words))]
+    plain = m._resolve(words, none, [(0, m._draws("", 0), 0)])
+    out, lacks, missed = m._look(words, none)
+    assert lacks.tolist() == [6] and not missed and out[:6] == plain[:6]
+    skipped = m._resolve(words, every, [(0, m._draws("", 0), 0)])
+    assert skipped[:6] == [m._ids([*("▁" + w)]) for w in words[:6]]  # nothing merges
+    out, lacks, missed = m._look(words, every)
+    assert lacks.tolist() == [6] and not missed and out[:6] == skipped[:6]
