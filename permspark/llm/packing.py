@@ -27,10 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permspark.llm.common import SPACE, cut, give_back, hash_words, table, texts_of
+from permspark.llm.common import LOWER, SPACE, cut, give_back, hash_words, table, texts_of
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+LETTER = np.zeros(256, dtype=bool)
+LETTER[65:91] = LETTER[97:123] = True
 #: Bytes of text whose equal words are looked up once.
 SLICE = 4 << 20
 
@@ -80,11 +82,24 @@ class WordEncoder:
             out[i] = array("I", e.ids).tobytes()
         return out
 
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, each looked up as it is."""
+        new, old = self.kept
+        got = [*map(new.get, words)]
+        lacks = [i for i, ids in enumerate(got) if not ids]
+        cores = [words[i] for i in lacks]
+        found = [*map(old.get, cores)]
+        ask = [k for k, ids in enumerate(found) if not ids]
+        for k, ids in zip(ask, self._ask([cores[k] for k in ask]), strict=True):
+            found[k] = ids
+        for i, c, ids in zip(lacks, cores, found, strict=True):
+            got[i] = ids
+            if len(c) <= 48:  # longer ones hardly come again
+                new[c] = ids
+        return got
+
     def _distinct(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words; letters before a stop or comma are looked up apart from it."""
-        if len(self.kept[0]) >= self.max_words:
-            self.kept = {}, self.kept[0]
-        new, old = self.kept
         cores, tails = [], []
         for w in words:
             core = w.rstrip(b".,")
@@ -94,10 +109,8 @@ class WordEncoder:
             else:
                 cores.append(w)
                 tails.append(b"")
-        found = {c: new.get(c) or old.get(c) for c in {*cores, *tails} - {b""}}
-        ask = [c for c, ids in found.items() if ids is None]
-        found.update(zip(ask, self._ask(ask), strict=True))
-        new.update((c, ids) for c, ids in found.items() if len(c) <= 48)  # longer ones hardly come again
+        units = [*({*cores, *tails} - {b""})]
+        found = dict(zip(units, self._known(units), strict=True))
         found[b""] = b""
         return [found[c] + found[t] if t else found[c] for c, t in zip(cores, tails, strict=True)]
 
@@ -105,18 +118,29 @@ class WordEncoder:
         """Ids of adjoining texts, and where each text's ids end.
 
         Equal words of the slice are looked up once; they are told apart by 64-bit hash and length.
+        Words of A-Z and a-z alone are looked up in lower case, without one last stop or comma.
         """
-        starts, ends, hashes = _words_at(data, edges)
+        if len(self.kept[0]) >= self.max_words:
+            self.kept = {}, self.kept[0]
+        bare, plain, stop = _bare(data, edges)
+        starts, ends, hashes = _words_at(bare, edges)
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        got = self._distinct([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        raw = bare.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        simple = plain[first]
+        got = np.empty(len(words) + 3, dtype=object)
+        for of, look in ((simple, self._known), (~simple, self._distinct)):
+            at = np.flatnonzero(of)
+            got[at] = np.array([*look([words[i] for i in at.tolist()]), None], dtype=object)[:-1]
+        got[-3:] = [b"", *self._known([b".", b","])]
         sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
-        pool = np.frombuffer(b"".join(got), dtype="<u4")
+        pool = np.frombuffer(b"".join(got.tolist()), dtype="<u4")
         begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        counts = sizes[which]
+        units = np.stack([which, len(words) + stop], axis=1).ravel()  # a word, and what was cut from it
+        counts = sizes[units]
         stops = np.concatenate([[0], np.cumsum(counts)])
-        ids = pool[np.arange(stops[-1]) + np.repeat(begins[which] - stops[:-1], counts)]
-        return ids, stops[np.searchsorted(starts, edges[1:])]
+        ids = pool[np.arange(stops[-1]) + np.repeat(begins[units] - stops[:-1], counts)]
+        return ids, stops[2 * np.searchsorted(starts, edges[1:])]
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, bool]]:
         """(number of the text, some of its ids, whether they are the last), in order."""
@@ -139,6 +163,31 @@ class WordEncoder:
             i = j
 
 
+def _bare(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """data with words of A-Z and a-z alone in lower case and a space for the one stop or comma that
+    ends them; by word, whether it is one of these, and what was cut: 0, 1 a stop, 2 a comma."""
+    n = len(data)
+    solid = ~SPACE[data]
+    goes_on = solid.copy()
+    goes_on[1:] &= solid[:-1]
+    goes_on[edges[edges < n]] = False  # a word never spans an edge
+    goes_on[:1] = False
+    starts = np.flatnonzero(solid & ~goes_on)
+    ends = np.flatnonzero(solid & ~np.concatenate([goes_on[1:], [False]])) + 1
+    odd = np.concatenate([[0], np.cumsum(~LETTER[data], dtype=np.int32)])
+    odd = odd[ends] - odd[starts]
+    last = data[ends - 1]
+    stop = np.where((odd == 1) & (ends - starts > 1), (last == 46) + 2 * (last == 44), 0)
+    plain = (odd == 0) | (stop > 0)
+    step = np.zeros(n + 1, dtype=np.int8)
+    step[starts[plain]] += 1
+    step[ends[plain]] -= 1
+    within = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+    bare = np.where(within, LOWER[data], data)
+    bare[ends[stop > 0] - 1] = 32
+    return bare, plain, stop
+
+
 def _words_at(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of words; hashed in parts between words, to save memory."""
     out, at, part = [], 0, 1 << 19

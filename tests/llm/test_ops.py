@@ -877,3 +877,18 @@ def test_bpe_dropout_finds_known_words_at_once():
     assert skipped[:6] == [m._ids([*("▁" + w)]) for w in words[:6]]  # nothing merges
     out, lacks, missed = m._look(words, every)
     assert lacks.tolist() == [6] and not missed and out[:6] == skipped[:6]
+
+
+def test_plain_words_are_looked_up_bare():
+    """Words of A-Z and a-z lose case and one last stop or comma; others stay, and a word ends with its text."""
+    texts = ["Ab. cD, x.. . , a1. É. ef", "GH.", "i", "", "A<|endoftext|>b"]
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    edges = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    bare, plain, stop = packing._bare(data, edges)
+    assert bare.tobytes().decode() == "ab  cd  x.. . , a1. É. efgh iA<|endoftext|>b"
+    assert plain.tolist() == [True, True, False, False, False, False, False, True, True, True, False]
+    assert stop.tolist() == [1, 2, 0, 0, 0, 0, 0, 0, 1, 0, 0]
+    enc = packing.WordEncoder(packing.default_tokenizer())
+    ids, stops = enc.encode(data, edges)
+    for t, a, b in zip(texts, [0, *stops[:-1]], stops, strict=True):
+        assert ids[a:b].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
